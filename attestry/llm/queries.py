@@ -27,14 +27,42 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.spotsigs import edited_report
+
+    return edited_report(read_table(spark, sf_dir, "documents"))
+
+
+def op7_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.warc import archive_pages
+
+    return archive_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.simhash import near_duplicate_classes
+
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.quality import select_quality
 
     return select_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.chunks import repeated_spans
+
+    return repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_secret_scan, op4_license_scan, op5_harmonic_packing, op9_quality_resampling)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op4_license_scan, op5_harmonic_packing, op6_spot_signatures, op7_legacy_archives,
+        op8_simhash_variants, op9_quality_resampling, op10_gear_chunks,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
