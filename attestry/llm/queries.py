@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestry.llm import lines
 from attestry.llm.common import read_table
 
 
@@ -13,6 +14,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(find_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.decontam import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.lines import dedup_lines
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestry.llm.licenses import find_licenses, license_report
 
@@ -60,9 +74,9 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op4_license_scan, op5_harmonic_packing, op6_spot_signatures, op7_legacy_archives,
+        op1_secret_scan, op2_spaced_seeds, op3_line_winnowing, op4_license_scan, op5_harmonic_packing, op6_spot_signatures, op7_legacy_archives,
         op8_simhash_variants, op9_quality_resampling, op10_gear_chunks,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_line_winnowing": lines.ORACLE_SQL}
