@@ -22,6 +22,15 @@ CAPACITY, END_ID, SLACK, CACHED = 2048, 1, 0.03, 400_000
 
 #: White space, a space, then white space or the end: there a space does not start a word.
 ODD_SPACE = re.compile(r"\s (?:\s|$)")
+#: A word, then punctuation: two units of the pre-tokenizer.
+PLAIN = re.compile(r"( ?[^\W\d_]+)([.,!?;:]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 class Encoder:
@@ -37,28 +46,61 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # two generations, so that frequent parts outlive a full table
+        self.older: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def unit(self, part: str) -> bytes:
+        """Ids of one unit of the pre-tokenizer, straight from the model."""
+        ids = self.known.get(part) or self.older.get(part)
+        if ids is None:
+            letters = part.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        self.known[part] = ids
+        return ids
+
     def __call__(self, text: str) -> bytes:
         if ODD_SPACE.search(text) or any(s in text for s in self.special):
             return self.whole([text])[0]
         head, *rest = text.split(" ")
         parts = [head, *[" " + r for r in rest]]
-        known = self.known
         try:
+            known = self.known
             return b"".join([known[p] for p in parts])
         except KeyError:
-            pass
-        if len(known) > CACHED:
-            known.clear()
-        new = [p for p in set(parts) if p not in known]
-        known.update(zip(new, self.whole(new), strict=True))
+            self.learn(set(parts))
+        known = self.known
         return b"".join([known[p] for p in parts])
 
+    def learn(self, parts: set[str]) -> None:
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for p in parts:
+            if p not in known:
+                ids = older.get(p)
+                if ids is None and (m := PLAIN.fullmatch(p)) and m[1].lstrip(" ").isalpha():
+                    ids = self.unit(m[1]) + (self.unit(m[2]) if m[2] else b"")
+                if ids is None:
+                    new.append(p)
+                else:
+                    known[p] = ids
+        known.update(zip(new, self.whole(new), strict=True))
+
+
+#: One encoder a worker process, so that later tasks find what earlier ones have learnt.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer_file: str) -> Encoder:
+    if tokenizer_file not in ENCODERS:
+        ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return ENCODERS[tokenizer_file]
+
 
 def pieces_of(n: int, capacity: int, slack: float) -> list[int]:
     """Lengths of the pieces of n tokens: full ones, then class sizes until the rest fits its slot."""
@@ -85,7 +127,7 @@ def tokenize(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
