@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import numbers as N
 from attestry.functions import text as T
-from attestry.operators.verify import conflict_reason
+from attestry.operators.verify import conflict_between, long_terms
 
 # Words of an obligation that name no subject.
 NOISE = """shall must should may required require requires prohibited permitted allowed accordance provided specified
@@ -114,10 +114,15 @@ def negates(terms: Column, modality: Column, passage: Column) -> Column:
 
 def passage_conflicts(evidence: DataFrame, rid: str = "requirement_id") -> DataFrame:
     """(rid, a, b, reason) of on-point passages of a requirement that conflict; passages are top-k bounded."""
-    on = evidence.filter(F.col("term_coverage") >= ANCHOR)
-    left = on.select(rid, F.col("evidence_id").alias("a"), F.col("content").alias("ca"))
-    right = on.select(rid, F.col("evidence_id").alias("b"), F.col("content").alias("cb"))
-    return left.join(right, rid).filter("a < b").select(rid, "a", "b", conflict_reason(F.col("ca"), F.col("cb")).alias("reason")).filter("reason IS NOT NULL")
+    on = evidence.filter(F.col("term_coverage") >= ANCHOR).select(
+        rid, "evidence_id", "content", long_terms(F.col("content")).alias("t"), N.quantities(F.col("measurements")).alias("q")
+    )
+
+    def side(x: str) -> DataFrame:
+        return on.select(rid, F.col("evidence_id").alias(x), F.col("content").alias(f"c{x}"), F.col("t").alias(f"t{x}"), F.col("q").alias(f"q{x}"))
+
+    reason = conflict_between(*map(F.col, ("ca", "cb", "ta", "tb", "qa", "qb")))
+    return side("a").join(side("b"), rid).filter("a < b").select(rid, "a", "b", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def verdicts(requirements: DataFrame, evidence: DataFrame, rid: str = "requirement_id") -> DataFrame:

@@ -181,24 +181,28 @@ def entailment(claim: Column, passage: Column) -> Column:
     return F.when(ratio < 0.28, "context").when(claim.rlike(NEGATIVE_CLAIM) != passage.rlike(NEGATIVE_PASSAGE), "contradicts").otherwise("supports")
 
 
-def conflict_reason(a: Column, b: Column) -> Column:
-    """Why two passages on one subject conflict, else null."""
+def long_terms(x: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(T.normal_match(x), " "), lambda t: F.length(t) > 3))
 
-    def terms(x: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(T.normal_match(x), " "), lambda t: F.length(t) > 3))
 
-    ta, tb = terms(a), terms(b)
+def conflict_between(a: Column, b: Column, ta: Column, tb: Column, qa: Column, qb: Column) -> Column:
+    """Why two passages on one subject conflict, else null; terms and quantities given as columns."""
     shared = F.size(F.array_intersect(ta, tb)) / F.nullif(F.least(F.size(ta), F.size(tb)), F.lit(0))
-    qa, qb = N.quantities(N.measurements(a)), N.quantities(N.measurements(b))
-    unit = F.get(F.filter(F.map_keys(qa), lambda u: F.abs(F.element_at(qa, u) - F.try_element_at(qb, u)) > 1e-9), F.lit(0))
-    values = F.concat(
-        F.lit("Conflicting values for "), unit, F.lit(": "), F.regexp_replace(F.element_at(qa, unit).cast("string"), r"\.0$", ""),
-        F.lit(" versus "), F.regexp_replace(F.element_at(qb, unit).cast("string"), r"\.0$", ""),
+    told = F.transform(
+        F.filter(F.map_keys(qa), lambda u: F.abs(F.element_at(qa, u) - F.try_element_at(qb, u)) > 1e-9),
+        lambda u: F.concat(
+            F.lit("Conflicting values for "), u, F.lit(": "), F.regexp_replace(F.element_at(qa, u).cast("string"), r"\.0$", ""),
+            F.lit(" versus "), F.regexp_replace(F.element_at(qb, u).cast("string"), r"\.0$", ""),
+        ),
     )
     na, nb = a.rlike(FORBIDS), b.rlike(FORBIDS)
     pa, pb = a.rlike(REQUIRES) & ~na, b.rlike(REQUIRES) & ~nb
     opposed = F.when((na & pb) | (pa & nb), "One provision requires what the other prohibits")
-    return F.when(F.coalesce(shared, F.lit(0.0)) < 0.3, None).otherwise(F.when(unit.isNotNull(), values).otherwise(opposed))
+    return F.when(F.coalesce(shared, F.lit(0.0)) >= 0.3, F.coalesce(F.get(told, F.lit(0)), opposed))
+
+
+def conflict_reason(a: Column, b: Column) -> Column:
+    return conflict_between(a, b, long_terms(a), long_terms(b), N.quantities(N.measurements(a)), N.quantities(N.measurements(b)))
 
 
 def claims(picked: DataFrame, most: int = 6, least_chars: int = 40, least_score: float = 0.0, key: str = "chunk_id") -> DataFrame:

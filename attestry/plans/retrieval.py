@@ -1 +1,238 @@
-"""Registered queries."""
+"""Queries over retrieval, verification and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from attestry.functions import text as T
+from attestry.operators import retrieve as R
+from attestry.operators import verify as V
+from attestry.plans import world as W
+from attestry.plans.world import in_sql, stem_sql, table
+from attestry.registry import register
+
+
+def _raw(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '[a-z0-9]+(?:\\.[a-z0-9]+)*')"
+
+
+_KEEP = f"length(t) > 1 AND t NOT IN {in_sql(T.QUERY_STOPWORDS)}"
+_POSTINGS = f"""post AS (SELECT {stem_sql('t')} AS term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest({_raw('content')}) AS t FROM chk) WHERE {_KEEP} GROUP BY 1, 2)"""
+_LEXICAL = f"""qt AS (SELECT DISTINCT item_id AS query_id, t AS raw, {stem_sql('t')} AS term FROM (SELECT item_id, unnest({_raw('text')}) AS t FROM benchmark) WHERE {_KEEP}),
+qn AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1),
+hit AS (SELECT qt.query_id, chunk_id, sum(tf) AS s, count(DISTINCT raw) = any_value(n) AS matched_all FROM qt JOIN post USING (term) JOIN qn ON qn.query_id = qt.query_id GROUP BY 1, 2),
+lex AS (SELECT *, s / (s + 1) AS raw_score, row_number() OVER (PARTITION BY query_id ORDER BY matched_all DESC, s / (s + 1) DESC, chunk_id) AS rank FROM hit QUALIFY rank <= 40)"""
+
+
+def _index(spark, sf_dir):
+    return R.postings(W.chunks(spark, sf_dir), "chunk_id", "content")
+
+
+@register(f"WITH {W.CHUNKS}, {_POSTINGS} SELECT term, chunk_id, tf FROM post WHERE tf > 1")
+def s11_postings(spark, sf_dir):
+    return _index(spark, sf_dir).filter("tf > 1").select("term", "chunk_id", "tf")
+
+
+@register(f"WITH {W.CHUNKS}, {_POSTINGS}, {_LEXICAL} SELECT query_id, chunk_id, matched_all, rank FROM lex")
+def r9_lexical(spark, sf_dir):
+    return R.lexical(W.benchmark_queries(spark, sf_dir), _index(spark, sf_dir)).select("query_id", "chunk_id", "matched_all", "rank")
+
+
+@register(f"WITH {W.CHUNKS}, {_POSTINGS}, {_LEXICAL} SELECT query_id, chunk_id, round(raw_score / max(raw_score) OVER (PARTITION BY query_id), 6) AS score FROM lex")
+def w2_normalised_scores(spark, sf_dir):
+    return R.lexical(W.benchmark_queries(spark, sf_dir), _index(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label", F.lit("m1").alias("model"))
+    return v.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding", "model", F.col("label").alias("asked")), v
+
+
+_VECTOR = """cosv AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cosv QUALIFY rank <= 10)"""
+
+
+@register(f"WITH {_VECTOR} SELECT query_id, chunk_id, round(score, 5) AS score FROM vec")
+def r10_vector(spark, sf_dir):
+    q, v = _vectors(spark, sf_dir)
+    return R.vector(q, v, 10).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+
+
+@register(f"WITH {_VECTOR} SELECT query_id, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0 END), 6) AS agreement FROM vec JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id GROUP BY query_id")
+def k2_label_agreement(spark, sf_dir):
+    q, v = _vectors(spark, sf_dir)
+    hits = R.vector(q, v, 10).join(v.select("chunk_id", "label"), "chunk_id").join(q.select("query_id", "asked"), "query_id")
+    return hits.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("asked")).cast("double")), 6).alias("agreement"))
+
+
+@register("SELECT vec_id AS query_id, vec_id % 3 = 0 AS mismatch FROM embeddings WHERE vec_id < 20")
+def r11_model_mismatch(spark, sf_dir):
+    q, v = _vectors(spark, sf_dir)
+    asked = q.select("query_id", F.when(F.col("query_id") % 3 == 0, "m2").otherwise("m1").alias("model"))
+    return R.model_mismatch(asked, v)
+
+
+def _clauses(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    section = F.concat(F.lit("6."), n.cast("string"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("chunk_id"), k.alias("ordinal"), F.lit("6").alias("chapter"), section.alias("section"),
+        F.when(k % 2 == 0, F.concat(section, F.lit("."), (k % 20).cast("string"))).alias("clause"), F.col("p_name").alias("content"),
+    )
+
+
+_CLAUSES = "cl AS (SELECT p_partkey AS chunk_id, '6.' || p_size AS section, CASE WHEN p_partkey % 2 = 0 THEN '6.' || p_size || '.' || p_partkey % 20 END AS clause FROM part)"
+
+
+@register(f"""WITH {_CLAUSES}, q AS (SELECT s_suppkey AS query_id, '6.' || (s_suppkey % 50 + 1) AS sec, '6.' || (s_suppkey % 50 + 1) || '.4' AS cla FROM supplier),
+h AS (SELECT query_id, chunk_id, max(CASE WHEN clause IN (cla, sec) THEN 1.0 WHEN section = sec THEN 0.8 WHEN clause LIKE sec || '.%' OR clause LIKE cla || '.%' THEN 0.4 END) AS score FROM q, cl GROUP BY 1, 2)
+SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM h WHERE score IS NOT NULL) WHERE r <= 10""")
+def r12_locator(spark, sf_dir):
+    n = (F.col("s_suppkey") % 50 + 1).cast("string")
+    q = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("see section 6."), n, F.lit(" and 6."), n, F.lit(".4")).alias("text"))
+    return R.locator(q, _clauses(spark, sf_dir), 10).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
+
+
+def _channels(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("query_id"), (F.col("event_id") % 400).alias("chunk_id"), "value", "event_id", "event_type")
+    out = {}
+    for n, name in enumerate(("lexical", "vector", "locator")):
+        own = e.filter(F.col("event_id") % 3 == n).groupBy("query_id", "chunk_id").agg(F.max("value").alias("score"))
+        out[name] = R.top(own, ["query_id"], [F.desc("score"), "chunk_id"], 40)
+    return out
+
+
+_FUSED = """ch AS (SELECT event_id % 3 AS c, user_id % 20 AS query_id, event_id % 400 AS chunk_id, max(value) AS score FROM events GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY c, query_id ORDER BY score DESC, chunk_id) AS rank FROM ch QUALIFY rank <= 40),
+fu AS (SELECT query_id, chunk_id, sum(CASE c WHEN 2 THEN 2.0 ELSE 1.0 END / (60 + rank)) AS fused, max(score) AS best, count(*) AS channels, max(rank) FILTER (WHERE c = 0) AS lexical_rank FROM rk GROUP BY 1, 2)"""
+
+
+@register(f"WITH {_FUSED} SELECT query_id, chunk_id, round(fused, 8) AS fused, best, channels, lexical_rank FROM fu")
+def r13_fuse(spark, sf_dir):
+    f = R.fuse(_channels(spark, sf_dir))
+    return f.select("query_id", "chunk_id", F.round("fused", 8).alias("fused"), "best", F.size("channels").cast("long").alias("channels"), "lexical_rank")
+
+
+@register(f"""WITH {_FUSED} , r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, chunk_id) AS o FROM fu),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id % 7, chunk_id % 70 ORDER BY o) <= 2 AS page_ok FROM r),
+s AS (SELECT *, NOT (page_ok AND row_number() OVER (PARTITION BY query_id, chunk_id % 7, page_ok ORDER BY o) <= 3) AS over FROM p)
+SELECT query_id, chunk_id, picked FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, o) AS picked FROM s) WHERE picked <= 25""")
+def r16_diversify(spark, sf_dir):
+    f = R.fuse(_channels(spark, sf_dir)).withColumns({"rerank": F.round("fused", 9), "source_id": F.col("chunk_id") % 7, "page_number": F.col("chunk_id") % 70})
+    return R.diversify(f, 25, 3, 2).select("query_id", "chunk_id", "picked")
+
+
+@register("SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 2 = 0 THEN 'fire stairs T0 T1 T2 T3' ELSE 'what does clause 6.4 say about exit widths clause 6.4 section 6.4' END AS text FROM supplier")
+def t16_expand_query(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"))
+    q = s.withColumn("text", F.when(F.col("query_id") % 2 == 0, "fire  stairs").otherwise("what does clause 6.4 say about exit widths"))
+    scope = s.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("source_id")).withColumn("title", F.concat(F.lit("T"), F.col("source_id").cast("string")))
+    return R.expand_query(q, scope)
+
+
+def _hybrid(spark, sf_dir):
+    """Lexical and locator channels over passages, fused, reranked, de-duplicated and diversified."""
+    q, c = W.benchmark_queries(spark, sf_dir), W.chunks(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    located = c.withColumns({"chapter": none, "section": none, "clause": none})
+    fused = R.fuse({"lexical": R.lexical(q, _index(spark, sf_dir)), "locator": R.locator(q, located)})
+    rows = fused.join(c.select("chunk_id", "content", "version_id", "source_id", "page_number"), "chunk_id").join(q.withColumnRenamed("text", "query_text"), "query_id")
+    rows = rows.withColumns({"chapter": none, "section": none, "clause": none, "kind": F.lit("paragraph"), "effective_date": F.lit(None).cast("date")})
+    ranked = R.drop_near_duplicates(R.rerank(rows, W.AS_OF))
+    return R.diversify(ranked, 12, 4)
+
+
+@register(None)
+def r17_hybrid(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("query_id", "chunk_id", F.round("rerank", 6).alias("rerank"), "picked")
+
+
+@register(None)
+def r28_role_split(spark, sf_dir):
+    q, idx = W.benchmark_queries(spark, sf_dir), _index(spark, sf_dir)
+    roles = W.chunks(spark, sf_dir).select("chunk_id", "role")
+    out = None
+    for role, limit in (("governing", 8), ("project", 4)):
+        own = R.lexical(q, idx.join(roles.filter(F.col("role") == role), "chunk_id", "left_semi"), limit).select("query_id", "chunk_id", "rank", F.lit(role).alias("role"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _drafts(spark, sf_dir):
+    """Every benchmark passage as a quotation from the documents that rank first for it."""
+    q, c = W.benchmark_queries(spark, sf_dir), W.chunks(spark, sf_dir)
+    top = R.lexical(q, _index(spark, sf_dir), 5).join(c.select("chunk_id", "version_id"), "chunk_id")
+    return top.join(q, "query_id").groupBy("query_id", "version_id", F.col("text").alias("excerpt")).agg(F.min("rank").alias("rank"))
+
+
+@register(None)
+def r19_passage_verification(spark, sf_dir):
+    """Which documents contain each passage, and can the quotation be verified?"""
+    d = _drafts(spark, sf_dir).withColumn("page_number", F.lit(1)).withColumn("citation_id", F.concat_ws(":", F.col("query_id").cast("string"), F.col("version_id").cast("string")))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"), F.lit(1).alias("page_number"), "text")
+    out = V.verify_citations(d, pages)
+    return out.select("query_id", "version_id", "rank", "verified", "method", "char_start", "char_end")
+
+
+@register("SELECT doc_id, strpos(d.text, b.text) > 0 AS verified, CASE WHEN strpos(d.text, b.text) > 0 THEN 'exact' ELSE 'failed' END AS method, CASE WHEN strpos(d.text, b.text) > 0 THEN strpos(d.text, b.text) - 1 END AS char_start FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE NOT (strpos(d.text, b.text) = 0 AND strpos(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(regexp_replace(b.text, '\\s+', ' ', 'g'))) > 0)")
+def r18_locate_excerpt(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("excerpt"))
+    d = table(spark, sf_dir, "documents")
+    drafts = d.select("doc_id", F.col("doc_id").alias("version_id"), F.lit(1).alias("page_number"), (F.col("doc_id") % 40).alias("item_id")).join(b, "item_id")
+    out = V.verify_citations(drafts, d.select(F.col("doc_id").alias("version_id"), F.lit(1).alias("page_number"), "text"))
+    return out.filter("method <> 'normalized'").select("doc_id", "verified", "method", "char_start")
+
+
+@register("SELECT doc_id, true AS verified, 'normalized' AS method, lower(regexp_replace(substr(text, 1, 120), '\\s+', ' ', 'g')) AS matched FROM documents WHERE length(text) >= 120 AND regexp_matches(substr(text, 1, 1), '\\S') AND regexp_matches(substr(text, 120, 1), '\\S') AND strpos(text, 'ff') = 0")
+def r18_normalised_excerpt(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.length("text") >= 120).filter(F.substring("text", 1, 1).rlike(r"\S") & F.substring("text", 120, 1).rlike(r"\S") & (F.instr("text", "ff") == 0))
+    typed = F.concat(F.upper(F.regexp_replace(F.substring("text", 1, 120), r"\s+", "  \n ")), F.lit(" "))
+    drafts = d.select("doc_id", F.col("doc_id").alias("version_id"), F.lit(1).alias("page_number"), typed.alias("excerpt")).withColumn("excerpt", F.regexp_replace(F.lower("excerpt"), " +$", ""))
+    out = V.verify_citations(drafts, d.select(F.col("doc_id").alias("version_id"), F.lit(1).alias("page_number"), F.regexp_replace("text", " ", "  ").alias("text")))
+    return out.select("doc_id", "verified", "method", F.lower(F.regexp_replace("matched_text", r"\s+", " ")).alias("matched"))
+
+
+@register(f"""WITH {W.CHUNKS}, {_POSTINGS}, {_LEXICAL}, gold AS (SELECT item_id AS query_id, doc_id || ':' || 0 AS chunk_id FROM benchmark JOIN documents ON doc_id % 40 = item_id),
+f AS (SELECT g.query_id, min(rank) AS r FROM gold g LEFT JOIN lex USING (query_id, chunk_id) GROUP BY 1)
+SELECT count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10,
+  round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round(avg(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0 END), 6) AS ndcg_10 FROM f""")
+def a20_ranked_metrics(spark, sf_dir):
+    gold = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"))
+    gold = gold.join(W.benchmark_queries(spark, sf_dir), "query_id", "left_semi")
+    m = R.ranked_metrics(gold, R.lexical(W.benchmark_queries(spark, sf_dir), _index(spark, sf_dir)), 10)
+    return m.select("queries", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
+@register("SELECT count(*) AS citations, count(*) FILTER (WHERE quality = 1) AS verified, round(count(*) FILTER (WHERE quality = 1) / count(*), 6) AS verification_rate FROM labels")
+def a21_verification_rate(spark, sf_dir):
+    c = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("verified"))
+    return V.citation_rates(c).withColumn("verification_rate", F.round("verification_rate", 6))
+
+
+@register("SELECT source AS version_id, avg(CASE WHEN doc_id % 5 > 0 THEN 1.0 ELSE 0 END) >= 0.8 AS valid FROM documents GROUP BY 1")
+def r30_map_valid(spark, sf_dir):
+    return V.map_valid(table(spark, sf_dir, "documents").select(F.col("source").alias("version_id"), (F.col("doc_id") % 5 > 0).alias("verified")))
+
+
+@register(None)
+def r25_claims(spark, sf_dir):
+    rows = _hybrid(spark, sf_dir).select("query_id", "chunk_id", "query_text", "content", "picked")
+    return V.claims(rows).select("query_id", "chunk_id", "claim", F.round("score", 6).alias("score"))
+
+
+@register(None)
+def r26_summary(spark, sf_dir):
+    rows = W.chunks(spark, sf_dir).select((F.col("version_id") % 20).alias("query_id"), F.concat_ws(":", F.lpad(F.col("version_id").cast("string"), 9, "0"), F.lpad(F.col("ordinal").cast("string"), 6, "0")).alias("picked"), "content")
+    return V.summary(rows)
+
+
+@register(None)
+def r21_excerpt(spark, sf_dir):
+    c = W.chunks(spark, sf_dir)
+    return c.select("chunk_id", V.select_excerpt(F.col("content"), F.lit("license version of the document")).alias("excerpt"))
+
+
+@register(f"""WITH {W.CHUNKS} SELECT chunk_id FROM chk WHERE length(content) BETWEEN 200 AND 2000 ORDER BY md5(chunk_id), chunk_id LIMIT 100""")
+def r31_gold_sample(spark, sf_dir):
+    c = W.chunks(spark, sf_dir).filter(F.length("content").between(200, 2000))
+    return c.orderBy(F.md5("chunk_id"), "chunk_id").limit(100).select("chunk_id")
