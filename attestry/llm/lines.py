@@ -80,7 +80,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     between = F.expr(
         f"""array_join(concat(flatten(transform(_runs, (r, i) ->
               slice(split(`{text}`, '\n'), if(i = 0, 0, _runs[i - 1].b + 1) + 1, r.a - if(i = 0, 0, _runs[i - 1].b + 1)))),
-            slice(split(`{text}`, '\n'), _runs[size(_runs) - 1].b + 2, 2147483647)), '\n')"""
+            slice(split(`{text}`, '\n'), _runs[size(_runs) - 1].b + 2, size(split(`{text}`, '\n')))), '\n')"""
     )
     deleted = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1)
     kept = [F.when(F.col("_h").isNull(), F.col(c)).otherwise(between).alias(c) if c == text else F.col(c)
