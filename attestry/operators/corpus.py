@@ -243,7 +243,7 @@ def hashed_features(chunks: DataFrame, key: str = "chunk_id", text: str = "text"
     grams = counts.select(key, F.explode(T.char_ngrams(F.col("t"))).alias("g"), "tf").select(
         key, F.concat(F.lit("g:"), "g").alias("f"), (F.col("tf") * 0.22).alias("x")
     )
-    joined = F.zip_with("w", F.slice("w", 2, 2147483647), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
+    joined = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
     pairs = words.select(key, F.explode(joined).alias("f")).filter("f IS NOT NULL").select(key, "f", F.lit(0.6).alias("x"))
     features = single.unionByName(grams).unionByName(pairs).groupBy(key, "f").agg(F.sum("x").alias("x"))
     hashed = features.select("f").distinct().select(
@@ -290,12 +290,12 @@ def screen(docs: DataFrame, key: str, text: str = "text", most: int = 20) -> Dat
     One pass over the text per rule; the place of a match follows from the text between matches.
     """
     body = F.col(text)
-    found = []
-    for nth, (name, category, severity, pattern) in enumerate(RULES):
+
+    def of(nth: int, name: str, category: str, severity: str, pattern: str) -> Column:
         raw = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
         gaps = F.when(F.size(raw) > 0, F.transform(F.split(body, pattern), lambda g: F.length(g)))
 
-        def one(r: Column, i: Column, nth=nth, name=name, category=category, severity=severity, raw=raw, gaps=gaps) -> Column:
+        def one(r: Column, i: Column) -> Column:
             offset = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda s, n: s + n) + F.aggregate(
                 F.slice(raw, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)
             )
@@ -304,7 +304,9 @@ def screen(docs: DataFrame, key: str, text: str = "text", most: int = 20) -> Dat
                 F.lit(severity).alias("severity"), F.length(r).alias("n"),
             )
 
-        found.append(F.transform(raw, one))
+        return F.transform(raw, one)
+
+    found = [of(nth, *rule) for nth, rule in enumerate(RULES)]
     signals = F.slice(F.concat(*found), 1, most)
     rows = docs.select(key, body.alias("body"), F.explode(signals).alias("s"))
     low = F.greatest(F.col("s.offset") - 60, F.lit(0))

@@ -186,7 +186,7 @@ def r18_locate_excerpt(spark, sf_dir):
 @register("SELECT doc_id, true AS verified, 'normalized' AS method, lower(regexp_replace(substr(text, 1, 120), '\\s+', ' ', 'g')) AS matched FROM documents WHERE length(text) >= 120 AND regexp_matches(substr(text, 1, 1), '\\S') AND regexp_matches(substr(text, 120, 1), '\\S') AND strpos(text, 'ff') = 0")
 def r18_normalised_excerpt(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.length("text") >= 120).filter(F.substring("text", 1, 1).rlike(r"\S") & F.substring("text", 120, 1).rlike(r"\S") & (F.instr("text", "ff") == 0))
-    typed = F.concat(F.upper(F.regexp_replace(F.substring("text", 1, 120), r"\s+", "  \n ")), F.lit(" "))
+    typed = F.concat(F.regexp_replace(F.substring("text", 1, 120), r"\s+", "  \n "), F.lit(" "))
     drafts = d.select("doc_id", F.col("doc_id").alias("version_id"), F.lit(1).alias("page_number"), typed.alias("excerpt")).withColumn("excerpt", F.regexp_replace(F.lower("excerpt"), " +$", ""))
     out = V.verify_citations(drafts, d.select(F.col("doc_id").alias("version_id"), F.lit(1).alias("page_number"), F.regexp_replace("text", " ", "  ").alias("text")))
     return out.select("doc_id", "verified", "method", F.lower(F.regexp_replace("matched_text", r"\s+", " ")).alias("matched"))
