@@ -157,8 +157,8 @@ def g1_access_audit(spark, sf_dir):
 def g3_abandoned_uploads(spark, sf_dir):
     s = W.sources(spark, sf_dir).select("source_id", F.when(F.col("status") == "processing", "pending").otherwise(F.col("status")).alias("status"))
     have = s.filter("source_id % 4 = 0").select("source_id")
-    tickets = s.select("source_id", F.when(F.col("source_id") % 6 < 3, W.AS_OF - F.expr("INTERVAL 1 DAY")).otherwise(W.AS_OF).alias("expires_at"))
-    return A.abandoned_uploads(s, have, tickets, W.AS_OF)
+    tickets = s.select("source_id", F.when(F.col("source_id") % 6 < 3, W.as_of() - F.expr("INTERVAL 1 DAY")).otherwise(W.as_of()).alias("expires_at"))
+    return A.abandoned_uploads(s, have, tickets, W.as_of())
 
 
 @register(f"WITH {W.SOURCES} SELECT source_id FROM src WHERE status = 'ready' AND document_type = 'en' AND owner_user_id = 7")
@@ -189,7 +189,7 @@ def p4_ranges(spark, sf_dir):
 
 @register(f"WITH {W.SOURCES} SELECT source_id FROM src WHERE last_synced_at < TIMESTAMP '2026-06-30' - INTERVAL 180 DAY")
 def p5_stale(spark, sf_dir):
-    return W.sources(spark, sf_dir).filter(F.col("last_synced_at") < W.AS_OF - F.expr("INTERVAL 180 DAYS")).select("source_id")
+    return W.sources(spark, sf_dir).filter(F.col("last_synced_at") < W.as_of() - F.expr("INTERVAL 180 DAYS")).select("source_id")
 
 
 @register("SELECT p_partkey FROM part WHERE '6.' || (p_partkey % 30) || '.' || p_size LIKE '6.4.%' OR '6.' || (p_partkey % 30) || '.' || p_size LIKE '6.7.%'")

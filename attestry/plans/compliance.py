@@ -156,7 +156,7 @@ def c26_strategy(spark, sf_dir):
 
 @register(f"""WITH {W.SOURCES} SELECT workspace_id, count(*) AS due, count(*) FILTER (WHERE workspace_id = 2) AS held FROM src WHERE deleted_at IS NOT NULL AND last_synced_at < TIMESTAMP '2026-06-30' - INTERVAL 30 DAY GROUP BY 1""")
 def c27_retention(spark, sf_dir):
-    due = W.sources(spark, sf_dir).filter(F.col("deleted_at").isNotNull() & (F.col("last_synced_at") < W.AS_OF - F.expr("INTERVAL 30 DAYS")))
+    due = W.sources(spark, sf_dir).filter(F.col("deleted_at").isNotNull() & (F.col("last_synced_at") < W.as_of() - F.expr("INTERVAL 30 DAYS")))
     return due.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("due"), F.count_if(F.col("workspace_id") == 2).alias("held"))
 
 

@@ -63,7 +63,7 @@ SELECT h.*, coalesce(g.duplicates, 0) AS duplicates FROM h LEFT JOIN g USING (wo
 def _health(spark, sf_dir):
     s = W.sources(spark, sf_dir)
     grants, linked = s.filter("source_id % 9 = 0").select("source_id"), s.filter("source_id % 6 = 0").select("source_id")
-    return M.health_inputs(s, M.promote(W.versions(spark, sf_dir)), grants, linked, W.AS_OF)
+    return M.health_inputs(s, M.promote(W.versions(spark, sf_dir)), grants, linked, W.as_of())
 
 
 @register(_HEALTH)
@@ -264,8 +264,8 @@ def k7_actions(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY kind, workspace_id ORDER BY stamp DESC, item_id) AS r FROM a)
 SELECT kind, item_id, workspace_id FROM r WHERE r <= 5 AND NOT (kind = 'failed_job' AND item_id % 3 = 0)""")
 def x2_attention(spark, sf_dir):
-    f = W.findings(spark, sf_dir).filter("risk = 'critical'").select(F.col("requirement_id").alias("item_id"), (F.col("requirement_id") % 4).alias("workspace_id"), W.AS_OF.alias("at"))
-    s = W.sources(spark, sf_dir).filter(F.col("last_synced_at") < W.AS_OF - F.expr("INTERVAL 180 DAYS")).select(F.col("source_id").alias("item_id"), "workspace_id", F.col("last_synced_at").alias("at"))
+    f = W.findings(spark, sf_dir).filter("risk = 'critical'").select(F.col("requirement_id").alias("item_id"), (F.col("requirement_id") % 4).alias("workspace_id"), W.as_of().alias("at"))
+    s = W.sources(spark, sf_dir).filter(F.col("last_synced_at") < W.as_of() - F.expr("INTERVAL 180 DAYS")).select(F.col("source_id").alias("item_id"), "workspace_id", F.col("last_synced_at").alias("at"))
     e = table(spark, sf_dir, "events")
     j = e.filter("value > 95").select(F.col("event_id").alias("item_id"), (F.col("event_id") % 4).alias("workspace_id"), F.col("ts").alias("at"))
     gone = e.filter("event_id % 3 = 0").select(F.lit("failed_job").alias("kind"), F.col("event_id").alias("item_id"))

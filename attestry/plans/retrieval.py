@@ -138,7 +138,7 @@ def _hybrid(spark, sf_dir):
     fused = R.fuse({"lexical": R.lexical(q, _index(spark, sf_dir)), "locator": R.locator(q, located)})
     rows = fused.join(c.select("chunk_id", "content", "version_id", "source_id", "page_number"), "chunk_id").join(q.withColumnRenamed("text", "query_text"), "query_id")
     rows = rows.withColumns({"chapter": none, "section": none, "clause": none, "kind": F.lit("paragraph"), "effective_date": F.lit(None).cast("date")})
-    ranked = R.drop_near_duplicates(R.rerank(rows, W.AS_OF))
+    ranked = R.drop_near_duplicates(R.rerank(rows, W.as_of()))
     return R.diversify(ranked, 12, 4)
 
 

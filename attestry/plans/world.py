@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
@@ -12,7 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-AS_OF = F.lit("2026-06-30").cast("timestamp")
+def as_of() -> Column:
+    """The instant that queries take for now."""
+    return F.lit("2026-06-30").cast("timestamp")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +24,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("document_type"),
         F.when(k % 10 == 0, "failed").when(k % 10 == 1, "needs_review").when(k % 10 == 2, "processing").otherwise("ready").alias("status"),
         (k % 150).alias("owner_user_id"), F.when(k % 5 == 0, "workspace").otherwise("restricted").alias("access_scope"),
-        (k % 3 == 0).alias("promoted"), F.when(k % 17 == 0, AS_OF).alias("deleted_at"),
-        (AS_OF - F.make_dt_interval((k % 400).cast("int"))).alias("last_synced_at"),
+        (k % 3 == 0).alias("promoted"), F.when(k % 17 == 0, as_of()).alias("deleted_at"),
+        (as_of() - F.make_dt_interval((k % 400).cast("int"))).alias("last_synced_at"),
         F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("source", "lang")).alias("tags"),
         F.when(F.col("lang") == "en", "governing").otherwise("project").alias("role"), "text", F.col("source").alias("origin"),
     )
@@ -43,7 +45,7 @@ SOURCES = """src AS (
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of each source; the second is promoted for two sources in three."""
     base = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("version_number"))
-    promoted = F.when((F.col("version_number") == 1) | (F.col("source_id") % 3 < 2), AS_OF - F.make_dt_interval(10 - F.col("version_number")))
+    promoted = F.when((F.col("version_number") == 1) | (F.col("source_id") % 3 < 2), as_of() - F.make_dt_interval(10 - F.col("version_number")))
     return base.select(
         (F.col("source_id") * 10 + F.col("version_number")).alias("version_id"), "source_id", "version_number",
         F.sha2(F.when(F.col("version_number") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"),
