@@ -167,11 +167,14 @@ def cut_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str
     cut = spans.groupBy(F.col(key).alias("_key")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("span_start").alias("a"), F.col("span_stop").alias("b")))).alias("_cut")
     )
+    # the row as one column, so that no name of the input can meet one of ours
+    rows, own = docs.select(F.struct(*docs.columns).alias("d")), f"d.`{text}`"
     kept = F.expr(
-        f"""concat(array_join(transform(_cut, (s, i) -> substring(`{text}`,
+        f"""concat(array_join(transform(_cut, (s, i) -> substring({own},
               cast(if(i = 0, 0, _cut[i - 1].b) + 1 as int), cast(s.a - if(i = 0, 0, _cut[i - 1].b) as int))), ''),
-            substring(`{text}`, cast(_cut[size(_cut) - 1].b + 1 as int)))"""
+            substring({own}, cast(_cut[size(_cut) - 1].b + 1 as int)))"""
     )
-    joined = docs.join(cut, F.col(key) == F.col("_key"), "left")
-    columns = [F.when(F.col("_cut").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
+    joined = rows.join(cut, F.col("d")[key] == F.col("_key"), "left")
+    whole = F.col("d")[text]
+    columns = [F.when(F.col("_cut").isNull(), whole).otherwise(kept).alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns]
     return joined.select(*columns)

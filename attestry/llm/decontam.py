@@ -98,4 +98,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """The rows of docs whose key is in no contaminated() row, all columns as they were."""
     leaks = contaminated(docs, benchmark, key, **options).select(F.col(key).alias("_leak")).distinct()
     leaks = Scratch(docs.sparkSession).save(leaks, "leaks")
-    return docs.join(bounded(leaks, leaks.count()), docs[key] == F.col("_leak"), "left_anti").select(docs.columns)
+    return docs.join(bounded(leaks, leaks.count()), docs[key] == leaks["_leak"], "left_anti").select(docs.columns)

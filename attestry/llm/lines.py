@@ -72,18 +72,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     runs = repeated_runs(docs, key, text, window)
     run = F.struct(F.col("first_line").alias("a"), F.col("last_line").alias("b"))
     cut = runs.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(run)).alias("_runs"))
-    joined = docs.join(
-        cut.hint("shuffle_hash"), (F.xxhash64(text) == F.col("_h")) & F.col(key).eqNullSafe(F.col("_k")), "left"
-    )
-    lines = F.split(F.col(text).cast("string"), "\n")
+    # the row as one column, so that no name of the input can meet one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("d"))
+    own = F.col("d")[text]
+    joined = rows.join(cut.hint("shuffle_hash"), (F.xxhash64(own) == F.col("_h")) & F.col("d")[key].eqNullSafe(F.col("_k")), "left")
+    lines = F.split(own.cast("string"), "\n")
     # what stands between the runs, then what follows the last one
+    split = f"split(d.`{text}`, '\n')"
     between = F.expr(
         f"""array_join(concat(flatten(transform(_runs, (r, i) ->
-              slice(split(`{text}`, '\n'), if(i = 0, 0, _runs[i - 1].b + 1) + 1, r.a - if(i = 0, 0, _runs[i - 1].b + 1)))),
-            slice(split(`{text}`, '\n'), _runs[size(_runs) - 1].b + 2, size(split(`{text}`, '\n')))), '\n')"""
+              slice({split}, if(i = 0, 0, _runs[i - 1].b + 1) + 1, r.a - if(i = 0, 0, _runs[i - 1].b + 1)))),
+            slice({split}, _runs[size(_runs) - 1].b + 2, size({split}))), '\n')"""
     )
     deleted = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1)
-    kept = [F.when(F.col("_h").isNull(), F.col(c)).otherwise(between).alias(c) if c == text else F.col(c)
+    kept = [F.when(F.col("_h").isNull(), own).otherwise(between).alias(c) if c == text else F.col("d")[c].alias(c)
             for c in docs.columns if c not in ("n_lines", "n_deleted")]
     return joined.select(
         *kept, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),

@@ -219,4 +219,4 @@ def select_quality(
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that select_quality keeps, all columns as they were."""
     kept = select_quality(docs, labels, key, **options).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi").select(docs.columns)

@@ -244,5 +244,5 @@ def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     classes = near_duplicate_classes(docs.filter(F.col(key).isNotNull()), key, text)
     kept = classes.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_k")).distinct()
-    named = docs.join(kept, docs[key] == F.col("_k"), "left_semi").select(docs.columns)
+    named = docs.join(kept, docs[key] == kept["_k"], "left_semi").select(docs.columns)
     return named.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
