@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -251,4 +249,45 @@ def map_valid(checked: DataFrame, key: str = "version_id", share: float = 0.8) -
     return checked.groupBy(key).agg((F.avg(F.col("verified").cast("double")) >= share).alias("valid"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterator", "pd", "Column", "DataFrame", "Window", "F", "N", "T")]
+
+
+POLAR = r"(?i)^\s*(?:does|do|is|are|can|may|must|shall|should|will|has|have|did|was|were)(?![A-Za-z0-9_])"
+
+
+def ask_decisions(queries: DataFrame, claims_: DataFrame, citations: DataFrame, require_verdict: bool = False) -> DataFrame:
+    """(query_id, decision): yes, no, unable_to_determine, or null where no verdict is asked for.
+
+    queries (query_id, text), claims (query_id, supported), citations (query_id, citation_id, role,
+    verified, entailment, excerpt). A figure of a project passage that breaks a governing one decides
+    first; figures are met on (query_id, unit).
+    """
+    good = citations.filter("verified")
+    held = good.select("query_id", "role", "excerpt", F.explode(F.map_entries(N.quantities(N.measurements(F.col("excerpt"))))).alias("m"))
+    rule = held.filter("role = 'governing'").select("query_id", F.col("m.key").alias("unit"), F.col("m.value").alias("required"), F.col("excerpt").alias("rule"))
+    seen = held.filter("role = 'project'").select("query_id", F.col("m.key").alias("unit"), F.col("m.value").alias("actual"))
+    judged = rule.join(seen, ["query_id", "unit"]).groupBy("query_id").agg(F.bool_and(N.satisfies(F.col("rule"), F.col("required"), F.col("actual"))).alias("met"))
+    counts = good.groupBy("query_id").agg(
+        F.count_if(F.col("entailment") == "contradicts").alias("against"), F.count_if(F.col("entailment") == "supports").alias("for_")
+    )
+    some = claims_.groupBy("query_id").agg(F.bool_or("supported").alias("some"))
+    rows = queries.join(judged, "query_id", "left").join(counts, "query_id", "left").join(some, "query_id", "left")
+    against, for_ = F.coalesce("against", F.lit(0)), F.coalesce("for_", F.lit(0))
+    asked = F.col("text").rlike(POLAR) | F.lit(require_verdict)
+    decision = (
+        F.when(~asked, None).when(~F.coalesce("some", F.lit(False)), "unable_to_determine").when(~F.col("met"), "no").when(against > for_, "no")
+        .when(F.col("met") & (for_ > 0), "yes").when((for_ > 0) & (against == 0), "yes").otherwise("unable_to_determine")
+    )
+    return rows.select("query_id", decision.alias("decision"))
+
+
+def decisive_citations(citations: DataFrame, findings: DataFrame, most: int) -> DataFrame:
+    """(by answer) verified first, then those of open findings, contradictions before support before context, then by rerank.
+
+    citations (answer_id, citation_id, verified, entailment, rerank), findings (citation_id, result).
+    """
+    open_ = findings.filter(F.col("result").isin("non_compliant", "needs_evidence")).select("citation_id").distinct().withColumn("_open", F.lit(1))
+    weight = F.when(F.col("entailment") == "contradicts", 0).when(F.col("entailment") == "supports", 1).otherwise(2)
+    rows = citations.join(open_, "citation_id", "left")
+    order = [F.desc("verified"), F.desc(F.coalesce("_open", F.lit(0))), weight, F.desc("rerank"), "citation_id"]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("answer_id").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= most).select("answer_id", "citation_id", "rank")

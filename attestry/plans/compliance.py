@@ -198,3 +198,49 @@ def c8_relevance(spark, sf_dir):
     vocabulary = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("t")).select(T.stem(F.col("t")).alias("term"))
     counts = vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return C.relevance(p, counts).select("idx", F.round("relevance", 6).alias("relevance"))
+
+
+@register("""SELECT p_partkey AS query_id, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'unable_to_determine' WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size > 20 THEN 'no' ELSE 'yes' END
+  WHEN p_partkey % 3 = 1 THEN 'yes' ELSE 'no' END AS decision FROM part""")
+def r29_ask_decisions(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    p = table(spark, sf_dir, "part")
+    q = p.select(k.alias("query_id"), F.when(k % 5 == 0, "Which stair").otherwise("Is the stair wide enough").alias("text"))
+    claims = p.filter("p_partkey % 7 > 0").select(k.alias("query_id"), F.lit(True).alias("supported"))
+    rows = p.select(k.alias("query_id"), F.explode(F.array(F.lit("governing"), F.lit("project"))).alias("role"), (k % 3).alias("c"), n.alias("n"))
+    text = F.when(F.col("c") > 0, "plain words").when(F.col("role") == "governing", "Width shall not exceed 20 m").otherwise(F.concat(F.lit("Width drawn "), F.col("n"), F.lit(" m")))
+    cited = rows.select("query_id", "role", F.lit(True).alias("verified"), F.when(F.col("c") == 2, "contradicts").otherwise("supports").alias("entailment"), text.alias("excerpt"))
+    return V.ask_decisions(q, claims, cited)
+
+
+@register("""SELECT answer_id, citation_id, rank FROM (SELECT p_size AS answer_id, p_partkey AS citation_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey % 2 DESC,
+  CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END DESC, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 6""")
+def k6_decisive(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part")
+    label = F.when(k % 3 == 0, "contradicts").when(k % 3 == 1, "supports").otherwise("context")
+    cited = p.select(F.col("p_size").alias("answer_id"), k.alias("citation_id"), (k % 2 == 1).alias("verified"), label.alias("entailment"), F.col("p_retailprice").alias("rerank"))
+    found = p.filter("p_partkey % 5 = 0").select(k.alias("citation_id"), F.lit("non_compliant").alias("result"))
+    return V.decisive_citations(cited, found, 6)
+
+
+@register("""WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS term FROM part), l AS (SELECT term, CASE WHEN term < 'm' THEN 'early' ELSE 'late' END AS d FROM (SELECT DISTINCT term FROM w) WHERE length(term) > 3),
+h AS (SELECT p_partkey, d, count(*) AS n FROM w JOIN l USING (term) GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY p_partkey) AS share, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, d) AS r FROM h)
+SELECT p_partkey, d AS discipline, round(share, 6) AS share FROM s WHERE share >= 0.4 OR r = 1""")
+def c3_disciplines(spark, sf_dir):
+    w = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lower("p_type"), " ")).alias("term"))
+    lexicon = w.select("term").distinct().filter(F.length("term") > 3).select("term", F.when(F.col("term") < "m", "early").otherwise("late").alias("discipline"))
+    return C.discipline_profile(w, lexicon, "p_partkey", 0.4).withColumn("share", F.round("share", 6))
+
+
+@register(f"""WITH {W.CHUNKS}, t AS (SELECT unnest({W.content_sql('content')}) AS t FROM chk WHERE role = 'project') SELECT {W.stem_sql('t')} AS stem, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 5""")
+def c7_vocabulary(spark, sf_dir):
+    c = W.chunks(spark, sf_dir).filter("role = 'project'").select(F.explode(T.stems(F.col("content"))).alias("stem"))
+    return c.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+
+
+@register(f"""WITH {W.FINDINGS} SELECT review_id, requirement_id, result, CASE WHEN requirement_id % 3 = 0 THEN 'c' || requirement_id ELSE 'not cited' END AS citation FROM fnd""")
+def c21_evidence_rows(spark, sf_dir):
+    f = W.findings(spark, sf_dir)
+    cited = f.filter("requirement_id % 3 = 0").select("requirement_id", F.concat(F.lit("c"), F.col("requirement_id").cast("string")).alias("c"))
+    return f.join(cited, "requirement_id", "left").select("review_id", "requirement_id", "result", F.coalesce("c", F.lit("not cited")).alias("citation"))

@@ -125,3 +125,22 @@ def r33_ingest(spark, sf_dir):
     sample = C.stride_sample(chunks, "version_id", ["ordinal"], 20).select("version_id", "page_number", F.substring(F.col("content"), 1, 60).alias("excerpt"))
     maps = V.map_valid(V.verify_citations(sample, raw))
     return C.ingest_outcome(verdicts, maps, C.extraction_coverage(raw, chunks), "version_id")
+
+
+@register("""SELECT DISTINCT version_id, '6.' || p_size || '.' || id AS reference FROM (SELECT p_partkey % 10 + 1 AS version_id, p_size, p_partkey % 900 AS id FROM part)""")
+def c1_requirement_set(spark, sf_dir):
+    from attestry.operators.compliance import requirement_set
+
+    requirements, _ = requirement_set(C.sections(_coded(spark, sf_dir)))
+    return requirements.select("version_id", "reference")
+
+
+@register("""SELECT p_partkey, 1 AS lines, round(p_size / 100.0, 6) AS x FROM part""")
+def r20_highlight_boxes(spark, sf_dir):
+    def word(t, x):
+        return F.struct(F.lit(t).alias("t"), x.cast("double").alias("x"), F.lit(0.1).alias("y"), F.lit(0.05).alias("w"), F.lit(0.02).alias("h"))
+
+    x = F.col("p_size") / 100.0
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("exit stair").alias("excerpt"), F.array(word("the", F.lit(0.0)), word("Exit", x), word("stair.", x + 0.06)).alias("word_boxes"))
+    boxes = V.highlight_boxes(rows)
+    return boxes.select("p_partkey", F.size("boxes").alias("lines"), F.round(F.col("boxes")[0]["x"], 6).alias("x"))

@@ -125,27 +125,35 @@ def d4_stale_jobs(spark, sf_dir):
 
 def _stream(spark, sf_dir, query, name, mode="append"):
     """Runs a streaming query over the events file to its end and returns what the sink got."""
-    return run_to_end(spark, query, name, mode)
+    out = run_to_end(spark, query, name, mode)
+    kind = table(spark, sf_dir, "events").schema["ts"].dataType
+    return out.withColumn("window_start", F.col("window_start").cast(kind)) if "window_start" in out.columns else out
 
 
 @register("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
 def d1_request_windows(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    e = D.read_events(spark, f"{sf_dir}/events.parquet", schema).filter("ts IS NOT NULL")
+    e = D.read_events(spark, f"{sf_dir}/events.parquet*", schema).filter("ts IS NOT NULL")
     return _stream(spark, sf_dir, D.request_windows(e, 3600), "d1", "complete")
 
 
 @register("SELECT DISTINCT user_id, event_type FROM events")
 def d2_accept_once(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    e = D.read_events(spark, f"{sf_dir}/events.parquet", schema).filter("ts IS NOT NULL")
+    e = D.read_events(spark, f"{sf_dir}/events.parquet*", schema).filter("ts IS NOT NULL")
     return _stream(spark, sf_dir, D.accept_once(e, ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "d2")
 
 
 @register("SELECT event_type AS kind, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS count, round(sum(value), 3) AS sum FROM events GROUP BY 1, 2")
 def d6_metric_windows(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    e = D.read_events(spark, f"{sf_dir}/events.parquet", schema).filter("ts IS NOT NULL").withColumnRenamed("event_type", "kind")
+    e = D.read_events(spark, f"{sf_dir}/events.parquet*", schema).filter("ts IS NOT NULL").withColumnRenamed("event_type", "kind")
     out = _stream(spark, sf_dir, D.metric_windows(e, 360), "d6", "complete")
     return out.select("kind", "window_start", "count", F.round("sum", 3).alias("sum"))
 
+
+
+@register("""SELECT '"' || p_partkey || '","' || p_brand || '"' AS line FROM part""")
+def s13_evidence_csv(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lit(None).cast("string").alias("source"), F.lit("x").alias("page"))
+    return S.csv_lines(S.evidence_columns(rows, ["source", "page"], "source"))
