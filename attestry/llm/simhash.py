@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import Scratch
 from attestry.llm.components import connected_components
+from attestry.llm.nearcopies import representatives
 
 SEED, SHINGLE, MOST_BITS = 42, 4, 4
 #: Three segments suffice for up to five differing bits.
@@ -237,12 +238,13 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each class, the one with the smallest key stays.
+    """The rows of docs without near copies: of each class, the row with the smallest key stays.
 
-    All columns stay as they were. Of repeated rows with that key, the one with the smallest text
-    stays; rows with a null key stay.
+    Near copies are those of nearcopies.py (five-word shingles, Jaccard 0.8 or more), not those of
+    near_duplicate_classes. All columns stay as they were. Of repeated rows with that key, one stays. Rows with a null key stay.
     """
-    classes = near_duplicate_classes(docs.filter(F.col(key).isNotNull()), key, text)
-    kept = classes.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_k")).distinct()
-    named = docs.join(kept, docs[key] == kept["_k"], "left_semi").select(docs.columns)
-    return named.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    kept = representatives(docs.filter(F.col(key).isNotNull()), key, text).select(F.col("k").alias("_k"))
+    # the row as one column, so that no name of the input can meet one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.col(key).alias("_k"))
+    named = rows.join(kept, ["_k"], "left_semi").dropDuplicates(["_k"]).select("d.*")
+    return named.unionByName(docs.filter(F.col(key).isNull()))

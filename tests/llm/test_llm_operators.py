@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.llm import chunks, components, decontam, licenses, lines, packing, quality, secrets, simhash, spotsigs, warc
+from attestry.llm import chunks, components, decontam, licenses, lines, nearcopies, packing, quality, secrets, simhash, spotsigs, warc
 
 WORDS = [a + b for a in ("an", "th", "er", "on", "re", "in", "es", "ti") for b in ("ed", "ion", "ble", "ou", "st", "ha", "ly")]
 
@@ -293,6 +293,32 @@ def test_near_duplicate_classes_of_texts(spark):
     assert simhash.near_duplicate_classes(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("rounds", "share"), [(5, 8), (1, 0), (0, 0)])
+def test_kept_documents_equal_brute_force_jaccard(spark, rounds, share, monkeypatch):
+    monkeypatch.setattr(nearcopies.link_sets, "__defaults__", (rounds, share))
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = prose(rng, 200).split()
+        for _ in range(6):
+            words = [rng.choice(WORDS) if rng.random() < 0.01 else w for w in words]
+            texts.append(" ".join(words))
+    texts += ["one two", "one two three", "One  two"]
+    rows = list(enumerate(texts))
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        n = min(5, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert any((fps[i] ^ fps[j]).bit_count() > 4 for i, j in pairs)
+    root = list(range(len(rows)))
+    for i, j in pairs:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert sorted(r["doc_id"] for r in simhash.keep_one_each(clashing(spark, rows)).collect()) == sorted(set(root))
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1080)]
