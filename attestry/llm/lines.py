@@ -3,6 +3,7 @@
 The smallest line hash of every window of WINDOW lines is a fingerprint: equal windows have equal
 minima, so every repeated run of at least WINDOW lines shares one. Fingerprints that occur once are
 dropped; around the others the match is extended to both sides, as far as whole windows agree.
+A line of at least ``alone`` words, where that is set, is a window of its own.
 """
 
 from __future__ import annotations
@@ -13,36 +14,50 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch
 
 WINDOW = 3
+#: Words from which a single line counts as a passage in the pipeline; the op3 query has windows alone.
+ALONE = 50
 
 
-def window_table(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(k, h, i, least, at, whole): each window's place, its smallest line hash and where, its hash."""
+def window_table(docs: DataFrame, key: str, text: str, window: int, alone: int | None = None) -> DataFrame:
+    """(k, h, i, w, least, at, whole): each window's place and length, its smallest line hash and where, its hash."""
     lines = docs.select(
         F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.split(F.col(text).cast("string"), "\n").alias("lines")
-    ).filter(F.size("lines") >= window)
+    ).filter(F.size("lines") >= (window if alone is None else 1))
     # blank lines alone make no window
     hashed = lines.select(
-        "k", "h", F.transform("lines", lambda x: F.xxhash64(x)).alias("x"), F.transform("lines", lambda x: F.trim(x) == "").alias("blank")
+        "k", "h", F.transform("lines", lambda x: F.xxhash64(x)).alias("x"), F.transform("lines", lambda x: F.trim(x) == "").alias("blank"),
+        F.lit(None).cast("array<boolean>").alias("long") if alone is None else F.transform("lines", lambda x: F.size(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))) >= alone).alias("long"),
     )
 
     def one(i: Column) -> Column:
         part = F.slice("x", i + 1, window)
         least = F.array_min(part)
         return F.struct(
-            i.alias("i"), least.alias("least"), (i + F.array_position(part, least).cast("int") - 1).alias("at"),
+            i.alias("i"), F.lit(window).alias("w"), least.alias("least"), (i + F.array_position(part, least).cast("int") - 1).alias("at"),
             F.xxhash64(part).alias("whole"), F.forall(F.slice("blank", i + 1, window), lambda b: b).alias("blank"),
         )
 
     places = F.transform(F.sequence(F.lit(0), F.size("x") - window), one)
+    if alone is not None:
+        def single(x: Column, i: Column) -> Column:
+            return F.struct(
+                i.alias("i"), F.lit(1).alias("w"), x.alias("least"), i.alias("at"),
+                F.xxhash64(F.array(x)).alias("whole"), (~F.get("long", i)).alias("blank"),
+            )
+
+        singles = F.transform("x", single)
+        places = F.when(F.size("x") >= window, F.concat(places, singles)).otherwise(singles)
     return hashed.select("k", "h", F.inline(F.filter(places, lambda p: ~p["blank"]))).drop("blank")
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, alone: int | None = None) -> DataFrame:
     """(k, h, first_line, last_line): the later repeated runs of at least ``window`` lines, lines from 0.
 
+    With ``alone``, a run may also be one line of at least so many words.
+
     h is the hash of the text, which tells rows with equal keys apart.
     """
-    windows = Scratch(docs.sparkSession).save(window_table(docs, key, text, window), "windows")
+    windows = Scratch(docs.sparkSession).save(window_table(docs, key, text, window, alone), "windows")
     fingerprints = windows.select("k", "h", "at", "least").distinct()
     shared = fingerprints.groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least")
     around = windows.join(shared, "least", "left_semi")
@@ -50,26 +65,28 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     first = around.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
     matched = around.join(first.select("whole", "first"), "whole").filter(place > F.col("first"))
     # a window that overlaps its own first occurrence is not a later one
-    own = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("h") == F.col("first.h")) & (F.col("i") < F.col("first.i") + window)
-    later = matched.filter(~own).select("k", "h", "i")
+    own = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("h") == F.col("first.h")) & (F.col("i") < F.col("first.i") + F.col("w"))
+    later = matched.filter(~own).groupBy("k", "h", "i").agg(F.max(F.col("i") + F.col("w")).alias("stop"))
     in_order = Window.partitionBy("k", "h").orderBy("i")
-    opened = later.withColumn("open", F.when(F.col("i") <= F.lag("i").over(in_order) + window, 0).otherwise(1))
+    reached = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = later.withColumn("open", F.when(F.col("i") <= reached, 0).otherwise(1))
     numbered = opened.withColumn("run", F.sum("open").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("k", "h", "run").agg(
-        F.min("i").alias("first_line"), (F.max("i") + window - 1).alias("last_line")
+        F.min("i").alias("first_line"), (F.max("stop") - 1).alias("last_line")
     ).drop("run")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, alone: int | None = None) -> DataFrame:
     """All rows and columns of docs, the later repeated runs taken out of the text, plus n_lines and n_deleted.
 
     Lines are split at line feeds. Of a run of at least ``window`` lines that occurs more than once,
     the occurrence with the smallest key (then place) stays; every line that lies in a window with
-    an earlier occurrence goes. Windows of blank lines are no match. A text whose lines all go
+    an earlier occurrence goes. With ``alone``, so does every later line of at least so many words,
+    in texts of any number of lines. Windows of blank lines are no match. A text whose lines all go
     becomes empty; a null text stays null, with no lines. Identical rows count as one document and
     are treated alike. Columns n_lines and n_deleted of the input, if any, are replaced.
     """
-    runs = repeated_runs(docs, key, text, window)
+    runs = repeated_runs(docs, key, text, window, alone)
     run = F.struct(F.col("first_line").alias("a"), F.col("last_line").alias("b"))
     cut = runs.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(run)).alias("_runs"))
     # the row as one column, so that no name of the input can meet one of ours

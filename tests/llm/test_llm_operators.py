@@ -107,6 +107,25 @@ def test_line_winnowing_equals_model(spark):
     assert sorted(r["text"] for r in twice.collect()) == ["", "a\nb\nc", "a\nb\nc"]
 
 
+def test_later_long_lines_go_alone(spark):
+    rng = random.Random(13)
+    a, b = prose(rng, 60), prose(rng, 50)
+    rows = [(1, f"{a}\nx\n{a}"), (2, f"p\n{a}\nq\nr\n{b}"), (3, a), (4, f"{b}\nshort"), (5, "short"), (6, "short\np\n" + prose(rng, 49)),
+            (7, f"1\n2\n3\n{a}\n4"), (8, f"0\n1\n2\n3\n{a}\n5\n\n{b}"), (9, None)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, rows), alone=50).collect()}
+    first, want = {}, {9: None}
+    for d, t in rows[:-1]:
+        own = t.split("\n")
+        gone = set()
+        for i in range(len(own)):
+            for n in (1, 3):
+                part = tuple(own[i : i + n])
+                if len(part) == n and (n == 3 or len(own[i].split()) >= 50) and first.setdefault(part, (d, i)) != (d, i):
+                    gone |= set(range(i, i + n))
+        want[d] = "\n".join(x for i, x in enumerate(own) if i not in gone)
+    assert got == want and got[3] == "" and got[4] == "short" and got[8] == "0\n5\n"
+
+
 # --- 4 licenses
 
 
