@@ -241,10 +241,11 @@ def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """The rows of docs without near copies: of each class, the row with the smallest key stays.
 
     Near copies are those of nearcopies.py (five-word shingles, Jaccard 0.8 or more), not those of
-    near_duplicate_classes. All columns stay as they were. Of repeated rows with that key, one stays. Rows with a null key stay.
+    near_duplicate_classes. All columns stay as they were. Rows that share a key are told apart by
+    their text's hash; of identical ones, one stays. Rows with a null key stay.
     """
-    kept = representatives(docs.filter(F.col(key).isNotNull()), key, text).select(F.col("k").alias("_k"))
+    kept = representatives(docs.filter(F.col(key).isNotNull()), key, text).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
     # the row as one column, so that no name of the input can meet one of ours
     rows = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.col(key).alias("_k"))
-    named = rows.join(kept, ["_k"], "left_semi").dropDuplicates(["_k"]).select("d.*")
+    named = rows.join(kept, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select("d.*")
     return named.unionByName(docs.filter(F.col(key).isNull()))

@@ -338,6 +338,13 @@ def test_kept_documents_equal_brute_force_jaccard(spark, rounds, share, monkeypa
     assert sorted(r["doc_id"] for r in simhash.keep_one_each(clashing(spark, rows)).collect()) == sorted(set(root))
 
 
+def test_unrelated_texts_of_one_key_stay(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 100), prose(rng, 100)
+    kept = simhash.keep_one_each(table(spark, [(1, a), (1, b), (1, b), (2, a), (3, b + " more")]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b)])
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1080)]
