@@ -44,10 +44,6 @@ TEMPLATES = (
     ("proprietary", "all rights reserved [[by {{6}}]] no part of {{6}} may be reproduced"),
 )
 
-#: A text without any of these holds no base phrase and no template.
-HINT = re.compile(r"licen|apache|permission|redistribution|creative|cc0|reserved|public|\bcc\b")
-
-
 class Automaton:
     """States are places in the template; a step reads one word."""
 
@@ -119,8 +115,6 @@ class Scanner:
     def scan(self, low: str) -> tuple[int, list[tuple], list[tuple]]:
         """Number of words; (start, label) of base places; (start, end, label, share) of accepted templates."""
         words = WORD.findall(low)
-        if not HINT.search(low):
-            return len(words), [], []
         base, taken = [], []
         for at, word in enumerate(words):
             for phrase, label in self.phrases:

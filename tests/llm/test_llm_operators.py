@@ -144,6 +144,12 @@ def test_license_places_and_templates(spark):
     assert got[100]["n_words"] == 0 and got[100]["first_word"] is None and got[103]["n_words"] == 1
 
 
+def test_license_words_beside_underscores(spark):
+    rows = [(1, "distributed as CC_BY_NC, 4.0"), (2, "_cc by nc_"), (3, "use_cc_0")]
+    got = {r["doc_id"]: r for r in licenses.license_report(licenses.find_licenses(table(spark, rows))).collect()}
+    assert [(got[d]["n_base"], got[d]["first_word"], got[d]["labels"]) for d in (1, 2, 3)] == [(1, 2, "cc-by-nc"), (1, 0, "cc-by-nc"), (0, None, "")]
+
+
 # --- 5 packing
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
