@@ -7,89 +7,115 @@ would leave its slot visibly unfilled; what is left over of a class is bounded a
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.common import Scratch
 
-CAPACITY, END_ID, SLACK, CACHED = 2048, 1, 0.03, 400_000
+CAPACITY, END_ID, SLACK = 2048, 1, 0.03
+CACHED = 1_500_000  # words whose ids a worker process remembers
+CHUNK_BYTES = 4 << 20  # of text tokenised at once; a longer text is taken alone
+MERGED = 32  # shares whose rests meet at the next level
 
-#: White space, a space, then white space or the end: there a space does not start a word.
-ODD_SPACE = re.compile(r"\s (?:\s|$)")
-#: A word, then punctuation: two units of the pre-tokenizer.
-PLAIN = re.compile(r"( ?[^\W\d_]+)([.,!?;:]*)")
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+#: White space of any script, and a few control characters that some call so.
+WHITE = r"[\t-\r \x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizer, with remembered ids of space-delimited parts.
+    """Ids of whole texts by the tokenizer, with remembered ids of words.
 
-    The byte-level pre-tokenizer always breaks before a single space that starts a word, so a text
-    is the concatenation of its parts " word"; texts where that does not hold, or that name a
-    special token, are encoded whole.
+    The byte-level pre-tokenizer always breaks before a single space that starts a word, so a text is
+    the concatenation of its first word and its parts " word", each tokenised for itself. Arrow splits
+    the texts and numbers the different words; only new ones reach the tokenizer, many in one call.
+    Texts where a space stands between other white space, or that name a special token, are tokenised
+    whole.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # two generations, so that frequent parts outlive a full table
-        self.older: dict[str, bytes] = {}
-        self.letters = byte_letters()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def unit(self, part: str) -> bytes:
-        """Ids of one unit of the pre-tokenizer, straight from the model."""
-        ids = self.known.get(part) or self.older.get(part)
-        if ids is None:
-            letters = part.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-        self.known[part] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        if ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self.whole([text])[0]
-        head, *rest = text.split(" ")
-        parts = [head, *[" " + r for r in rest]]
-        try:
-            known = self.known
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self.learn(set(parts))
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([f"{WHITE} (?:{WHITE}|$)", *("".join(f"\\x{{{ord(c):x}}}" for c in s) for s in special)])
+        self.edge = f"^{WHITE}|{WHITE}$|^$"
+        space = self.tokenizer.model.tokenize("\u0120")[0].value  # the letter of a space byte
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str | tuple, int] = {}  # words after a space; first words as ("", word)
+        self.ids, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def remember(self, names: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        used = int(self.ends[n])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(names) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + len(names) + 1] = used + np.cumsum(sizes)
+        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def numbers(self, words: pa.Array, after_space: bool) -> np.ndarray:
+        """The number of each of some different words, new ones learnt."""
+        names = words.to_pylist() if after_space else [("", w) for w in words.to_pylist()]
         known = self.known
-        return b"".join([known[p] for p in parts])
-
-    def learn(self, parts: set[str]) -> None:
+        found = np.array([known.get(w, -1) for w in names], np.int64)
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        fresh = words.take(pa.array(new))
+        # white space at an edge would run together with the next word's space
+        alone = np.asarray(pc.match_substring_regex(fresh, self.edge)) if after_space else np.ones(len(new), bool)
+        if not alone.all():
+            own = [names[i] for i in new[~alone].tolist()]
+            ids = self.whole([" " + " ".join(own)])[0]
+            self.remember(own, ids, np.diff(np.flatnonzero(self.opens[ids]), append=len(ids)))
+        if alone.any():
+            own = [names[i] for i in new[alone].tolist()]
+            parts = self.whole([" " + w if after_space else w[1] for w in own])
+            self.remember(own, np.concatenate(parts), np.array([len(p) for p in parts]))
+        found[new] = [known[names[i]] for i in new.tolist()]
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; no nulls."""
         if len(self.known) > CACHED:
-            self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for p in parts:
-            if p not in known:
-                ids = older.get(p)
-                if ids is None and (m := PLAIN.fullmatch(p)) and m[1].lstrip(" ").isalpha():
-                    ids = self.unit(m[1]) + (self.unit(m[2]) if m[2] else b"")
-                if ids is None:
-                    new.append(p)
-                else:
-                    known[p] = ids
-        known.update(zip(new, self.whole(new), strict=True))
+            self.forget()
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
+        out: list = [None] * len(texts)
+        at = np.flatnonzero(odd)
+        for i, ids in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist()), strict=True):
+            out[i] = ids
+        at = np.flatnonzero(~odd)
+        if not len(at):
+            return out
+        split = pc.split_pattern(texts.take(pa.array(at)).cast(pa.large_string()), pattern=" ")
+        places = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices)
+        number = self.numbers(coded.dictionary, True)[codes]
+        first = coded.dictionary.take(pa.array(codes[places[:-1]])).dictionary_encode()
+        number[places[:-1]] = self.numbers(first.dictionary, False)[np.asarray(first.indices)]
+        start = self.ends[number]
+        size = self.ends[number + 1] - start
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(start - end + size, size) + np.arange(end[-1])]
+        cuts = np.append(0, end)[places].tolist()
+        for i, a, b in zip(at.tolist(), cuts, cuts[1:], strict=False):
+            out[i] = ids[a:b]
+        return out
 
 
 #: One encoder a worker process, so that later tasks find what earlier ones have learnt.
@@ -102,6 +128,17 @@ def encoder_of(tokenizer_file: str) -> Encoder:
     return ENCODERS[tokenizer_file]
 
 
+def sliced(batch: pa.RecordBatch, texts: pa.Array, most: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batch and its texts in parts of at most ``most`` bytes, or one text."""
+    reached = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    low = 0
+    while low < len(texts):
+        before = reached[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(reached, before + most, "right")))
+        yield batch.slice(low, high - low), texts.slice(low, high - low)
+        low = high
+
+
 def pieces_of(n: int, capacity: int, slack: float) -> list[int]:
     """Lengths of the pieces of n tokens: full ones, then class sizes until the rest fits its slot."""
     out = [capacity] * (n // capacity)
@@ -121,92 +158,104 @@ def tokenize(
     docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
     end_id: int = END_ID, slack: float = SLACK, with_ids: bool = False,
 ) -> DataFrame:
-    """Pieces of all documents: key, start, length, ids_crc32, doc_tokens and, if asked, ids."""
+    """Pieces of all documents: key, start, length, ids_crc32, doc_tokens and, if asked, ids.
+
+    ``_row`` numbers a task's documents, so that equal rows can be dealt apart.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = encoder_of(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, row = encoder_of(tokenizer_file), 0
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
+            for part, texts in sliced(batch, pc.fill_null(batch.column(1), ""), CHUNK_BYTES):
                 whose, rows, ids = [], [], []
-                for at, value in enumerate(part.column(1)):
-                    data = encoder(value.as_py() or "") + end
-                    n = len(data) // 4
-                    cut = 0
+                for at, found in enumerate(encoder(texts)):
+                    data = np.append(found, np.uint32(end_id)).astype("<u4")
+                    n, cut = len(data), 0
                     for size in pieces_of(n, capacity, slack):
-                        own = data[4 * cut : 4 * (cut + size)]
+                        own = data[cut : cut + size]
                         whose.append(at)
-                        rows.append((cut, size, zlib.crc32(own), n))
+                        rows.append((cut, size, zlib.crc32(own), n, row + at))
                         if with_ids:
-                            ids.append(np.frombuffer(own, "<u4").astype(np.int32))
+                            ids.append(own.astype(np.int32))
                         cut += size
+                row += len(part)
                 columns = [part.column(0).take(pa.array(whose, pa.int32()))]
-                columns += [pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else ([],) * 4)]
+                columns += [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names = ["k", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
+    names = ["k", "start", "length", "ids_crc32", "doc_tokens", "_row", "ids"]
     slim = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    schema = f"k {slim.schema['k'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
+    kind = slim.schema["k"].dataType.simpleString()
+    schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, _row long"
     return slim.mapInArrow(encode, schema + ", ids array<int>" * with_ids).withColumnRenamed("k", key)
 
 
 def harmonic_bins(pieces: DataFrame, capacity: int = CAPACITY, workers: int | None = None, key: str = "doc_id") -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (key, start, length, ...) of 1 to capacity tokens.
+    """Adds ``sequence_id`` and ``offset`` to pieces (key, start, length, ids_crc32, doc_tokens, _row, ...).
 
     First each of ``workers`` shares of a class fills bins of its own. What a share has left, fewer
-    than j pieces, meets the other shares' rest of that class, which again fills bins of j. At most
-    j - 1 pieces of each class then remain, whatever the input's size; one small task fits them.
+    than j pieces, meets the rests of MERGED - 1 other shares of that class, which again fill bins of
+    j, and so on until one share is left: a group of rests has fewer than MERGED * j pieces, whatever
+    the input's size. At most j - 1 pieces of each class then remain, some 10,000 in all; one small
+    task fits them.
     """
     spark = pieces.sparkSession
     shares = workers or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    columns = pieces.columns
-    order = [F.col(key), F.col("start"), F.col("ids_crc32")]
-    classed = pieces.withColumn("_class", F.floor(F.lit(capacity) / F.col("length")).cast("long")).withColumn(
-        "_share", F.pmod(F.xxhash64(F.coalesce(F.col(key), F.lit(0)), "start"), F.lit(shares))
+    columns = [c for c in pieces.columns if c != "_row"]
+    order = [F.col(c) for c in (key, "start", "ids_crc32", "doc_tokens", "_row")]
+    rest = pieces.withColumn("_class", F.floor(F.lit(capacity) / F.col("length")).cast("long")).withColumn(
+        "_share", F.pmod(F.xxhash64(key, "start", "ids_crc32", "_row"), F.lit(shares))
     )
 
-    def fill(df: DataFrame, by: list[str], level: int) -> tuple[DataFrame, DataFrame]:
-        within = Window.partitionBy(*by)
+    def fill(df: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        within = Window.partitionBy("_class", "_share")
         ranked = df.withColumn("_rank", F.row_number().over(within.orderBy(*order)) - 1).withColumn(
             "_count", F.count(F.lit(1)).over(within)
         )
         ranked = ranked.withColumn("_bin", F.floor(F.col("_rank") / F.col("_class")))
         is_full = (F.col("_bin") + 1) * F.col("_class") <= F.col("_count")
-        share = F.col("_share") if "_share" in by else F.lit(0)
-        number = (
-            F.shiftleft(F.lit(level).cast("long"), 60) + F.shiftleft(F.col("_class"), 48)
-            + F.shiftleft(share.cast("long"), 32) + F.col("_bin")
-        )
-        before = Window.partitionBy(*by, "_bin").orderBy(*order, "_rank").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("_class", "_share", "_bin").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
         full = ranked.filter(is_full).select(
-            *columns, number.alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
+            *columns, numbered(level).alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
         )
-        return full, ranked.filter(~is_full).select(*columns, "_class", "_share")
+        return full, ranked.filter(~is_full).select(*columns, "_row", "_class", "_share")
 
-    first, rest = fill(classed, ["_class", "_share"], 0)
-    second, rest = fill(rest, ["_class"], 1)
+    def numbered(level: int) -> Column:
+        return (
+            F.shiftleft(F.lit(level).cast("long"), 59) + F.shiftleft(F.col("_class"), 47)
+            + F.shiftleft(F.col("_share").cast("long"), 31) + F.col("_bin")
+        )
+
+    packed, level = None, 0
+    while True:
+        full, rest = fill(rest, level)
+        packed = full if packed is None else packed.unionByName(full)
+        if shares == 1:
+            break
+        shares, level = -(-shares // MERGED), level + 1
+        # written, so that a level reads what the one before has left and does not fill its bins again
+        rest = Scratch(spark).save(rest, "rest").withColumn("_share", F.pmod("_share", F.lit(shares)))
 
     def fit(frame):
         """First fit, longest first, of the bounded remainder."""
-        frame = frame.sort_values(["length", key, "start"], ascending=[False, True, True])
+        frame = frame.sort_values(["length", key, "start", "ids_crc32"], ascending=[False, True, True, True])
         room, at, bins = [], [], []
         for n in frame["length"]:
             k = next((k for k, r in enumerate(room) if r >= n), len(room))
             if k == len(room):
                 room.append(capacity)
             at.append(capacity - room[k])
-            bins.append((2 << 60) + k)
+            bins.append((level + 1 << 59) + k)
             room[k] -= n
-        return frame.drop(columns=["_class", "_share", "_all"]).assign(sequence_id=bins, offset=at)
+        return frame.drop(columns=["_row", "_class", "_share", "_all"]).assign(sequence_id=bins, offset=at)
 
-    schema = first.schema
-    third = rest.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, schema)
-    return first.unionByName(second).unionByName(third)
+    last = rest.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, packed.schema)
+    return packed.unionByName(last)
 
 
 def pack_documents(
@@ -221,5 +270,5 @@ def pack_documents(
     table gives no pieces. Other columns of the input are not read.
     """
     pieces = tokenize(docs, tokenizer_file, key, text, capacity, end_id, slack, with_ids)
-    pieces = Scratch(docs.sparkSession).save(pieces, "pieces")  # tokenised once, read three times
+    pieces = Scratch(docs.sparkSession).save(pieces, "pieces")  # tokenised once, read at the first level and for its rest
     return harmonic_bins(pieces, capacity, workers, key)
