@@ -46,11 +46,13 @@ def arc_head(name: str, version: int) -> bytes:
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields, block) of each record; the archive's own version block tells the fields.
+    """(header fields, block) of each record; a version block at the file's start tells the fields.
 
-    A length that leads past the end of the file gives the block up to there.
+    A version block is known by its place: its fields have the type ``warcinfo``, those of a later
+    record of the same scheme do not. A length that leads past the end of the file gives the block
+    up to there.
     """
-    at, version = 0, 1
+    at, version, opened = 0, 1, False
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
@@ -63,14 +65,17 @@ def arc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
         length = int(parts[-1]) if parts[-1].isdigit() else 0
         block = data[at : at + length]
         at += length
-        if line.startswith(b"filedesc://"):
+        is_head = not opened and line.startswith(b"filedesc://")
+        opened = True
+        if is_head:
             version = 2 if block[:1] == b"2" else 1
         fields = ARC_FIELDS[version]
         if len(parts) < len(fields):
             fields = ARC_FIELDS[1]
         # an unescaped space in the URL makes more parts; the other fields are counted from the right
         extra = len(parts) - len(fields)
-        yield dict(zip(fields, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]], strict=False)), block
+        told = dict(zip(fields, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]], strict=False))
+        yield (told | {"type": "warcinfo"}) if is_head else told, block
 
 
 def warc_date(stamp: str) -> str:
@@ -88,24 +93,27 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
 
 
 def converted(fields: dict, block: bytes) -> dict:
-    """What a WARC record needs of an ARC record: identifier, timestamp, type, digests."""
+    """What a WARC record needs of an ARC record but for its identifier: timestamp, type, digests."""
     head, payload = split_http(block)
-    url, stamp = fields["url"], warc_date(fields["date"])
-    kind = "warcinfo" if url.startswith("filedesc://") else "response" if head else "resource"
-    own = digest_of(payload)
     name = fields.get("filename", "")
     page = name[5:-5] if name.startswith("page-") and name.endswith(".html") else ""
     return {
-        "url": url, "date": stamp, "ip": fields["ip"], "mime": fields["mime"], "type": kind, "digest": own,
-        "record_id": f"urn:uuid:{uuid.uuid5(SPACE_UUID, '|'.join((url, stamp, own, page)))}",
+        "url": fields["url"], "date": warc_date(fields["date"]), "ip": fields["ip"], "mime": fields["mime"],
+        "type": fields.get("type") or ("response" if head else "resource"), "digest": digest_of(payload),
         "page_id": int(page) if page.lstrip("-").isdigit() else None, "head": head, "payload": payload,
     }
 
 
+def record_id(path: str, nth: int) -> str:
+    """A record's identifier: the same for the same place in the same archive, so unique."""
+    return f"urn:uuid:{uuid.uuid5(SPACE_UUID, f'{path}#{nth}')}"
+
+
 def warc_record(r: dict) -> bytes:
-    """A record; a revisit (refers_to set) carries the HTTP head alone."""
-    block = r["head"] if r["refers_to"] else r["head"] + r["payload"]
-    kind = "revisit" if r["refers_to"] else r["type"]
+    """A record; a revisit (``top`` set, the record that it repeats) carries the HTTP head alone."""
+    top = r.get("top")
+    block = r["head"] if top else r["head"] + r["payload"]
+    kind = "revisit" if top else r["type"]
     mime = "application/http; msgtype=response" if r["head"] else r["mime"]
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{r['record_id']}>", f"WARC-Date: {r['date']}",
@@ -114,8 +122,13 @@ def warc_record(r: dict) -> bytes:
     ]
     if r["page_id"] is not None:
         lines.append(f"X-Source-Page: {r['page_id']}")
-    if r["refers_to"]:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{r['refers_to']}>"]
+    if top:
+        lines += [
+            f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(top['path'], top['nth'])}>",
+            f"WARC-Refers-To-Target-URI: {top['url']}", f"WARC-Refers-To-Date: {top['date']}",
+        ]
+        if top["page_id"] is not None:
+            lines.append(f"X-Refers-To-Source-Page: {top['page_id']}")
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -144,11 +157,12 @@ def content_length(head: bytes) -> int | None:
 
 def write_files(rows: DataFrame, path: str) -> None:
     """One gzip file for each row of the single column, a whole archive."""
-    rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").mode("overwrite").text(path)
+    out = rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    out.mode("overwrite").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def unzipped(data: bytes) -> bytes:
@@ -192,60 +206,60 @@ def write_arc(pages: DataFrame, path: str, version: int = 2, most: int = ARCHIVE
     write_files(slim.mapInArrow(run, "value binary").select(F.col("value").cast("string")), path)
 
 
-SLIM = "url string, date string, ip string, mime string, type string, digest string, record_id string, page_id long"
+KEYS = "path string, nth long, page_id long, digest string, bytes long, url string, date string"
 
 
-def read_arc(spark: SparkSession, path: str, with_blocks: bool = True) -> DataFrame:
-    """Converted fields of every record but the version blocks; head and payload as binary if asked."""
-    names = ["url", "date", "ip", "mime", "type", "digest", "record_id", "page_id"] + ["head", "payload"] * with_blocks
+def arc_keys(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record of the archives but their version blocks: its place, page, payload digest and size."""
+    names = [part.split()[0] for part in KEYS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows):
-            kinds = [pa.string()] * 7 + [pa.int64()] + [pa.binary()] * 2
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=False)], names
-            )
-
         for batch in batches:
-            for file in batch.column(0):
-                rows, size = [], 0
-                for fields, block in arc_records(unzipped(file.as_py())):
-                    record = converted(fields, block)
-                    if record["type"] == "warcinfo":
-                        continue
-                    rows.append(record)
-                    size += len(block)
-                    if size > 1 << 22:
-                        yield batch_of(rows)
-                        rows, size = [], 0
-                yield batch_of(rows)
+            for file, content in zip(*batch.columns, strict=True):
+                rows = []
+                for nth, (fields, block) in enumerate(arc_records(unzipped(content.as_py()))):
+                    r = converted(fields, block)
+                    if r["type"] != "warcinfo":
+                        rows.append((file.as_py(), nth, r["page_id"], r["digest"], len(r["payload"]), r["url"], r["date"]))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return read_files(spark, path).mapInArrow(run, SLIM + ", head binary, payload binary" * with_blocks)
+    return read_files(spark, path).mapInArrow(run, KEYS)
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, most: int = ARCHIVE_BYTES) -> None:
-    """Converts archives; of records with equal payloads of at least least_bytes the largest page_id stays.
+SALTS = 16  # parts of a group of equal payloads, so that no task meets a whole one
+
+
+def repeats(keys: DataFrame, least_bytes: int) -> DataFrame:
+    """(path, again): for each archive, the places of its records that repeat another, and which.
 
-    The others become revisits of it. Where no page_id is known, the largest record identifier stays.
-    The choice is aggregated over digests alone and joined back, so no group of copies meets in a task.
+    Of records with equal payloads of at least least_bytes the one with the largest page_id stays
+    (null is less than any), of equal ones the last in place. Groups are aggregated to one row and
+    met again in SALTS parts; an archive is bounded, so its list is.
     """
-    keys = read_arc(spark, arc_path, with_blocks=False)
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), F.col("record_id"))
-    chosen = keys.groupBy("digest").agg(F.max(order).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    chosen = chosen.select(F.col("digest").alias("d"), F.col("top.page_id").alias("top_page"), F.col("top.record_id").alias("top_id"))
-    records = read_arc(spark, arc_path)
-    again = (F.col("d").isNotNull()) & (F.length("payload") >= least_bytes) & (
-        (F.coalesce("page_id", F.lit(-(1 << 63))) != F.col("top_page")) | (F.col("page_id").isNull() & (F.col("record_id") != F.col("top_id")))
-    )
-    judged = records.join(chosen, records["digest"] == chosen["d"], "left").select(
-        records["*"], F.when(again, F.col("top_id")).alias("refers_to")
-    )
+    place = F.struct("page_id", "path", "nth", "url", "date")
+    large = keys.filter(F.col("bytes") >= least_bytes)
+    chosen = large.groupBy("digest").agg(F.max(place).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    salted = chosen.select("digest", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = large.select("digest", "path", "nth", F.pmod(F.xxhash64("path", "nth"), F.lit(SALTS)).cast("int").alias("salt"))
+    again = dealt.join(salted, ["digest", "salt"]).filter((F.col("path") != F.col("top.path")) | (F.col("nth") != F.col("top.nth")))
+    return again.groupBy("path").agg(F.collect_list(F.struct("nth", "top")).alias("again"))
+
+
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, most: int = ARCHIVE_BYTES) -> None:
+    """Converts archives, each with the list of its records that become revisits; payloads are not shuffled."""
+    files = read_files(spark, arc_path).join(repeats(arc_keys(spark, arc_path), least_bytes), "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[bytes]:
             for batch in batches:
-                for at in range(0, len(batch), 256):
-                    yield from map(warc_record, batch.slice(at, 256).to_pylist())
+                for path, content, again in zip(*batch.columns, strict=True):
+                    path, tops = path.as_py(), {r["nth"]: r["top"] for r in again.as_py() or ()}
+                    for nth, (fields, block) in enumerate(arc_records(unzipped(content.as_py()))):
+                        r = converted(fields, block)
+                        if r["type"] != "warcinfo":
+                            yield warc_record(r | {"record_id": record_id(path, nth), "top": tops.get(nth)})
 
         info = b"software: attestry\r\nformat: WARC File Format 1.1\r\n"
         head = (
@@ -254,11 +268,11 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
         ) % (str(uuid.uuid5(SPACE_UUID, "warcinfo")).encode(), len(info), info)
         return archives(rows(), head, most)
 
-    write_files(judged.mapInArrow(run, "value binary").select(F.col("value").cast("string")), warc_path)
+    write_files(files.mapInArrow(run, "value binary").select(F.col("value").cast("string")), warc_path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response, resource and revisit records: page_id, type, record_id, refers_id, payload bytes and digest."""
+    """Response, resource and revisit records: page_id, type, record_id, refers_id, refers_page, payload bytes and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,18 +287,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "revisit":
                         size = content_length(head)
                         own = headers["warc-payload-digest"].removeprefix("sha1:")
-                    page = headers.get("x-source-page")
+                    page, refers = headers.get("x-source-page"), headers.get("x-refers-to-source-page")
                     rows.append((
                         int(page) if page else None, kind, headers["warc-record-id"].strip("<>"),
-                        headers.get("warc-refers-to", "").strip("<>") or None, size, own,
+                        headers.get("warc-refers-to", "").strip("<>") or None, int(refers) if refers else None, size, own,
                     ))
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    names = ["page_id", "type", "record_id", "refers_id", "payload_bytes", "payload_digest"]
-    schema = "page_id long, type string, record_id string, refers_id string, payload_bytes long, payload_digest string"
-    return read_files(spark, path).mapInArrow(run, schema)
+    names = ["page_id", "type", "record_id", "refers_id", "refers_page", "payload_bytes", "payload_digest"]
+    schema = "page_id long, type string, record_id string, refers_id string, refers_page long, payload_bytes long, payload_digest string"
+    return read_files(spark, path).select("content").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0, version: int = 2) -> DataFrame:
@@ -292,21 +306,18 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, version: int = 2) -> D
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to (the page_id of the
     response that a revisit refers to). Null html is an empty payload, and empty payloads equal each
-    other. Repeated rows with the largest page_id of their payload are all responses. Rows with a
-    null page_id stay and take the last place. An empty table gives no rows. Other columns are not
-    read.
+    other. Of repeated rows one is the response and the others revisit it. A null page_id is less
+    than any other, and a revisit of such a record refers to null. Any url is kept, one that looks
+    like a version block's included; white space in it is escaped. An empty table gives no rows.
+    Other columns are not read.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark)
     write_arc(pages, scratch.path("arc"), version)
     arc_to_warc(spark, scratch.path("arc"), scratch.path("warc"), least_bytes)
     scratch.drop("arc")
-    back = scratch.save(read_warc(spark, scratch.path("warc")), "records")
-    told = back.filter("type <> 'revisit'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    told = told.dropDuplicates(["refers_id"])
-    again = back.filter("refers_id IS NOT NULL").join(told, "refers_id", "left")
-    first = back.filter("refers_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
-    return again.unionByName(first).select(
+    return read_warc(spark, scratch.path("warc")).select(
         "page_id", "payload_bytes", "payload_digest",
-        F.when(F.col("type") == "revisit", "revisit").otherwise("response").alias("record_type"), "refers_to",
+        F.when(F.col("type") == "revisit", "revisit").otherwise("response").alias("record_type"),
+        F.col("refers_page").alias("refers_to"),
     )

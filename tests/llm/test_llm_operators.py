@@ -247,20 +247,20 @@ def test_arc_lines_of_both_versions(version):
     assert (head["type"], page["type"], dns["type"]) == ("warcinfo", "response", "resource")
     assert page["url"] == "http://h/a b" and page["date"] == "1998-01-02T03:04:05Z" and dns["date"] == "1998-01-02T03:04:00Z"
     assert page["digest"] == base64.b32encode(hashlib.sha1(body[19:]).digest()).decode() and page["page_id"] == (7 if version == 2 else None)
-    assert [b for _, b in warc.warc_records(warc.warc_record(page | {"refers_to": None}))] == [body]
+    assert [b for _, b in warc.warc_records(warc.warc_record(page | {"record_id": "urn:uuid:1"}))] == [body]
 
 
 def test_archives_equal_brute_force(spark):
-    rows = [(1, "http://a", "<p>x</p>"), (2, "http://b c", "<p>x</p>"), (3, None, "é\r\n\r\nWARC/1.1\r\n"), (4, "http://d", None), (5, "http://e", ""), (6, "u", "y" * 70_000)]
+    rows = [(1, "http://a", "<p>x</p>"), (2, "http://b c", "<p>x</p>"), (3, None, "é\r\n\r\nWARC/1.1\r\n"), (4, "http://d", None), (5, "http://e", ""), (6, "u", "y" * 70_000),
+            (7, "filedesc://x.arc", "<p>own</p>"), (None, "http://n", "<p>x</p>"), (8, "http://g", "é 漢 😀"), (9, "a\nb", "z"), (9, "a\nb", "z")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, type string")
-    got = {r["page_id"]: r for r in warc.archive_pages(pages).collect()}
-    top = {}
-    for k, _, h in rows:
-        top[h or ""] = max(k, top.get(h or "", k))
-    for k, _, h in rows:
-        data = (h or "").encode()
-        again = top[h or ""] != k
-        assert tuple(got[k]) == (k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", top[h or ""] if again else None)
+    got, want, seen = sorted(map(tuple, warc.archive_pages(pages).collect()), key=str), [], set()
+    for k, _, h in sorted(rows, key=lambda r: -(r[0] or 0)):
+        data, top = (h or "").encode(), max(j for j, _, x in rows if (x or "") == (h or "") and j is not None)
+        again = (h or "") in seen
+        seen.add(h or "")
+        want.append((k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", top if again else None))
+    assert got == sorted(want, key=str)
     assert {r["page_id"]: r["record_type"] for r in warc.archive_pages(pages, least_bytes=1).collect()}[4] == "response"
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
