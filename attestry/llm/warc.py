@@ -248,8 +248,10 @@ def repeats(keys: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, most: int = ARCHIVE_BYTES) -> None:
-    """Converts archives, each with the list of its records that become revisits; payloads are not shuffled."""
-    files = read_files(spark, arc_path).join(repeats(arc_keys(spark, arc_path), least_bytes), "path", "left")
+    """Converts archives, each with the list of its records that become revisits, a few archives a task."""
+    archives_, again = read_files(spark, arc_path), repeats(arc_keys(spark, arc_path), least_bytes)
+    parts = max(spark.sparkContext.defaultParallelism, archives_.select("path").count() // 4)
+    files = archives_.repartition(parts, "path").join(again.repartition(parts, "path").hint("shuffle_hash"), "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[bytes]:
