@@ -19,17 +19,47 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: (label, template); wording of well-known public licenses and their short notices.
+#: (label, template); fixed values: the wording of well-known public licenses, whole, and of their short notices.
 TEMPLATES = (
     ("mit", "licensed [[to you]] under the [[terms of the]] mit license"),
     ("mit", "released under the [[terms of the]] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of {{12}} and associated "
-            "documentation files {{4}} to deal in {{4}} without restriction including without limitation the rights "
-            "to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of {{12}} and associated
+        documentation files {{4}} to deal in {{4}} without restriction including without limitation the rights to use
+        copy modify merge publish distribute sublicense and or sell copies of {{4}} and to permit persons to whom {{4}}
+        is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        [[including the next paragraph]] shall be included in all copies or substantial portions of {{4}} {{4}} is
+        provided as is without warranty of any kind express or implied including but not limited to the warranties of
+        merchantability fitness for a particular purpose and noninfringement in no event shall {{8}} be liable for any
+        claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+        connection with {{4}} or the use or other dealings in {{4}}"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
+        granted provided that the above copyright notice and this permission notice appear in all copies the software
+        is provided as is and {{6}} disclaims all warranties with regard to this software including all implied
+        warranties of merchantability and fitness in no event shall {{6}} be liable for any special direct indirect or
+        consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action
+        of contract negligence or other tortious action arising out of or in connection with the use or performance of
+        this software"""),
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that
+        the following conditions are met [[1]] redistributions of source code must retain the above copyright notice
+        this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the
+        above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution [[[[3]] neither the name of {{10}} nor the names of {{4}} contributors
+        may be used to endorse or promote products derived from this software without specific prior written permission]]
+        this software is provided by {{10}} as is and any express or implied warranties including but not limited to the
+        implied warranties of merchantability and fitness for a particular purpose are disclaimed"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be
+        held liable for any damages arising from the use of this software permission is granted to anyone to use this
+        software for any purpose including commercial applications and to alter it and redistribute it freely subject to
+        the following restrictions"""),
+    ("bsl-1", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license the software to use reproduce display distribute execute
+        and transmit the software and to prepare derivative works of the software and to permit third parties to whom
+        the software is furnished to do so all subject to the following"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify
+        publish use compile sell or distribute this software either in source code form or as a compiled binary for any
+        purpose commercial or non commercial and by any means"""),
     ("apache-2", "licensed under the apache license version 2 [[0]]"),
     ("apache-2", "you may not use this file except in compliance with the license [[you may obtain a copy of the license at {{8}}]]"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
-            "that the following conditions are met"),
     ("bsd-3", "licensed under the bsd 3 clause [[new or revised]] license"),
     ("gpl-3", "licensed under the gnu general public license [[as published by the free software foundation]] version 3"),
     ("gpl-3", "under the terms of the gnu general public license [[as published by {{6}}]] [[either]] version 3"),
@@ -44,6 +74,7 @@ TEMPLATES = (
     ("proprietary", "all rights reserved [[by {{6}}]] no part of {{6}} may be reproduced"),
 )
 
+
 class Automaton:
     """States are places in the template; a step reads one word."""
 
@@ -111,12 +142,17 @@ class Scanner:
             for word in automaton.first_words():
                 self.by_word[word].append(automaton)
         self.phrases = [(phrase.split(), label) for phrase, label in PHRASES.items()]
+        self.openers = set(self.by_word) | {phrase[0] for phrase, _ in self.phrases}
 
     def scan(self, low: str) -> tuple[int, list[tuple], list[tuple]]:
         """Number of words; (start, label) of base places; (start, end, label, share) of accepted templates."""
         words = WORD.findall(low)
         base, taken = [], []
+        if self.openers.isdisjoint(words):
+            return len(words), base, taken
         for at, word in enumerate(words):
+            if word not in self.openers:
+                continue
             for phrase, label in self.phrases:
                 if word == phrase[0] and words[at : at + len(phrase)] == phrase:
                     base.append((at, label))
@@ -126,7 +162,6 @@ class Scanner:
         return len(words), base, taken
 
 
-LOWER = {upper: upper + 32 for upper in range(65, 91)}
 MATCHES = "array<struct<start:int,stop:int,label:string,share:double>>"
 
 
@@ -147,7 +182,7 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
         for batch in batches:
             counts, bases, matches = [], [], []
             for value in batch.column(1):
-                n, base, taken = scanner.scan((value.as_py() or "").translate(LOWER))
+                n, base, taken = scanner.scan((value.as_py() or "").encode().lower().decode())  # of bytes: A-Z alone
                 counts.append(n)
                 bases.append([{"start": s, "label": label} for s, label in base])
                 matches.append([dict(zip(("start", "stop", "label", "share"), m, strict=True)) for m in taken])

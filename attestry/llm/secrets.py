@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns plus dictionary-primed zstandard novelty.
 
-A candidate string near a sensitive word is priced by the bytes that it adds when it is compressed
+A candidate string near a sensitive word, before or after it, is priced by the bytes that it adds when it is compressed
 inside its surrounding text by a compressor that already knows a dictionary of common identifiers.
 Prose and identifiers cost little; keys and tokens cost nearly their own length and are reported.
 """
@@ -8,7 +8,9 @@ Prose and identifiers cost little; keys and tokens cost nearly their own length
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,6 +55,22 @@ SENSITIVE = re.compile(
     re.ASCII,
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+#: Every match of ASSIGN, and of SENSITIVE, holds one of these in lower case.
+ASSIGN_ROOTS = ("passw", "secret", "token", "api")
+SENSITIVE_ROOTS = (
+    "passw", "passphrase", "pwd", "secret", "token", "api", "private", "access", "credential", "bearer", "authorization",
+    "client", "signature", "session", "webhook", "conn",
+)
+
+
+def holds(low: str, roots: tuple[str, ...]) -> bool:
+    return any(root in low for root in roots)
+
+
+def looks_random(run: str) -> bool:
+    """Letters and digits, or capitals after small letters: what words of prose are not."""
+    letters = any(c.isalpha() for c in run)
+    return letters and (any(c.isdigit() for c in run) or re.search(r"[a-z][A-Z]", run) is not None)
 
 
 class Novelty:
@@ -73,23 +91,37 @@ class Novelty:
         return with_it - len(self.zip.compress(before + after))
 
     def spans(self, text: str, base: list[tuple]) -> list[tuple]:
-        found, seen = [], -1
-        for word in SENSITIVE.finditer(text):
-            at, end = max(word.end(), seen), word.end() + self.reach
-            while (hit := CANDIDATE.search(text, at)) and hit.start() < end:
-                at = seen = hit.end()
-                run = hit.group()
-                mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-                if not mixed or any(s <= hit.start() and hit.end() <= e for _, s, e, _ in base):
-                    continue
-                added = self.added(text, hit.start(), hit.end())
-                if added >= self.least * len(run):
-                    found.append(("novel", hit.start(), hit.end(), added))
+        """Candidates within reach of a sensitive word, before or after it, whose added bytes suffice.
+
+        Sensitive words, candidates and base spans are each found once and met in order, so that the
+        work is in proportion to the text.
+        """
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        if not words:
+            return []
+        starts, stops = [a for a, _ in words], [b for _, b in words]
+        known = sorted((a, b) for _, a, b, _ in base)
+        opens, reached = [a for a, _ in known], list(accumulate((b for _, b in known), max))
+        found = []
+        for hit in CANDIDATE.finditer(text):
+            start, stop = hit.span()
+            # a word ends at most ``reach`` before the candidate or starts at most ``reach`` after it
+            if bisect_right(starts, stop + self.reach) <= bisect_left(stops, start - self.reach):
+                continue
+            covered = bisect_right(opens, start)
+            if (covered and reached[covered - 1] >= stop) or not looks_random(hit.group()):
+                continue
+            added = self.added(text, start, stop)
+            if added >= self.least * (stop - start):
+                found.append(("novel", start, stop, added))
         return found
 
 
-def base_spans(text: str) -> list[tuple]:
-    found = [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+def base_spans(text: str, low: str) -> list[tuple]:
+    """Spans of the fixed patterns; ``low`` is the text in lower case, which tells most texts apart early."""
+    found = []
+    if holds(low, ASSIGN_ROOTS):
+        found += [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
         found += [("access", *m.span(), None) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     found += [("hex", *m.span(), None) for m in HEX.finditer(text)]
@@ -102,8 +134,8 @@ def find_secrets(
     """One row per input row: ``key`` and ``secrets``, its spans by start, then kind.
 
     Offsets are code points, the end exclusive. ``added`` is the marginal size in bytes of a novel
-    span (null for pattern spans). ``reach``: how far after a sensitive word a candidate may start;
-    ``around``: context on either side; ``least``: marginal bytes per character to be reported.
+    span (null for pattern spans). ``reach``: how many characters may lie between a candidate
+    and a sensitive word before or after it; ``around``: context on either side; ``least``: marginal bytes per character to be reported.
     Null or empty text: no spans. Repeated rows stay, each with its own spans. Very long texts are
     scanned whole, a row at a time. Other columns of the input, whatever their names, are not read.
     """
@@ -117,8 +149,10 @@ def find_secrets(
             rows = []
             for value in batch.column(1):
                 whole = value.as_py() or ""
-                base = base_spans(whole)
-                spans = base + novelty.spans(whole, base)
+                low = whole.lower()
+                spans = base_spans(whole, low)
+                if holds(low, SENSITIVE_ROOTS):
+                    spans += novelty.spans(whole, spans)
                 spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
                 rows.append([dict(zip(("kind", "start", "stop", "added"), s, strict=True)) for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["k", "secrets"])

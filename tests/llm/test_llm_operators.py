@@ -129,18 +129,28 @@ def test_later_long_lines_go_alone(spark):
 # --- 4 licenses
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this fine software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS",
+WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR
+A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
 def test_license_places_and_templates(spark):
     rows = [
         (1, "Released under the terms of the MIT License. Under the MIT license."), (2, "Licensed under the Apache License, Version 2.0."), (3, "CC-BY-NC and cc by nc"),
-        (4, "Permission is hereby granted, free of charge, to any person obtaining a copy of this fine software and associated documentation files (the \"Software\"), to deal in the "
-            "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"),
+        (4, MIT), (6, MIT.replace("FITNESS FOR", "FITNESS to")), (7, "x " * 5000 + MIT.upper()),
         (5, "Permission is hereby granted, free of charge, to anyone"), *EDGES,
     ]
     got = {r["doc_id"]: r for r in licenses.license_report(licenses.find_licenses(clashing(spark, rows))).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["base_labels"], got[1]["labels"]) == (1, 8, "mit", "mit")
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["labels"]) == (1, 3, "apache-2")
     assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"]) == (2, 0, 4)
-    assert (got[4]["n_base"], got[4]["labels"], got[5]["labels"]) == (0, "mit", "") and 0 < got[4]["score"] <= 1
+    assert (got[4]["n_base"], got[4]["labels"], got[5]["labels"], got[6]["labels"], got[7]["labels"]) == (0, "mit", "", "", "mit") and 0 < got[4]["score"] <= 1
     assert got[100]["n_words"] == 0 and got[100]["first_word"] is None and got[103]["n_words"] == 1
 
 
