@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,5 +50,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def small_enough(df: DataFrame, size: int) -> DataFrame:
+    """df marked for broadcast if ``size``, a bound of its bytes, is at most BROADCAST_BYTES."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often and however deep in lambdas body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

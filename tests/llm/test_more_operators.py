@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from attestry.llm import licenses, packing, secrets
+from attestry.llm import decontam, licenses, packing, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -139,3 +139,60 @@ def test_packing_of_null_keys_and_repeated_rows(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def model_overlay(words, item, shifts):
+    own = {s: sum(1 for j, w in enumerate(item) if 0 <= j + s < len(words) and words[j + s] == w) for s in shifts}
+    best = min(s for s in own if own[s] == max(own.values()))
+    near = [s for s in shifts if abs(s - best) <= decontam.DRIFT]
+    return best, sum(1 for j, w in enumerate(item) if any(0 <= j + s < len(words) and words[j + s] == w for s in near))
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(5)
+    letters = ["un", "do", "tri", "qua", "cin", "ses", "sep", "oct"]
+    vocabulary = [a + b for a in letters for b in letters]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.choice([3, 4, 8, 20, 40]))]) for i in range(12)]
+    items += [(50, ["again"] * 30), (51, ["a", "b"] * 20), (None, ["x"] * 9), (52, [])]
+    docs = []
+    for d in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.randrange(0, 3)):
+            _, item = rng.choice(items)
+            changed = [w if rng.random() > 0.08 else "zzz" for w in item]
+            at = rng.randrange(len(words) + 1)
+            words = words[:at] + changed + words[at:]
+        docs.append((d if d % 10 else None, words))
+    docs += [docs[3], (7, ["other"]), (200, ["again"] * 100), (201, ["a", "b"] * 50)]
+    got = Counter(
+        (r["doc_id"], r["item_id"], r["start_word"], r["matched_words"])
+        for r in decontam.contaminated(table(spark, [(d, ", ".join(w)) for d, w in docs]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    )
+    want = Counter()
+    for d, words in {(d, tuple(w)) for d, w in docs if d is not None}:
+        for i, item in items:
+            if i is None or not item:
+                continue
+            n, first, shifts = len(item), {}, set()
+            masks = [[j for j, b in enumerate(m) if b == "1"] for m in decontam.MASKS] if n >= 5 else [list(range(n))]
+            for m, mask in enumerate(masks):
+                for j in range(n - mask[-1]):
+                    first.setdefault((m, tuple(item[j + k] for k in mask)), j)
+                for p in range(len(words) - mask[-1]):
+                    if (j := first.get((m, tuple(words[p + k] for k in mask)))) is not None:
+                        shifts.add(p - j)
+            if shifts:
+                best, matched = model_overlay(words, item, shifts)
+                if matched >= (n if n < 5 else 0.8 * n):
+                    want[(d, i, best, matched)] += 1
+    assert got == want and len(want) > 40
+
+
+def test_long_texts_against_items_take_seconds(spark):
+    rng = random.Random(6)
+    words = [rng.choice("abcdefghijklmnop") + rng.choice("abcdefghijklmnop") for _ in range(300_000)]
+    docs = table(spark, [(1, " ".join(words)), (2, "again " * 150_000), (3, None)])
+    bench = spark.createDataFrame([(1, " ".join(words[1000:1500])), (2, "again " * 500)], "item_id long, text string")
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, 1.0), (2, 2, 1.0)} and time.time() - began < 60
