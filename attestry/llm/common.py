@@ -63,5 +63,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+SALTS = 16
+
+
+def salted(rows: DataFrame, small: DataFrame, on: list[str], by: Column, salts: int = SALTS) -> DataFrame:
+    """rows joined with small on columns of which ``small`` has each value once, a value's rows dealt over ``salts`` tasks.
+
+    ``by`` deals the rows of a value; small is repeated for each share, so it should be an aggregate.
+    """
+    shares = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(shares, [*on, "_salt"]).drop("_salt")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.common import Scratch
+from attestry.llm.common import Scratch, salted
 
 ARCHIVE_BYTES = 16 << 20  # of records in one file, unless a single record is larger
 SPACE_UUID = uuid.UUID("6f1f3c1e-6f0e-5b0c-9d53-0c4f5d2b7a11")
@@ -228,22 +228,18 @@ def arc_keys(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path).mapInArrow(run, KEYS)
 
 
-SALTS = 16  # parts of a group of equal payloads, so that no task meets a whole one
-
-
 def repeats(keys: DataFrame, least_bytes: int) -> DataFrame:
     """(path, again): for each archive, the places of its records that repeat another, and which.
 
     Of records with equal payloads of at least least_bytes the one with the largest page_id stays
     (null is less than any), of equal ones the last in place. Groups are aggregated to one row and
-    met again in SALTS parts; an archive is bounded, so its list is.
+    met again in parts; an archive is bounded, so its list is.
     """
     place = F.struct("page_id", "path", "nth", "url", "date")
     large = keys.filter(F.col("bytes") >= least_bytes)
     chosen = large.groupBy("digest").agg(F.max(place).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    salted = chosen.select("digest", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = large.select("digest", "path", "nth", F.pmod(F.xxhash64("path", "nth"), F.lit(SALTS)).cast("int").alias("salt"))
-    again = dealt.join(salted, ["digest", "salt"]).filter((F.col("path") != F.col("top.path")) | (F.col("nth") != F.col("top.nth")))
+    met = salted(large.select("digest", "path", "nth"), chosen.select("digest", "top"), ["digest"], F.xxhash64("path", "nth"))
+    again = met.filter((F.col("path") != F.col("top.path")) | (F.col("nth") != F.col("top.nth")))
     return again.groupBy("path").agg(F.collect_list(F.struct("nth", "top")).alias("again"))
 
 
