@@ -73,3 +73,16 @@ def salted(rows: DataFrame, small: DataFrame, on: list[str], by: Column, salts:
     """
     shares = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int")).join(shares, [*on, "_salt"]).drop("_salt")
+
+
+ROWS_A_TASK = 200_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """As many tasks as so many small rows need, at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, rows // ROWS_A_TASK)
+
+
+def sized(df: DataFrame, rows: int, *on: str) -> DataFrame:
+    """df dealt by columns over tasks_for its rows."""
+    return df.repartition(tasks_for(df.sparkSession, rows), *on)

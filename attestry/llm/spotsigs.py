@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import re
 from base64 import b64encode
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import Scratch
+from attestry.llm.common import Scratch, let
 
 #: Common words of English, French, German and Spanish; the anchors.
 ANCHORS = frozenset(
@@ -22,6 +24,7 @@ ANCHORS = frozenset(
     al como con del el los las lo mas no para pero por se su sus una y""".split()
 )
 CHAIN = 2  # content words in a chain
+LEAST = 0.1  # likeness under which edited_report() says 0
 WORD = re.compile(r"\w+")
 
 
@@ -52,17 +55,31 @@ def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two sorted sets; 0 where their sizes alone keep it under ``least``; 1 for two empty sets."""
+def part_of(size: int, least: float) -> int:
+    """The partition of a set of so many signatures: sizes within a factor 1 / least share one."""
+    return math.floor(math.log(size) / -math.log(least)) if size else -2
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
+    """Jaccard of two sorted sets, 0 where it is under ``least``; 1 for two empty sets.
+
+    Sets whose partitions are not the same or neighbours cannot reach ``least`` and are not compared;
+    then the sizes themselves and the ranges of the signatures bound what two sets can share.
+    """
     small, large = sorted((len(a), len(b)))
     if not large:
         return 1.0
-    if small < least * large or not small:
+    if abs(part_of(len(a), least) - part_of(len(b), least)) > 1 or small < least * large:
+        return 0.0
+    low, high = max(a[0], b[0]), min(a[-1], b[-1])
+    a, b = a[np.searchsorted(a, low) : np.searchsorted(a, high, "right")], b[np.searchsorted(b, low) : np.searchsorted(b, high, "right")]
+    if min(len(a), len(b)) * (1 + least) < least * (small + large):
         return 0.0
     both = np.concatenate([a, b])
     both.sort()
     shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return shared / (small + large - shared)
+    found = shared / (small + large - shared)
+    return found if found >= least else 0.0
 
 
 def encoded(signature: np.ndarray) -> str:
@@ -104,7 +121,7 @@ def similar_pairs(prints: DataFrame, key: str = "doc_id", least: float = 0.8) ->
     sets = scratch.save(
         lowest.select("class_id", "signatures", F.size("signatures").alias("n")).filter("n > 0"), "sets"
     )
-    part = F.floor(F.log(F.col("n")) / float(-np.log(least))).cast("int")
+    part = F.floor(F.log(F.col("n")) / float(-np.log(least))).cast("int")  # as part_of()
     words = sets.select("class_id", "n", F.explode("signatures").alias("s"))
     often = words.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
     ranked = words.join(often, "s").withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("f", "s")))
@@ -124,20 +141,32 @@ def similar_pairs(prints: DataFrame, key: str = "doc_id", least: float = 0.8) ->
     return scored.filter(F.col("jaccard") >= least).select("a", "b", "jaccard"), member
 
 
+def number_below(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are less than x, in about two square roots of their number of steps."""
+    step = max(1, math.isqrt(len(bounds)))
+    every = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    coarse = F.from_json(F.lit(json.dumps(bounds[step - 1 :: step])), "array<bigint>")
+
+    def fine(block: Column) -> Column:
+        return block * step + F.size(F.filter(F.slice(every, block * step + 1, step), lambda b: b < x))
+
+    return let(F.size(F.filter(coarse, lambda b: b < x)), fine)
+
+
 def edited_report(docs: DataFrame, key: str = "doc_id", text: str = "text", chain: int = CHAIN) -> DataFrame:
     """Each text's fingerprint against its edited text's and the next document's.
 
     The edited text has its last third replaced by as much of the start of the next document, in
     descending order of key (after the last, the first). Documents are dealt into ranges of keys; a
     range also gets the first document of the range below it, so texts move once and a task holds
-    two of them at a time. Rows with equal keys follow each other by text; null keys come last.
+    two of them at a time. Rows with equal keys follow each other by text; null keys come last. Keys
+    are whole numbers. Likeness is the pruned Jaccard of jaccard(): 0 if under LEAST.
     """
     spark = docs.sparkSession
     shares = max(8, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    bounds = slim.select("k").approxQuantile("k", [i / shares for i in range(1, shares)], 0.25 / shares)
-    limits = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]) if bounds else F.array(F.lit(0))
-    share = F.when(F.col("k").isNull(), -1).otherwise(F.aggregate(limits, F.lit(0), lambda n, b: n + (F.col("k") > b).cast("int")))
+    bounds = sorted({int(b) for b in slim.select("k").approxQuantile("k", [i / shares for i in range(1, shares)], 0.25 / shares)})
+    share = F.when(F.col("k").isNull(), -1).otherwise(number_below(F.col("k"), bounds))
     ranged = slim.withColumn("share", share)
     tops = sorted(ranged.groupBy("share").agg(F.max("k").alias("top")).collect())  # at most `shares` + 1 rows
     into = [n for n, _ in tops[1:]] + [n for n, _ in tops[:1]]

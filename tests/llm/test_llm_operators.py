@@ -218,6 +218,7 @@ def test_spot_signatures_of_edited_texts(spark):
         a, b, c = map(spotsigs.signatures, (t, new, after))
         sets = [set(x.tolist()) for x in (a, b, c)]
         like = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
+        like = [x if x >= spotsigs.LEAST else 0.0 for x in like]
         assert got[d]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got[d]["n_chars"] == len(t)
         assert [got[d]["near_edited"], got[d]["near_next"]] == pytest.approx(like)
         assert got[d]["fingerprint"] == base64.b64encode(a.astype("<u4").tobytes()).decode()

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from attestry.llm import decontam, licenses, packing, secrets
+from attestry.llm import decontam, licenses, packing, secrets, spotsigs
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -196,3 +196,12 @@ def test_long_texts_against_items_take_seconds(spark):
     began = time.time()
     got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(1, 1, 1.0), (2, 2, 1.0)} and time.time() - began < 60
+
+
+def test_bounds_below(spark):
+    rng = random.Random(7)
+    bounds = sorted({rng.randrange(-50, 50) for _ in range(30)})
+    df = spark.range(-60, 60)
+    for some in (bounds, bounds[:1], []):
+        got = df.select("id", spotsigs.number_below(df["id"], some).alias("n")).collect()
+        assert all(r["n"] == sum(b < r["id"] for b in some) for r in got)
