@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,10 @@ def tasks_for(spark: SparkSession, rows: int) -> int:
 def sized(df: DataFrame, rows: int, *on: str) -> DataFrame:
     """df dealt by columns over tasks_for its rows."""
     return df.repartition(tasks_for(df.sparkSession, rows), *on)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, where a row's result is as large as its text."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch
 
 CAPACITY, END_ID, SLACK = 2048, 1, 0.03
-CACHED = 1_500_000  # words whose ids a worker process remembers
+CACHED = 900_000  # words whose ids a worker process remembers
 CHUNK_BYTES = 4 << 20  # of text tokenised at once; a longer text is taken alone
 MERGED = 32  # shares whose rests meet at the next level
 

@@ -31,7 +31,7 @@ MOST_NATS = 4.0  # of evidence from one n-gram
 CAUTION = 2.0  # nats in favour of the target
 TEMPERATURE = 0.1  # of the Gumbel noise; 0 is a plain cut
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHED = 400_000
+CACHED = 150_000
 
 
 class Features:
