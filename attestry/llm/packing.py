@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch
 
 CAPACITY, END_ID, SLACK = 2048, 1, 0.03
-CACHED = 900_000  # words whose ids a worker process remembers
-CHUNK_BYTES = 4 << 20  # of text tokenised at once; a longer text is taken alone
+CACHED = 400_000  # words whose ids a worker process remembers
+CHUNK_BYTES = 2 << 20  # of text taken at once; a longer text is taken alone
+AT_ONCE = 10_000  # new words that reach the tokenizer in one call
 MERGED = 32  # shares whose rests meet at the next level
 
 #: White space of any script, and a few control characters that some call so.
@@ -47,11 +48,17 @@ class Encoder:
         space = self.tokenizer.model.tokenize("\u0120")[0].value  # the letter of a space byte
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str | tuple, int] = {}  # words after a space; first words as ("", word)
-        self.ids, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+        self.ids, self.ends = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def forget_but(self, words: list[str]) -> None:
+        """Forgets all words but those of the given ones that are known: of a chunk's words, the frequent."""
+        stay = [w for w in words if w in self.known]
+        at = np.array([self.known[w] for w in stay], np.int64)
+        parts = [self.ids[a:b] for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
+        self.known, self.ids, self.ends = {}, np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64)
+        if stay:
+            self.remember(stay, np.concatenate(parts), np.array([len(p) for p in parts]))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,8 +85,9 @@ class Encoder:
         fresh = words.take(pa.array(new))
         # white space at an edge would run together with the next word's space
         alone = np.asarray(pc.match_substring_regex(fresh, self.edge)) if after_space else np.ones(len(new), bool)
-        if not alone.all():
-            own = [names[i] for i in new[~alone].tolist()]
+        plain = new[~alone].tolist()
+        for low in range(0, len(plain), AT_ONCE):
+            own = [names[i] for i in plain[low : low + AT_ONCE]]
             ids = self.whole([" " + " ".join(own)])[0]
             self.remember(own, ids, np.diff(np.flatnonzero(self.opens[ids]), append=len(ids)))
         if alone.any():
@@ -91,8 +99,6 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; no nulls."""
-        if len(self.known) > CACHED:
-            self.forget()
         odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         out: list = [None] * len(texts)
         at = np.flatnonzero(odd)
@@ -105,6 +111,8 @@ class Encoder:
         places = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         codes = np.asarray(coded.indices)
+        if len(self.known) > CACHED:
+            self.forget_but(coded.dictionary.to_pylist())
         number = self.numbers(coded.dictionary, True)[codes]
         first = coded.dictionary.take(pa.array(codes[places[:-1]])).dictionary_encode()
         number[places[:-1]] = self.numbers(first.dictionary, False)[np.asarray(first.indices)]
