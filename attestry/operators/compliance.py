@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import numbers as N
 from attestry.functions import text as T
+from attestry.operators.retrieve import small
 from attestry.operators.verify import conflict_between, long_terms
 
 # Words of an obligation that name no subject.
@@ -279,13 +280,72 @@ def applies_at_height(condition: Column, height: Column) -> Column:
     return F.when(condition["direction"] == "above", height > condition["threshold"]).otherwise(height < condition["threshold"])
 
 
+# The trades and the words that tell them.
+LEXICON = {
+    "smoke_control": "smoke extract exhaust plenum damper duct ventilation pressurization makeup cfm ach vent louver atrium hoistway stair",
+    "fire_detection": "detector detection alarm annunciator notification sounder strobe aspirating beam manual callpoint addressable loop",
+    "fire_suppression": "sprinkler hydrant standpipe riser hose nozzle deluge preaction foam mist extinguisher pump breeching suppression agent",
+    "means_of_egress": "egress exit travel corridor occupant discharge refuge handrail guard baluster tread riser door signage",
+    "gas_systems": "lpg lng cylinder tank regulator odorant propane butane prdp mounded aboveground gas",
+    "facade_structure": "curtainwall facade cladding glazing spandrel perimeter grp aluminium composite panel insulation membrane",
+    "electrical": "busbar switchgear transformer generator ups cable conduit earthing luminaire circuit distribution",
+    "civil_defence_facilities": "apparatus bedroom locker dormitory barracks watchroom appliance brigade station",
+}
+GENERAL = "general"
+
+
+def trade_of(stem: Column) -> Column:
+    """The trade to which alone a stem belongs, else null."""
+    owners: dict[str, set[str]] = {}
+    for trade, words in LEXICON.items():
+        for word in words.split():
+            owners.setdefault(word, set()).add(trade)
+    pairs = [(word, next(iter(own))) for word, own in owners.items() if len(own) == 1]
+    table = F.map_from_arrays(F.array(*[T.stem(F.lit(w)) for w, _ in pairs]), F.array(*[F.lit(t) for _, t in pairs]))
+    return F.try_element_at(table, stem)
+
+
+def trade_counts(text: Column) -> Column:
+    """(n, trade) of the trades whose own words a text has, most first, ties by name."""
+    found = F.filter(F.transform(T.stems(text), trade_of), lambda t: t.isNotNull())
+    counted = F.transform(F.array_distinct(found), lambda t: F.struct(F.size(F.filter(found, lambda x: x == t)).alias("n"), t.alias("trade")))
+    return F.array_sort(counted, lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["trade"] < b["trade"], -1).otherwise(1))
+
+
+def text_disciplines(text: Column, least: float = 0.15) -> Column:
+    """The trades that a text engages with, strongest first: shares of ``least`` or more, else the strongest, else general."""
+
+    def chosen(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda n, c: n + c["n"])
+        enough = F.filter(counts, lambda c: c["n"] >= total * F.lit(least))
+        return F.transform(F.when(F.size(enough) > 0, enough).otherwise(F.slice(counts, F.lit(1), F.lit(1))), lambda c: c["trade"])
+
+    names = F.get(F.transform(F.array(trade_counts(text)), chosen), F.lit(0))
+    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(GENERAL)))
+
+
+def clause_discipline(text: Column) -> Column:
+    """The one trade that a clause names most, null where there is none or a tie."""
+
+    def single(counts: Column) -> Column:
+        first, second = F.get(counts, F.lit(0)), F.get(counts, F.lit(1))
+        return F.when(second.isNull() | (first["n"] > second["n"]), first["trade"])
+
+    return F.get(F.transform(F.array(trade_counts(text)), single), F.lit(0))
+
+
+def in_scope(clause: Column, submission: Column) -> Column:
+    """Whether a submission of these trades may have to answer a clause of that one; null is everybody's."""
+    return clause.isNull() | (clause == GENERAL) | F.array_contains(submission, GENERAL) | F.coalesce(F.array_contains(submission, clause), F.lit(False))
+
+
 def discipline_profile(tokens: DataFrame, lexicon: DataFrame, key: str, least: float = 0.15) -> DataFrame:
     """(key, discipline, share): disciplines whose exclusive terms make up enough of a document's.
 
     tokens (key, term), lexicon (term, discipline). Where no share is enough, the strongest; where
     there is no term at all, general.
     """
-    hits = tokens.join(F.broadcast(lexicon), "term").groupBy(key, "discipline").agg(F.count(F.lit(1)).alias("n"))
+    hits = tokens.join(small(lexicon), "term").groupBy(key, "discipline").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(key)
     shares = hits.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("n"), "discipline")))
     kept = shares.filter((F.col("share") >= least) | (F.col("_r") == 1)).select(key, "discipline", "share")

@@ -192,3 +192,23 @@ def stage_progress(stages: Column) -> Column:
     """Per cent of the stages that are done."""
     done = F.size(F.filter(stages, lambda s: s["state"] == "complete"))
     return F.coalesce(F.round(F.try_divide(done * 100, F.size(stages))).cast("int"), F.lit(0))
+
+
+def next_jobs(jobs: DataFrame, as_of: Column, by: list[str], most: int = 1) -> DataFrame:
+    """The queued jobs whose time has come, highest priority and then oldest first, at most so many of each group."""
+    due = jobs.filter((F.col("status") == "queued") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= as_of)))
+    order = Window.partitionBy(*by).orderBy(F.desc("priority"), "created_at", "job_id")
+    return due.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+#: Orders in which rows are listed; each ends in the unique key.
+LISTINGS = {
+    "title": ["title"], "updated": ["-updated_at"], "status": ["status", "-updated_at"], "pinned": ["-pinned", "-updated_at"],
+}
+
+
+def listing(rows: DataFrame, name: str, key: str, most: int) -> DataFrame:
+    """The first rows in one of LISTINGS with their place; the limit is taken in each task before they meet."""
+    order = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in LISTINGS[name]]
+    first = rows.orderBy(*order, key).limit(most)  # at most so many rows reach the window
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order, key))).withColumn("listing", F.lit(name))

@@ -43,6 +43,10 @@ def lexical(queries: DataFrame, index: DataFrame, k: int = 40, key: str = "chunk
     """
     asked = queries.select("query_id", T.query_terms(F.col("text")).alias("terms"), T.query_phrases(F.col("text")).alias("phrases"))
     wanted = asked.withColumn("n", F.size("terms") + F.size("phrases"))
+    every = F.concat("terms", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))
+    stems = wanted.select(F.explode(every).alias("raw")).select(T.stem(F.col("raw")).alias("term")).distinct()
+    # only the asked terms leave the tokens of the corpus, once for terms and phrases alike
+    index = index.join(small(stems), "term", "left_semi")
     single = wanted.select("query_id", "n", F.explode("terms").alias("raw")).select("query_id", "n", "raw", T.stem(F.col("raw")).alias("term"))
     hits = single.join(index, "term").select("query_id", "n", key, F.col("raw").alias("part"), "tf")
     words = wanted.select("query_id", "n", F.explode("phrases").alias("part")).select(
@@ -61,7 +65,7 @@ def lexical(queries: DataFrame, index: DataFrame, k: int = 40, key: str = "chunk
     return kept.select("query_id", key, "matched_all", N.clamp(F.col("raw") / best).alias("score"), "rank")
 
 
-BROADCAST_ROWS = 10_000  # of queries; more are met by a shuffle on the model
+BROADCAST_ROWS = 10_000  # of queries or terms; more queries are met in blocks, more terms by a shuffle
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -70,14 +74,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def vector(queries: DataFrame, vectors: DataFrame, k: int = 40, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank) by exact cosine; queries are the small side and are laid over every vector.
+    """(query_id, key, score, rank) by exact cosine; blocks of queries are laid over every vector.
 
-    Both tables have an embedding; a join column ``model`` in both keeps models apart. Each task
-    keeps its own k best of a query before the shuffle.
+    Both tables have an embedding; a join column ``model`` in both keeps models apart. A block has at
+    most about BROADCAST_ROWS queries. Each task keeps its own k best of a query before the shuffle.
     """
     q = queries.select("query_id", F.col("embedding").alias("_q"), "model")
-    scored = vectors.join(small(q), "model").select("query_id", key, N.cosine(F.col("_q"), F.col("embedding")).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), key], k)
+    blocks, out = -(-q.count() // BROADCAST_ROWS) or 1, None
+    for n in range(blocks):
+        block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        scored = vectors.join(F.broadcast(block), "model").select("query_id", key, N.cosine(F.col("_q"), F.col("embedding")).alias("score"))
+        own = top(scored, ["query_id"], [F.desc("score"), key], k)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def locator(queries: DataFrame, chunks: DataFrame, k: int = 40, key: str = "chunk_id", most: int = 8) -> DataFrame:
@@ -198,8 +207,27 @@ def expand_query(queries: DataFrame, scope: DataFrame) -> DataFrame:
 def model_mismatch(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, mismatch): no vector of the query's model, but some of another."""
     models = vectors.select("model").distinct().withColumn("has", F.lit(True))
-    some = models.limit(1).count() > 0
-    return queries.join(models, "model", "left").select("query_id", (F.col("has").isNull() & F.lit(some)).alias("mismatch"))
+    some = F.broadcast(models.agg((F.count(F.lit(1)) > 0).alias("some")))  # one row
+    return queries.join(models, "model", "left").join(some, F.lit(True)).select("query_id", (F.col("has").isNull() & F.col("some")).alias("mismatch"))
+
+
+# What a summary of each format asks for, and its number of sentences.
+FOCUS = {
+    "obligations": "obligations requirements shall must required prohibited",
+    "risks": "risk hazard liability penalty non-compliance failure exposure",
+}
+SENTENCES = {"executive": 6, "other": 12}
+
+
+def focus_query(format_: Column, instruction: Column, titles: Column) -> Column:
+    """What to retrieve for a summary: the format's words, a custom instruction, else the titles of the scope."""
+    fixed = F.coalesce(*[F.when(format_ == name, F.lit(words)) for name, words in FOCUS.items()])
+    custom = F.when((format_ == "custom") & (instruction != ""), instruction)
+    return F.coalesce(fixed, custom, F.array_join(titles, " "))
+
+
+def summary_sentences(format_: Column) -> Column:
+    return F.when(format_ == "executive", SENTENCES["executive"]).otherwise(SENTENCES["other"])
 
 
 def ranked_metrics(gold: DataFrame, ranked: DataFrame, k: int = 5, key: str = "chunk_id") -> DataFrame:

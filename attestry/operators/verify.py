@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from attestry.functions import numbers as N
 from attestry.functions import text as T
+from attestry.operators.retrieve import small
 
+# Wording that denies, obliges or forbids.
 NEGATIVE_CLAIM = T.words(r"not|no|without|prohibited|shall not|must not|fails?|non-compliant")
 NEGATIVE_PASSAGE = T.words(r"shall not|must not|is prohibited|are prohibited|no .{0,20}shall|not permitted|not allowed")
 OBLIGING = T.words(r"shall|must|shall not|must not|required|prohibited")
@@ -62,40 +64,57 @@ def verify_citations(drafts: DataFrame, pages: DataFrame) -> DataFrame:
     own = pages.select("version_id", "page_number", F.col("text").alias("_page"))
     rows = drafts.join(own, ["version_id", "page_number"], "left")
     needle = F.regexp_replace("excerpt", r"^\s+|\s+$", "")
-    exact = F.locate_column(needle, F.col("_page")) if hasattr(F, "locate_column") else F.expr("locate(regexp_replace(excerpt, '^\\\\s+|\\\\s+$', ''), _page)")
-    rows = rows.withColumn("_at", exact).withColumn("_needle", needle)
+    rows = rows.withColumn("_needle", needle).withColumn("_at", F.expr("locate(_needle, _page)"))
     folded = F.contains(T.normal_match(F.col("_page")), T.normal_match(F.col("_needle")))
     kind = (
         F.when(T.normal_space(F.coalesce("excerpt", F.lit(""))) == "", "empty").when(F.col("_page").isNull(), "no page")
         .when(F.col("_at") > 0, "exact").when(folded, "normalized").otherwise("absent")
     )
     rows = rows.withColumn("_kind", kind)
-    keep = [F.col(c) for c in drafts.columns]
 
     @F.pandas_udf("start int, stop int")
     def spans(page: pd.Series, excerpt: pd.Series) -> pd.DataFrame:
-        found = [normalised_span(p, e) or (None, None) for p, e in zip(page, excerpt, strict=True)]
+        found = [normalised_span(p, e) or (None, None) if p is not None else (None, None) for p, e in zip(page, excerpt, strict=True)]
         return pd.DataFrame(found, columns=["start", "stop"]).astype("Int32")
 
+    # one pass: only the pages of excerpts that agree in normal form alone go to Python
+    soft = F.col("_kind") == "normalized"
+    rows = rows.withColumn("_s", spans(F.when(soft, F.col("_page")), F.when(soft, F.col("_needle"))))
     reason = (
         F.when(F.col("_kind") == "empty", "Excerpt is empty")
         .when(F.col("_kind") == "no page", "The cited page could not be loaded from stored extracted text")
         .when(F.col("_kind") == "absent", F.concat(F.lit("Excerpt does not appear on page "), F.col("page_number").cast("string"), F.lit(" of the stored source text")))
     )
+    start = F.when(soft, F.col("_s.start")).otherwise(F.col("_at") - 1)
+    stop = F.when(soft, F.col("_s.stop")).otherwise(F.col("_at") - 1 + F.length("_needle"))
+    good = F.col("_kind").isin("exact", "normalized") & start.isNotNull()
+    return rows.select(
+        *drafts.columns, good.alias("verified"), F.when(good, F.col("_kind")).otherwise("failed").alias("method"), reason.alias("reason"),
+        F.when(good, start).alias("char_start"), F.when(good, stop).alias("char_end"),
+        F.when(good, F.substring(F.col("_page"), start + 1, stop - start)).alias("matched_text"),
+    )
 
-    def told(df: DataFrame, start: Column, stop: Column) -> DataFrame:
-        good = F.col("_kind").isin("exact", "normalized") & start.isNotNull()
-        return df.select(
-            *keep, good.alias("verified"), F.when(good, F.col("_kind")).otherwise("failed").alias("method"), reason.alias("reason"),
-            F.when(good, start).alias("char_start"), F.when(good, stop).alias("char_end"),
-            F.when(good, F.substring(F.col("_page"), start + 1, stop - start)).alias("matched_text"),
-        )
 
-    plain = rows.filter("_kind <> 'normalized'")
-    soft = rows.filter("_kind = 'normalized'").withColumn("_s", spans("_page", "_needle"))
-    return told(plain, F.col("_at") - 1, F.col("_at") - 1 + F.length("_needle")).unionByName(
-        told(soft, F.col("_s.start"), F.col("_s.stop"))
-    )
+RUN = 5  # words of a passage that a document must hold in a row to be a candidate
+
+
+def passage_candidates(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, version_id): the documents that can hold a passage, every one of them.
+
+    passages (query_id, text), documents (version_id, text). A document that holds a passage in normal
+    form holds the words between its first and its last whole; the first RUN of these (the first one, if there
+    are fewer) are joined by their hash. A passage of fewer than three words is a candidate nowhere.
+    """
+
+    def words(x: str) -> Column:
+        return F.split(T.normal_match(F.col(x)), " ")
+
+    inner = passages.select("query_id", words("text").alias("w")).filter(F.size("w") > 2)
+    inner = inner.select("query_id", F.slice("w", F.lit(2), F.when(F.size("w") >= RUN + 2, RUN).otherwise(1)).alias("w"))
+    keys = inner.select("query_id", F.size("w").alias("n"), F.xxhash64("w").alias("run"))
+    places = documents.select("version_id", words("text").alias("w")).select("version_id", "w", F.posexplode("w").alias("i", "_"))
+    runs = places.select("version_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", F.col("i") + 1, n)).alias("run")) for n in (1, RUN)])).alias("r"))
+    return runs.select("version_id", "r.n", "r.run").join(small(keys), ["n", "run"]).select("query_id", "version_id").distinct()
 
 
 def highlight_boxes(rows: DataFrame, boxes: str = "word_boxes", excerpt: str = "excerpt") -> DataFrame:

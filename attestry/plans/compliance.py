@@ -244,3 +244,34 @@ def c21_evidence_rows(spark, sf_dir):
     f = W.findings(spark, sf_dir)
     cited = f.filter("requirement_id % 3 = 0").select("requirement_id", F.concat(F.lit("c"), F.col("requirement_id").cast("string")).alias("c"))
     return f.join(cited, "requirement_id", "left").select("review_id", "requirement_id", "result", F.coalesce("c", F.lit("not cited")).alias("citation"))
+
+
+_TERMS = [word for words in C.LEXICON.values() for word in words.split()] + ["landing", "width", "the"]
+_PICKS = ("k", "7 * k + n", "k * k", "n", "n + 60", "n + 61")
+
+
+def _trade_texts(spark, sf_dir):
+    """Six words of the lexicon or beside it for each part."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
+    words = F.array(*[F.lit(w) for w in _TERMS])
+    return p.select("k", "n", F.concat_ws(" ", *[F.get(words, F.expr(f"cast(({x}) % {len(_TERMS)} as int)")) for x in _PICKS]).alias("text"))
+
+
+_TRADES = f"""lexicon AS (SELECT {W.stem_sql('w')} AS stem, min(d) AS trade FROM (SELECT unnest(string_split(ws, ' ')) AS w, d FROM (VALUES {", ".join(f"('{d}', '{ws}')" for d, ws in C.LEXICON.items())}) v(d, ws)) GROUP BY 1 HAVING count(DISTINCT d) = 1),
+words AS (SELECT k, n, unnest([{", ".join(f"{_TERMS!r}[CAST(({x}) % {len(_TERMS)} AS INT) + 1]" for x in _PICKS)}]) AS w FROM (SELECT p_partkey AS k, p_size AS n FROM part)),
+cnt AS (SELECT k, trade, count(*) AS c FROM words JOIN lexicon ON stem = {W.stem_sql('w')} GROUP BY 1, 2),
+rkd AS (SELECT *, c / sum(c) OVER (PARTITION BY k) AS share, row_number() OVER (PARTITION BY k ORDER BY c DESC, trade) AS r, lead(c, 1, 0) OVER (PARTITION BY k ORDER BY c DESC, trade) AS following FROM cnt)"""
+
+
+@register(f"""WITH {_TRADES}, kept AS (SELECT k, string_agg(trade, ',' ORDER BY r) AS trades FROM rkd WHERE share >= 0.15 OR r = 1 GROUP BY k)
+SELECT p_partkey, coalesce(trades, 'general') AS trades FROM part LEFT JOIN kept ON k = p_partkey""")
+def c3_text_disciplines(spark, sf_dir):
+    return _trade_texts(spark, sf_dir).select(F.col("k").alias("p_partkey"), F.array_join(C.text_disciplines(F.col("text")), ",").alias("trades"))
+
+
+@register(f"""WITH {_TRADES}, one AS (SELECT k, trade FROM rkd WHERE r = 1 AND c > following)
+SELECT p_partkey, trade AS discipline, trade IS NULL OR p_size % 4 = 0 OR trade IN ('smoke_control', 'means_of_egress') AS in_scope FROM part LEFT JOIN one ON k = p_partkey""")
+def c4_clause_scope(spark, sf_dir):
+    submission = F.when(F.col("n") % 4 == 0, F.array(F.lit(C.GENERAL))).otherwise(F.array(F.lit("smoke_control"), F.lit("means_of_egress")))
+    own = _trade_texts(spark, sf_dir).withColumn("discipline", C.clause_discipline(F.col("text")))
+    return own.select(F.col("k").alias("p_partkey"), "discipline", C.in_scope(F.col("discipline"), submission).alias("in_scope"))

@@ -13,8 +13,8 @@ from attestry.registry import register
 
 
 def _coded(spark, sf_dir):
-    """A building code out of the part table: a chapter for each brand, a section for each type, a clause for each part."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 10 + 1).alias("version_id"), F.lit(1).alias("page_number"))
+    """A building code for every 200 parts: a chapter for each brand, a section for each type, a clause for each part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.floor(F.col("p_partkey") / 200) + 1).cast("long").alias("version_id"), F.lit(1).alias("page_number"))
     n, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     lines = F.concat(
         F.lit("6."), n, F.lit("."), (F.col("p_partkey") % 900).cast("string"), F.lit(" Width of exit stair "), k, F.lit("\nThe clear width of the stair shall not exceed "), n,
@@ -24,28 +24,28 @@ def _coded(spark, sf_dir):
     return p.groupBy("version_id", "page_number").agg(F.concat(F.lit("Foreword of the code.\nCHAPTER 6 EGRESS\n"), text).alias("text"))
 
 
-@register("""SELECT p_partkey % 10 + 1 AS version_id, '6.' || p_size || '.' || p_partkey % 900 AS clause, '6' AS chapter, '6.' || p_size AS section, 'Width of exit stair ' || p_partkey AS title, 'clause' AS kind, 'prohibited' AS modality, true AS is_requirement
-FROM part UNION ALL SELECT DISTINCT p_partkey % 10 + 1, NULL, NULL, NULL, 'Introduction', 'paragraph', NULL, false FROM part UNION ALL SELECT DISTINCT p_partkey % 10 + 1, NULL, '6', NULL, 'CHAPTER 6 EGRESS', 'heading', NULL, false FROM part""")
+@register("""SELECT p_partkey // 200 + 1 AS version_id, '6.' || p_size || '.' || p_partkey % 900 AS clause, '6' AS chapter, '6.' || p_size AS section, 'Width of exit stair ' || p_partkey AS title, 'clause' AS kind, 'prohibited' AS modality, true AS is_requirement
+FROM part UNION ALL SELECT DISTINCT p_partkey // 200 + 1, NULL, NULL, NULL, 'Introduction', 'paragraph', NULL, false FROM part UNION ALL SELECT DISTINCT p_partkey // 200 + 1, NULL, '6', NULL, 'CHAPTER 6 EGRESS', 'heading', NULL, false FROM part""")
 def r1_structure(spark, sf_dir):
     return C.sections(_coded(spark, sf_dir)).select("version_id", "clause", "chapter", "section", "title", "kind", "modality", "is_requirement")
 
 
-@register("""WITH l AS (SELECT p_partkey % 10 + 1 AS version_id, '6.' || p_size || '.' || p_partkey % 900 AS clause, p_partkey AS id FROM part)
+@register("""WITH l AS (SELECT p_partkey // 200 + 1 AS version_id, '6.' || p_size || '.' || p_partkey % 900 AS clause, p_partkey AS id FROM part)
 SELECT version_id, clause, 'CHAPTER 6 EGRESS > Width of exit stair ' || id AS path FROM l""")
 def w6_heading_path(spark, sf_dir):
     s = C.sections(_coded(spark, sf_dir)).filter("clause IS NOT NULL")
     return s.select("version_id", "clause", F.array_join("heading_path", " > ").alias("path"))
 
 
-@register("""WITH l AS (SELECT p_partkey % 10 + 1 AS version_id, p_partkey, p_size, length('6.' || p_size || '.' || p_partkey % 900 || ' Width of exit stair ' || p_partkey) + 1
+@register("""WITH l AS (SELECT p_partkey // 200 + 1 AS version_id, p_partkey, p_size, length('6.' || p_size || '.' || p_partkey % 900 || ' Width of exit stair ' || p_partkey) + 1
   + length('The clear width of the stair shall not exceed ' || p_size || ' m at any landing. See clause 6.4.2 for doors. The handrail is fixed.') + 1 AS n FROM part)
 SELECT version_id, 'Width of exit stair ' || p_partkey AS title, CAST(length('Foreword of the code.') + 1 + length('CHAPTER 6 EGRESS') + 1 + coalesce(sum(n) OVER (PARTITION BY version_id ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM l""")
 def w7_running_offset(spark, sf_dir):
     return C.sections(_coded(spark, sf_dir)).filter("clause IS NOT NULL").select("version_id", "title", "char_start")
 
 
-@register("""SELECT p_partkey % 10 + 1 AS version_id, 'Width of exit stair ' || p_partkey || chr(10) || 'The clear width of the stair shall not exceed ' || p_size || ' m at any landing. See clause 6.4.2 for doors. The handrail is fixed.' AS content FROM part
-UNION ALL SELECT DISTINCT p_partkey % 10 + 1, 'CHAPTER 6 EGRESS' FROM part UNION ALL SELECT DISTINCT p_partkey % 10 + 1, 'Foreword of the code.' FROM part""")
+@register("""SELECT p_partkey // 200 + 1 AS version_id, 'Width of exit stair ' || p_partkey || chr(10) || 'The clear width of the stair shall not exceed ' || p_size || ' m at any landing. See clause 6.4.2 for doors. The handrail is fixed.' AS content FROM part
+UNION ALL SELECT DISTINCT p_partkey // 200 + 1, 'CHAPTER 6 EGRESS' FROM part UNION ALL SELECT DISTINCT p_partkey // 200 + 1, 'Foreword of the code.' FROM part""")
 def r4_section_chunks(spark, sf_dir):
     return C.section_chunks(C.sections(_coded(spark, sf_dir))).select("version_id", "content")
 
@@ -127,7 +127,7 @@ def r33_ingest(spark, sf_dir):
     return C.ingest_outcome(verdicts, maps, C.extraction_coverage(raw, chunks), "version_id")
 
 
-@register("""SELECT DISTINCT version_id, '6.' || p_size || '.' || id AS reference FROM (SELECT p_partkey % 10 + 1 AS version_id, p_size, p_partkey % 900 AS id FROM part)""")
+@register("""SELECT DISTINCT version_id, '6.' || p_size || '.' || id AS reference FROM (SELECT p_partkey // 200 + 1 AS version_id, p_size, p_partkey % 900 AS id FROM part)""")
 def c1_requirement_set(spark, sf_dir):
     from attestry.operators.compliance import requirement_set
 

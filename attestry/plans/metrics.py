@@ -283,3 +283,28 @@ def c15_rollup(spark, sf_dir):
 def s14_exposition(spark, sf_dir):
     n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return M.exposition(n, "metric", ["event_type"], "n")
+
+
+@register("""WITH j AS (SELECT event_id AS job_id, event_type AS kind, CASE WHEN value > 50 THEN 'queued' ELSE 'running' END AS status, user_id % 10 AS priority, ts AS created_at,
+  CASE WHEN event_id % 3 > 0 THEN ts + INTERVAL 1 DAY * (event_id % 900) END AS next_attempt_at FROM events)
+SELECT kind, job_id, place FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY priority DESC, created_at, job_id) AS place FROM j
+WHERE status = 'queued' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-06-30')) WHERE place <= 20""")
+def k8_next_jobs(spark, sf_dir):
+    k = F.col("event_id")
+    jobs = table(spark, sf_dir, "events").select(
+        k.alias("job_id"), F.col("event_type").alias("kind"), F.when(F.col("value") > 50, "queued").otherwise("running").alias("status"),
+        (F.col("user_id") % 10).alias("priority"), F.col("ts").alias("created_at"),
+        F.when(k % 3 > 0, F.col("ts") + F.make_dt_interval((k % 900).cast("int"))).alias("next_attempt_at"),
+    )
+    return M.next_jobs(jobs, F.lit("2024-06-30").cast("timestamp"), ["kind"], 20).select("kind", "job_id", "place")
+
+
+@register(f"""WITH {W.SOURCES}, r AS (SELECT 'title' AS listing, source_id, row_number() OVER (ORDER BY title, source_id) AS place FROM src
+UNION ALL SELECT 'updated', source_id, row_number() OVER (ORDER BY last_synced_at DESC, source_id) FROM src
+UNION ALL SELECT 'status', source_id, row_number() OVER (ORDER BY status, last_synced_at DESC, source_id) FROM src
+UNION ALL SELECT 'pinned', source_id, row_number() OVER (ORDER BY promoted DESC, last_synced_at DESC, source_id) FROM src)
+SELECT listing, source_id, place FROM r WHERE place <= 100""")
+def k10_listings(spark, sf_dir):
+    s = W.sources(spark, sf_dir).select("source_id", "title", "status", F.col("promoted").alias("pinned"), F.col("last_synced_at").alias("updated_at"))
+    parts = [M.listing(s, name, "source_id", 100).select("listing", "source_id", "place") for name in M.LISTINGS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

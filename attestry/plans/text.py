@@ -149,12 +149,10 @@ def t17_query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(t).cast("long").alias("terms"), F.array_join(F.slice(F.array_sort(t), 1, 3), ",").alias("first"))
 
 
-@register(r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[email]', 'g'), '\b(?:\d[ -]?){13,19}\b', '[card]', 'g') AS t FROM documents
- WHERE text NOT LIKE '%sk-%' AND text NOT LIKE '%earer%' AND text NOT LIKE '%eyJ%')
+@register(r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[email]', 'g'), '\b(?:\d[ -]?){13,19}\b', '[card]', 'g') AS t FROM documents)
 SELECT doc_id, md5(CASE WHEN length(t) > 2000 THEN left(t, 2000) || '...[truncated]' ELSE t END) AS t FROM r""")
 def t18_redact(spark, sf_dir):
-    rows = docs(spark, sf_dir).filter("text NOT LIKE '%sk-%' AND text NOT LIKE '%earer%' AND text NOT LIKE '%eyJ%'")
-    return rows.select("doc_id", F.md5(T.redact(F.col("text"))).alias("t"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.redact(F.col("text"))).alias("t"))
 
 
 @register("SELECT event_type, count(*) AS n, event_type IN ('token', 'secret') AS bare, true AS coded FROM events GROUP BY event_type")
