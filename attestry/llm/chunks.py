@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import Scratch
 
-RADIUS, LONGEST, LEAST_WORDS, SEED = 20, 160, 20, 10
+RADIUS, LONGEST, SEED = 20, 160, 10
+LEAST_WORDS = 30  # what is left, as a rule, of a passage of over 50 words that loses less than two chunks at either end
 
 
 def gear_table(seed: int) -> np.ndarray:
