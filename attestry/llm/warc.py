@@ -157,7 +157,7 @@ def content_length(head: bytes) -> int | None:
 
 def write_files(rows: DataFrame, path: str) -> None:
     """One gzip file for each row of the single column, a whole archive."""
-    out = rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "DEFAULT_COMPRESSION")
+    out = rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "FOUR")
     out.mode("overwrite").text(path)
 
 
