@@ -217,19 +217,19 @@ def relevance(requirements: DataFrame, vocabulary: DataFrame, budget: int = 60,
     Score is the idf-weighted presence of the key terms; a single requirement scores 0. Where none
     reaches the floor the first ``budget`` stand. Adds ``relevance``.
     """
-    # of one number: the corpus size
-    total = requirements.select(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_total")).first()[0]
+    total = F.broadcast(requirements.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double").alias("_total")))  # one row
     terms = requirements.select("idx", F.explode(F.array_distinct(F.transform("key_terms", T.stem))).alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.coalesce(F.try_divide(F.log(F.lit(float(total)) / (1 + F.col("df"))), F.log(F.lit(float(total)))), F.lit(0.0)), F.lit(0.0))
+    log_total = F.log("_total")
+    idf = F.greatest(F.coalesce(F.try_divide(log_total - F.log1p("df"), log_total), F.lit(0.0)), F.lit(0.0))
     presence = F.least(F.lit(1.0), F.log1p(F.coalesce("n", F.lit(0)).cast("double")) / F.log1p(F.lit(float(often))))
-    weighed = terms.join(df, "term").join(vocabulary.select("term", "n"), "term", "left").select("idx", idf.alias("i"), presence.alias("p"))
+    weighed = terms.join(df, "term").join(vocabulary.select("term", "n"), "term", "left").join(total, F.lit(True)).select("idx", idf.alias("i"), presence.alias("p"))
     score = weighed.groupBy("idx").agg(F.coalesce(F.try_divide(F.sum(F.col("i") * F.col("p")), F.sum("i")), F.lit(0.0)).alias("relevance"))
-    rows = requirements.join(score, "idx", "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
-    some = rows.filter(F.col("relevance") >= floor).limit(1).count() > 0
-    if not some:
-        return rows.orderBy("idx").limit(budget)
-    return rows.filter(F.col("relevance") >= floor).orderBy(F.desc("relevance"), "idx").limit(budget).orderBy("idx")
+    # rounded, so that the order of a sum does not part equal scores
+    rows = requirements.join(score, "idx", "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 9))
+    some = F.broadcast(rows.agg(F.coalesce(F.max("relevance") >= floor, F.lit(False)).alias("_some")))  # one row
+    held = rows.join(some, F.lit(True)).filter(~F.col("_some") | (F.col("relevance") >= floor))
+    return held.orderBy(F.when(F.col("_some"), -F.col("relevance")), "idx").limit(budget).drop("_some").orderBy("idx")
 
 
 # Level words, heights and building words.

@@ -129,16 +129,17 @@ def newest_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
 
 def page_of(rows: DataFrame, page: int, size: int, order: list) -> DataFrame:
     """A page of rows in order, each with the total and the number of pages."""
-    total = rows.count()
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
     out = rows.orderBy(*order).offset((page - 1) * size).limit(size)
-    return out.withColumn("total", F.lit(total)).withColumn("pages", F.lit(-(-total // size)))
+    return out.join(total, F.lit(True)).withColumn("pages", F.ceil(F.col("total") / size))
 
 
 def capped(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:
     """At most so many rows of each group, with the group's total and whether it was cut."""
-    w = Window.partitionBy(by)
-    out = rows.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy(*order)))
-    return out.filter(F.col("rank") <= most).withColumn("truncated", F.col("total") > most)
+    # the count goes by its own partial sums, so that the rank is cut below the shuffle
+    totals = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("total"))
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= most)
+    return first.join(totals, F.col(by).eqNullSafe(F.col("_by"))).drop("_by").withColumn("truncated", F.col("total") > most)
 
 
 def attention(kinds: dict[str, DataFrame], most: int, dismissed: DataFrame) -> DataFrame:

@@ -136,15 +136,16 @@ def c24_plan_state(spark, sf_dir):
 
 
 @register("""WITH p AS (SELECT doc_id, n_chars AS old, n_chars - (doc_id % 5) * n_chars // 10 AS new, doc_id % 10 AS changes FROM documents)
-SELECT doc_id, count(*) FILTER (WHERE NOT ok) AS failed FROM (SELECT doc_id, greatest(0, 1 - new / old) <= least(0.35, 0.05 + 0.02 * changes) AS ok FROM p WHERE old > 0 UNION ALL SELECT doc_id, doc_id % 6 > 0 FROM p WHERE old > 0) GROUP BY doc_id""")
+SELECT doc_id, string_agg(check_, ',' ORDER BY check_) FILTER (WHERE NOT ok) AS failed FROM (SELECT doc_id, 'shrink' AS check_, CASE WHEN old > 0 THEN greatest(0, 1 - new / old) ELSE 0 END <= least(0.35, 0.05 + 0.02 * changes) AS ok FROM p
+  UNION ALL SELECT doc_id, 'pages', doc_id % 6 > 0 FROM p UNION ALL SELECT doc_id, 'media', doc_id % 8 > 0 FROM p UNION ALL SELECT doc_id, 'not_empty', new > 0 FROM p) GROUP BY doc_id""")
 def c25_derivative_checks(spark, sf_dir):
     k, n = F.col("doc_id"), F.col("n_chars")
-    rows = table(spark, sf_dir, "documents").filter("n_chars > 0").select(
+    rows = table(spark, sf_dir, "documents").select(
         k.alias("id"), n.alias("old_chars"), (n - F.floor((k % 5) * n / 10)).alias("new_chars"), (k % 10).alias("changes"), F.lit(1).alias("old_pages"),
-        F.when(k % 6 > 0, 1).otherwise(0).alias("new_pages"), F.lit(0).alias("old_media"), F.lit(0).alias("new_media"),
+        F.when(k % 6 > 0, 1).otherwise(0).alias("new_pages"), F.lit(0).alias("old_media"), F.when(k % 8 > 0, 0).otherwise(1).alias("new_media"),
     )
-    checks = C.derivative_checks(rows).filter("check IN ('pages', 'shrink')")
-    return checks.groupBy(F.col("id").alias("doc_id")).agg(F.count_if(~F.col("ok")).alias("failed"))
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("check"))))  # of four checks at most
+    return C.derivative_checks(rows).groupBy(F.col("id").alias("doc_id")).agg(F.nullif(F.array_join(failed, ","), F.lit("")).alias("failed"))
 
 
 @register("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'revised_edition' WHEN doc_id % 3 = 0 THEN 'tracked_changes' WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'ocr_rebuild' ELSE 'overlay' END ELSE 'in_place_text' END AS strategy FROM documents")
@@ -160,12 +161,12 @@ def c27_retention(spark, sf_dir):
     return due.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("due"), F.count_if(F.col("workspace_id") == 2).alias("held"))
 
 
-@register("SELECT p_partkey, CASE WHEN p_size > 40 THEN p_size::DOUBLE + 60 ELSE p_size::DOUBLE END AS height_m, CASE WHEN p_size > 40 THEN 'super_high_rise' WHEN p_size > 23 THEN 'high_rise' ELSE 'low_rise' END AS band, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS sprinklered, p_partkey % 2 = 0 AS basement FROM part WHERE p_size <= 23 OR p_size > 30")
+@register("SELECT p_partkey, CASE WHEN p_size > 40 THEN p_size::DOUBLE + 60 ELSE p_size::DOUBLE END AS height_m, CASE WHEN p_size > 40 THEN 'super_high_rise' WHEN p_size > 23 THEN 'high_rise' ELSE 'low_rise' END AS band, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS sprinklered, p_partkey % 2 = 0 AS basement FROM part")
 def c5_building(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_size")
     level = F.when(n > 40, n + 60).otherwise(n).cast("string")
     text = F.concat(F.lit("Roof level +"), level, F.lit(".00 m\nlevel 99 grid. "), F.when(k % 3 == 0, "Fully sprinklered. ").when(k % 3 == 1, "Unsprinklered. ").otherwise(""), F.when(k % 2 == 0, "Basement plan.").otherwise("Plan."))
-    rows = table(spark, sf_dir, "part").filter("p_size <= 23 OR p_size > 30").select("p_partkey", text.alias("text"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
     return C.building_attributes(rows, "p_partkey")
 
 
@@ -184,19 +185,26 @@ def r22_entailment(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", V.entailment(F.lit("Doors on exit stairs are locked during occupancy"), passage).alias("label"))
 
 
-@register("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Conflicting values for length_m: ' || p_size || ' versus 3' WHEN p_partkey % 3 = 0 THEN 'One provision requires what the other prohibits' END AS reason FROM part WHERE p_size <> 3""")
+@register("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Conflicting values for length_m: ' || p_size || ' versus 3' WHEN p_partkey % 3 = 0 THEN 'One provision requires what the other prohibits' END AS reason FROM part""")
 def r23_conflicts(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_size")
     a = F.when(n % 2 == 0, F.concat(F.lit("Exit stair landing width shall be "), n.cast("string"), F.lit(" m clear"))).when(k % 3 == 0, "Exit stair landing width shall not be obstructed").otherwise("Exit stair landing width shall be kept")
     b = F.when(n % 2 == 0, "Exit stair landing width shall be 3 m clear").otherwise("Exit stair landing width shall be obstructed")
-    return table(spark, sf_dir, "part").filter("p_size <> 3").select("p_partkey", V.conflict_reason(a, b).alias("reason"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.conflict_reason(a, b).alias("reason"))
 
 
-@register(None)
+@register(f"""WITH w AS (SELECT p_partkey AS idx, p_brand, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part),
+t AS (SELECT DISTINCT idx, p_brand, {W.stem_sql('t')} AS term FROM w), n AS (SELECT count(*) AS total FROM part),
+df AS (SELECT term, count(*) AS df, count(DISTINCT p_brand) FILTER (WHERE term > 'm') AS n FROM t GROUP BY 1),
+s AS (SELECT idx, sum(i * p) / nullif(sum(i), 0) AS v FROM (SELECT idx, greatest((ln(total) - ln(1 + df)) / ln(total), 0) AS i, least(1, ln(1 + n) / ln(26)) AS p FROM t JOIN df USING (term), n) GROUP BY 1),
+r AS (SELECT p_partkey AS idx, round(coalesce(v, 0), 9) AS v FROM part LEFT JOIN s ON idx = p_partkey),
+o AS (SELECT *, max(v) OVER () >= 0.4 AS any_ FROM r)
+SELECT idx, round(v, 6) AS relevance FROM o WHERE NOT any_ OR v >= 0.4 ORDER BY CASE WHEN any_ THEN -v END, idx LIMIT 60""")
 def c8_relevance(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.split(F.lower("p_type"), " ").alias("key_terms"))
-    vocabulary = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("t")).select(T.stem(F.col("t")).alias("term"))
-    counts = vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Parts stand for requirements; the submission has the later half of their words, each once for a brand."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), "p_brand", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("key_terms"))
+    words = p.select("p_brand", F.explode("key_terms").alias("t")).select("p_brand", T.stem(F.col("t")).alias("term")).filter("term > 'm'")
+    counts = words.groupBy("term").agg(F.count_distinct("p_brand").alias("n"))
     return C.relevance(p, counts).select("idx", F.round("relevance", 6).alias("relevance"))
 
 
@@ -233,10 +241,10 @@ def c3_disciplines(spark, sf_dir):
     return C.discipline_profile(w, lexicon, "p_partkey", 0.4).withColumn("share", F.round("share", 6))
 
 
-@register(f"""WITH {W.CHUNKS}, t AS (SELECT unnest({W.content_sql('content')}) AS t FROM chk WHERE role = 'project') SELECT {W.stem_sql('t')} AS stem, count(*) AS n FROM t GROUP BY 1 HAVING count(*) >= 5""")
+@register(f"""WITH {W.CHUNKS}, t AS (SELECT unnest({W.content_sql('content')}) AS t FROM chk WHERE role = 'project') SELECT {W.stem_sql('t')} AS stem, count(*) AS n FROM t GROUP BY 1""")
 def c7_vocabulary(spark, sf_dir):
     c = W.chunks(spark, sf_dir).filter("role = 'project'").select(F.explode(T.stems(F.col("content"))).alias("stem"))
-    return c.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    return c.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(f"""WITH {W.FINDINGS} SELECT review_id, requirement_id, result, CASE WHEN requirement_id % 3 = 0 THEN 'c' || requirement_id ELSE 'not cited' END AS citation FROM fnd""")

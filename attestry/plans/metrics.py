@@ -143,13 +143,13 @@ def a17_metric_points(spark, sf_dir):
 
 
 @register(f"""WITH {W.CHUNKS}, t AS (SELECT chunk_id, unnest({W.content_sql('content')}) AS term FROM chk)
-SELECT term, count(*) AS tf, count(DISTINCT chunk_id) AS df FROM t GROUP BY term HAVING count(*) > 30""")
+SELECT term, count(*) AS tf, count(DISTINCT chunk_id) AS df FROM t GROUP BY term""")
 def a18_term_counts(spark, sf_dir):
     from attestry.functions.text import content_tokens
 
     t = W.chunks(spark, sf_dir).select("chunk_id", F.explode(content_tokens(F.col("content"))).alias("term"))
     per = t.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df")).filter("tf > 30")
+    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 _JOBS = """j AS (SELECT event_id AS job_id, user_id AS source_id, ts AS started_at, event_id % 7 AS k FROM events),
@@ -203,8 +203,8 @@ def a25_latest_completed(spark, sf_dir):
 @register("""SELECT event_type AS model, round(sum(value), 3) AS tokens, count(*) AS requests FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1""")
 def a26_usage(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    last = e.agg(F.max("ts")).first()[0]
-    recent = e.filter(F.col("ts") >= F.lit(last) - F.expr("INTERVAL 7 DAYS"))
+    last = F.broadcast(e.agg(F.max("ts").alias("last")))  # one row
+    recent = e.join(last, F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS"))
     return recent.groupBy(F.col("event_type").alias("model")).agg(F.round(F.sum("value"), 3).alias("tokens"), F.count(F.lit(1)).alias("requests"))
 
 
@@ -235,10 +235,10 @@ def w1_channel_rank(spark, sf_dir):
     return top(table(spark, sf_dir, "events"), ["event_type"], [F.desc("value"), "event_id"], 10).select("event_type", "event_id", "rank")
 
 
-@register(f"""WITH {W.SOURCES} SELECT source_id, title, 1000 // 1000 AS one FROM src WHERE deleted_at IS NULL ORDER BY title, source_id LIMIT 20 OFFSET 40""")
+@register(f"""WITH {W.SOURCES} SELECT source_id, title, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 20) AS BIGINT) AS pages FROM src WHERE deleted_at IS NULL ORDER BY title, source_id LIMIT 20 OFFSET 40""")
 def p11_page(spark, sf_dir):
     live = W.sources(spark, sf_dir).filter("deleted_at IS NULL").select("source_id", "title")
-    return M.page_of(live, 3, 20, ["title", "source_id"]).select("source_id", "title", F.lit(1).alias("one"))
+    return M.page_of(live, 3, 20, ["title", "source_id"]).select("source_id", "title", "total", "pages")
 
 
 @register("""SELECT user_id, event_id, total, rank, total > 5 AS truncated FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS total,

@@ -48,9 +48,9 @@ def s4_import_files(spark, sf_dir):
     return S.import_files(manifest, known, 100).select("doc_id", "outcome")
 
 
-@register("SELECT page_id, 'html' AS document_type, 'website' AS origin, url AS final_url FROM pages WHERE lower(split_part(url, '?', 1)) NOT LIKE '%.pdf'")
+@register("SELECT page_id, CASE WHEN lower(split_part(url, '?', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'html' END AS document_type, 'website' AS origin, url AS final_url FROM pages")
 def s5_websites(spark, sf_dir):
-    return S.import_websites(table(spark, sf_dir, "pages")).filter("document_type = 'html'").select("page_id", "document_type", "origin", "final_url")
+    return S.import_websites(table(spark, sf_dir, "pages")).select("page_id", "document_type", "origin", "final_url")
 
 
 @register("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'executable' WHEN 3 THEN 'legacy_office' ELSE 'txt' END AS kind, doc_id % 5 NOT IN (2, 3) AND doc_id % 7 > 0 AS accepted FROM documents")
