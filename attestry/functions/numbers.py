@@ -113,7 +113,8 @@ def display_quantity(unit: Column, value: Column) -> Column:
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x within 0..1, null for null; greatest and least alone would skip a null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def recency(date: Column, as_of: Column, years: int) -> Column:

@@ -226,11 +226,11 @@ def n6_display(spark, sf_dir):
     return rows.select("p_partkey", N.display_quantity(unit, value).alias("shown"))
 
 
-@register("""SELECT o_orderkey, round(greatest(0, least(1, 1 - (epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate)) / (365 * 86400.0) / 10)), 6) AS rerank,
-  round(greatest(0, least(1, 1 - (epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate)) / (365 * 86400.0) / 15)), 6) AS confidence FROM orders""")
+@register("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate) END / (365 * 86400.0) AS years FROM orders)
+SELECT o_orderkey, CASE WHEN years IS NULL THEN 0.5 ELSE round(greatest(0, least(1, 1 - years / 10)), 6) END AS rerank, CASE WHEN years IS NULL THEN 0.5 ELSE round(greatest(0, least(1, 1 - years / 15)), 6) END AS confidence FROM o""")
 def n7_recency(spark, sf_dir):
-    at = F.lit("2000-01-01").cast("timestamp")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(N.recency(F.col("o_orderdate"), at, 10), 6).alias("rerank"), F.round(N.recency(F.col("o_orderdate"), at, 15), 6).alias("confidence"))
+    at, date = F.lit("2000-01-01").cast("timestamp"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(N.recency(date, at, 10), 6).alias("rerank"), F.round(N.recency(date, at, 15), 6).alias("confidence"))
 
 
 @register("SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 700 THEN length(text) / 700.0 ELSE 700.0 / length(text) END, 6) AS fit FROM documents")

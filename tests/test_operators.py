@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import math
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.operators import compliance as C
@@ -11,6 +15,36 @@ from attestry.operators import corpus as K
 from attestry.operators import retrieve as R
 from attestry.operators import verify as V
 
+STOP = {"the", "of", "in", "is", "at", "this", "with"}
+WORDS = "stairs doors widths exit landing corridor ramp the of shall be lit clear parties boxes glass".split()
+
+
+def stem(w):
+    if len(w) <= 4:
+        return w
+    if w.endswith("ies"):
+        return w[:-3] + "y"
+    if re.search("(ss|x|z|ch|sh)es$", w):
+        return w[:-2]
+    return w[:-1] if re.search("[^su]s$", w) else w
+
+
+def terms(text):
+    stop = STOP | {"be"}
+    return [stem(w) for w in re.findall("[a-z]+|[0-9.]+", text.lower()) if len(w) > 1 and w not in stop]
+
+
+def phrase(rng, least, most):
+    return " ".join(rng.choice(WORDS) for _ in range(rng.randrange(least, most)))
+
+
+def prose(rng, sentences):
+    return " ".join(phrase(rng, 3, 16).capitalize() + "." for _ in range(sentences))
+
+
+def split(text):
+    return [x for x in re.split(r"(?<=\.) ", text) if x]
+
 
 def test_diversify_equals_greedy_model(spark):
     rng, rows, want = random.Random(3), [], {}
@@ -103,3 +137,143 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "version_id int, page_number int, text string")
     assert K.section_chunks(K.sections(empty)).count() == 0
     assert R.postings(spark.createDataFrame([], "chunk_id string, text string")).count() == 0
+
+
+def rerank_model(row, top):
+    q, c = terms(row["query_text"]), terms(row["content"])
+    places = [i for i, t in enumerate(c) if t in q]
+    span = places[-1] - places[0] + 1 if places else 1
+    low = row["content"].lower().rstrip(".")
+    named = re.findall(r"\d+(?:\.\d+)+", row["query_text"])
+    age = None if row["effective_date"] is None else (datetime.date(2026, 6, 30) - row["effective_date"]).days / 365
+    signals = [
+        (0.24, row["fused"] / top), (0.18, sum(t in c for t in q) / len(q) if q else 0),
+        (0.10, len(set(q) & set(c)) / len(set(q) | set(c)) if set(q) | set(c) else 0),
+        (0.08, 0 if not places else 0.5 if len(places) == 1 else len(places) / span),
+        (0.09, len(row["query_text"]) > 12 and row["query_text"].lower() in low),
+        (0.11, any(x in (row["clause"], row["section"], row["chapter"]) or x in low for x in named)),
+        (0.05, len(row["channels"]) > 1),
+        (0.06, 1 if row["clause"] else 0.8 if row["kind"] == "table" else 0.6 if row["section"] else 0.3),
+        (0.03, 0.5 if age is None else min(1, max(0, 1 - age / 10))),
+        (0.03, len(row["content"]) / 700 if len(row["content"]) <= 700 else 700 / len(row["content"])),
+    ]
+    return min(1, max(0, sum(w * v for w, v in signals)))
+
+
+def test_rerank_equals_model(spark):
+    rng, rows = random.Random(11), []
+    for q in range(8):
+        asked = phrase(rng, 2, 6) + (" in clause 6.4.2" if q % 3 == 0 else "")
+        for i in range(12):
+            body = prose(rng, rng.randrange(1, 14)) if i % 4 else f"{asked} {phrase(rng, 1, 9)}."
+            rows.append(
+                (q, f"c{i}", asked, body, rng.choice([None, "6"]), rng.choice([None, "6.4"]), rng.choice([None, None, "6.4.2"]), rng.choice(["table", "paragraph"]),
+                 rng.choice([None, datetime.date(2020, 5, 1), datetime.date(1990, 1, 1), datetime.date(2026, 6, 30)]), rng.random() + 0.01, rng.sample(["lexical", "vector"], rng.randrange(1, 3)))
+            )
+    kind = "query_id int, chunk_id string, query_text string, content string, chapter string, section string, clause string, kind string, effective_date date, fused double, channels array<string>"
+    df = spark.createDataFrame(rows, kind)
+    best = {q: max(r[9] for r in rows if r[0] == q) for q in range(8)}
+    got = R.rerank(df, F.lit("2026-06-30").cast("timestamp")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["rerank"] == pytest.approx(rerank_model(r.asDict(), best[r["query_id"]]), abs=1e-9), r
+
+
+def excerpt_model(text, query, most):
+    asked = [w for w in query.lower().split() if len(w) > 2]
+    parts = split(text)
+
+    def score(x):
+        own = x.lower().split()  # the last word keeps its stop
+        return sum(w in asked for w in own) / math.sqrt(len(own)) + (0.35 if {"shall", "shall."} & set(own) else 0)
+
+    values = [score(x) for x in parts]
+    lo = hi = max(range(len(parts)), key=lambda i: (values[i], -i))
+    size = len(parts[lo])
+    while size < most:
+        before, after = lo > 0, hi + 1 < len(parts)
+        if not before and not after:
+            break
+        forward = after and (not before or values[hi + 1] >= values[lo - 1])
+        cost = len(parts[hi + 1] if forward else parts[lo - 1]) + 1
+        if size + cost > most:
+            break
+        lo, hi, size = (lo, hi + 1, size + cost) if forward else (lo - 1, hi, size + cost)
+    return " ".join(parts[lo : hi + 1])
+
+
+def test_excerpt_equals_model(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randrange(1, 12)), phrase(rng, 1, 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, text string, query string")
+    got = {r["k"]: r["e"] for r in df.select("k", V.select_excerpt(F.col("text"), F.col("query"), 200).alias("e")).collect()}
+    assert got == {k: excerpt_model(t, q, 200) for k, t, q in rows}
+
+
+def test_claims_equal_model(spark):
+    rng, rows, want = random.Random(17), [], set()
+    for q in range(6):
+        asked, seen, n = phrase(rng, 2, 6), set(), 0
+        stock = [prose(rng, 5) for _ in range(6)]
+        for i in range(10):
+            text = rng.choice(stock)
+            rows.append((q, f"c{i}", asked, text, i + 1))
+            scored = []
+            for at, x in enumerate(split(text)):
+                own = terms(x)
+                v = sum(t in set(terms(asked)) for t in own) / math.sqrt(len(own)) if own else 0
+                v += 0.3 if "shall" in x.lower().rstrip(".").split() else 0
+                if len(x) >= 40 and v > 0:
+                    scored.append((-v, at, x))
+            if not scored:
+                continue
+            v, _, x = min(scored)
+            if x.lower() not in seen:
+                seen.add(x.lower())
+                n += 1
+                if n <= 4:
+                    want.add((q, f"c{i}", x, round(-v, 9)))
+    df = spark.createDataFrame(rows, "query_id int, chunk_id string, query_text string, content string, picked int")
+    got = {(r["query_id"], r["chunk_id"], r["claim"], round(r["score"], 9)) for r in V.claims(df, 4).collect()}
+    assert want and got == want
+
+
+def test_summary_equals_model(spark):
+    rng, rows, want = random.Random(19), [], set()
+    for q in range(6):
+        parts = []
+        for i in range(5):
+            text = prose(rng, 6)
+            rows.append((q, i, text))
+            parts += [x for x in split(text) if len(x) >= 40]
+        bags = [set(terms(x)) for x in parts]
+
+        def score(i, bags=bags, parts=parts):
+            central = sum(sum(t in b for b in bags) for t in bags[i]) / (len(bags[i]) * len(bags)) if bags[i] else 0
+            return 0.7 * central + 0.15 / (1 + 0.02 * i) + (0.15 if "shall" in parts[i].lower().rstrip(".").split() else 0)
+
+        best = sorted(range(len(parts)), key=lambda i: (-score(i), i))[:8]
+        want |= {(q, i, parts[i]) for i in best}
+    df = spark.createDataFrame(rows, "query_id int, picked int, content string")
+    got = {(r["query_id"], r["idx"], r["sentence"]) for r in V.summary(df).collect()}
+    assert want and got == want
+
+
+def test_relevance_equals_model(spark):
+    rng = random.Random(23)
+    rows = [(i, [rng.choice(WORDS) for _ in range(rng.randrange(0, 6))]) for i in range(40)]
+    counts = [(stem(w), n) for n, w in enumerate(WORDS[:9])]
+    vocabulary, requirements = spark.createDataFrame(counts, "term string, n int"), spark.createDataFrame(rows, "idx int, key_terms array<string>")
+    bags, seen = {k: {stem(w) for w in ws} for k, ws in rows}, dict(counts)
+
+    def score(bag):
+        idf = {t: max(0, math.log(len(rows) / (1 + sum(t in b for b in bags.values()))) / math.log(len(rows))) for t in bag}
+        return sum(v * min(1, math.log1p(seen.get(t, 0)) / math.log(26)) for t, v in idf.items()) / sum(idf.values()) if sum(idf.values()) else 0
+
+    scores = {k: round(score(b), 9) for k, b in bags.items()}
+    for floor in (0.2, 2.0):
+        good = sorted((k for k in scores if scores[k] >= floor), key=lambda k: (-scores[k], k)) or sorted(scores)
+        got = [(r["idx"], r["relevance"]) for r in C.relevance(requirements, vocabulary, 12, floor).collect()]
+        assert [k for k, _ in got] == sorted(good[:12])
+        assert all(v == pytest.approx(scores[k], abs=2e-9) for k, v in got)
+    assert C.relevance(requirements.limit(0), vocabulary).count() == 0
