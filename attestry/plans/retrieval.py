@@ -132,13 +132,19 @@ def t16_expand_query(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir):
-    """Lexical and locator channels over passages, fused, reranked, de-duplicated and diversified."""
+    """Lexical and locator channels over passages, fused, reranked, de-duplicated and diversified.
+
+    A document stands for a section, its lines for the clauses; each question also names a section.
+    """
     q, c = W.benchmark_queries(spark, sf_dir), W.chunks(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    located = c.withColumns({"chapter": none, "section": none, "clause": none})
-    fused = R.fuse({"lexical": R.lexical(q, _index(spark, sf_dir)), "locator": R.locator(q, located)})
-    rows = fused.join(c.select("chunk_id", "content", "version_id", "source_id", "page_number"), "chunk_id").join(q.withColumnRenamed("text", "query_text"), "query_id")
-    rows = rows.withColumns({"chapter": none, "section": none, "clause": none, "kind": F.lit("paragraph"), "effective_date": F.lit(None).cast("date")})
+    section = F.concat(F.lit("6."), (F.col("version_id") % 50 + 1).cast("string"))
+    clause = F.when(F.length("content") >= 40, F.concat(section, F.lit("."), F.col("ordinal").cast("string")))
+    located = c.withColumns({"chapter": F.lit("6"), "section": section, "clause": clause})
+    named = q.withColumn("text", F.concat("text", F.lit(" See section 6."), (F.col("query_id") % 50 + 1).cast("string"), F.lit(".")))
+    fused = R.fuse({"lexical": R.lexical(q, _index(spark, sf_dir)), "locator": R.locator(named, located)})
+    told = located.select("chunk_id", "content", "version_id", "source_id", "page_number", "chapter", "section", "clause")
+    rows = fused.join(told, "chunk_id").join(named.withColumnRenamed("text", "query_text"), "query_id")
+    rows = rows.withColumns({"kind": F.lit("paragraph"), "effective_date": F.lit(None).cast("date")})
     ranked = R.drop_near_duplicates(R.rerank(rows, W.as_of()))
     return R.diversify(ranked, 12, 4)
 
