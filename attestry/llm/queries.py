@@ -71,11 +71,20 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from attestry.llm.alignment import alignment_report
+
+    a, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment_report(read_table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_spaced_seeds, op3_line_winnowing, op4_license_scan, op5_harmonic_packing, op6_spot_signatures, op7_legacy_archives,
-        op8_simhash_variants, op9_quality_resampling, op10_gear_chunks,
+        op8_simhash_variants, op9_quality_resampling, op10_gear_chunks, op11_token_spans,
     )
 }
 
