@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from attestry.llm.packing import WHITE, sliced
 
 CACHED = 300_000  # words that one of the two generations of remembered words holds
 CHUNK_BYTES = 2 << 20  # of text taken at once; a longer text is taken alone
-AT_ONCE = 2_000  # new words that reach the tokenizers in one text
+AT_ONCE = 300  # new words that reach the tokenizers in one text
 PAIR_BYTES = 48  # of one id pair with its count, in a broadcast table
 
 SPACE = "▁"  # how pieces write a space
@@ -77,6 +78,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_width, self.b_width = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.numbers = [str(i) for i in range(max(len(entries), len(pieces)))]
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
@@ -92,9 +94,10 @@ class Aligner:
         b = self.b.encode(text, return_type="offset_mapping")
         out = []
         for ids, spans, table, widths, shift in ((a.ids, a.offsets, self.a_bytes, self.a_width, 0), (b["ids"], b["offsets"], self.b_bytes, self.b_width, 1)):
-            if b"".join([table[i] for i in ids]) != raw:
+            if b"".join(map(table.__getitem__, ids)) != raw:
                 return None
-            ids, spans = np.array(ids, np.int64), np.array(spans, np.int64).reshape(-1, 2)
+            ids = np.array(ids, np.int64)
+            spans = np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(ids)).reshape(-1, 2)
             if shift:  # spans of the second tokenizer do not count the space that it adds itself
                 spans = spans + 1
                 spans[0, 0] = 0
@@ -104,22 +107,30 @@ class Aligner:
     def entries(self, found, ends: list[int]) -> list[tuple] | None:
         """For each word that ends at one of the byte places ``ends``: groups as text, counts of ids, linked pairs."""
         a, a_end, b, b_end = found
-        shared, at_a, at_b = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        # an end of either kind stands once, so a place that both have stands twice in the sorted ends
+        both = np.sort(np.concatenate([a_end, b_end]))
+        shared = both[1:][both[1:] == both[:-1]]
         word = np.searchsorted(shared, ends)
         if not np.array_equal(shared[np.minimum(word, len(shared) - 1)], ends):
             return None
+        at_a, at_b = np.searchsorted(a_end, shared), np.searchsorted(b_end, shared)
         pairs = (a[at_a] << 32 | b[at_b]).tolist()
-        a_text, b_text = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        groups, i, j = [], 0, 0
-        for p, q in zip(at_a.tolist(), at_b.tolist(), strict=True):
-            groups.append(f"{','.join(a_text[i : p + 1])}|{','.join(b_text[j : q + 1])}" if p > i or q > j else f"{a_text[p]}|{b_text[q]}")
-            i, j = p + 1, q + 1
-        out, low, i, j = [], 0, 0, 0
-        at_a, at_b = at_a.tolist(), at_b.tolist()
-        for high in word.tolist():
-            p, q = at_a[high] + 1, at_b[high] + 1
-            out.append((";".join(groups[low : high + 1]).encode(), p - i, q - j, tuple(pairs[low : high + 1])))
-            low, i, j = high + 1, p, q
+        number = self.numbers
+        a_text, b_text = [number[i] for i in a.tolist()], [number[i] for i in b.tolist()]
+        from_a, from_b = np.append(0, at_a[:-1] + 1).tolist(), np.append(0, at_b[:-1] + 1).tolist()
+        groups = [
+            f"{a_text[p]}|{b_text[q]}" if p == i and q == j else f"{','.join(a_text[i : p + 1])}|{','.join(b_text[j : q + 1])}"
+            for i, p, j, q in zip(from_a, at_a.tolist(), from_b, at_b.tolist(), strict=True)
+        ]
+        n_a = np.diff(at_a[word], prepend=-1).tolist()
+        n_b = np.diff(at_b[word], prepend=-1).tolist()
+        out, low = [], 0
+        for high, x, y in zip((word + 1).tolist(), n_a, n_b, strict=True):
+            if high == low + 1:
+                out.append((groups[low].encode(), x, y, (pairs[low],)))
+            else:
+                out.append((";".join(groups[low:high]).encode(), x, y, tuple(pairs[low:high])))
+            low = high
         return out
 
     def alone(self, text: str) -> tuple | None:
@@ -162,18 +173,20 @@ class Aligner:
                 yield whole and (*whole[:3], Counter(whole[3]))
                 continue
             times = Counter(own)
-            made = {w: known[w] for w in times}
-            if None in made.values():
-                yield None
-                continue
             n_a = n_b = 0
             pairs: dict[int, int] = {}
+            groups = {}
+            have = pairs.get
             for w, n in times.items():
-                _, x, y, linked = made[w]
-                n_a, n_b = n_a + n * x, n_b + n * y
+                entry = known[w]
+                if entry is None:
+                    break
+                groups[w], x, y, linked = entry
+                n_a += n * x
+                n_b += n * y
                 for p in linked:
-                    pairs[p] = pairs.get(p, 0) + n
-            yield b";".join([made[w][0] for w in own]), n_a, n_b, pairs
+                    pairs[p] = have(p, 0) + n
+            yield (b";".join(map(groups.__getitem__, own)), n_a, n_b, pairs) if entry is not None else None
 
 
 ALIGNERS: dict[tuple[str, str], Aligner] = {}
