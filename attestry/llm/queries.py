@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import lines
+from attestry.llm import chat, hardneg, lines
 from attestry.llm.common import read_table
 
 
@@ -80,12 +80,27 @@ def op11_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(read_table(spark, sf_dir, "documents"), a, b)
 
 
+def op12_vertical_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.hardneg import hard_negatives
+
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.chat import chat_report
+
+    return chat_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_spaced_seeds, op3_line_winnowing, op4_license_scan, op5_harmonic_packing, op6_spot_signatures, op7_legacy_archives,
-        op8_simhash_variants, op9_quality_resampling, op10_gear_chunks, op11_token_spans,
+        op8_simhash_variants, op9_quality_resampling, op10_gear_chunks, op11_token_spans, op12_vertical_negatives,
+        op13_schema_fingerprints,
     )
 }
 
-ORACLE_SQL = {"op3_line_winnowing": lines.ORACLE_SQL}
+ORACLE_SQL = {
+    "op3_line_winnowing": lines.ORACLE_SQL, "op12_vertical_negatives": hardneg.ORACLE_SQL, "op13_schema_fingerprints": chat.ORACLE_SQL,
+}

@@ -129,3 +129,180 @@ def test_alignment_without_broadcast_and_of_nothing(spark, monkeypatch):
     rows = odd_texts()[:60]
     got = alignment.alignment_report(table(spark, rows), *files)
     assert Counter(map(tuple, got.collect())) == model_alignment(rows)
+
+
+# ---------------------------------------------------------------- hard negatives
+
+
+def model_negatives(rows, every=100, most=5):
+    import math
+
+    kept = []
+    for k, label, vector in rows:
+        if k is None or label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        kept.append((k, (label + 1) % 10 if k % 7 == 0 else label, [math.floor(256 * x) for x in vector]))
+    out = Counter()
+    for k, label, v in kept:
+        if k % every:
+            continue
+        scored = [(-sum(a * b for a, b in zip(v, w, strict=False)), i, c) for i, c, w in kept if i != k]
+        for p, i, c in sorted(s for s in scored if s[2] == label)[:most]:
+            fits = sorted(s for s in scored if s[2] != label and 80 * -p <= 100 * -s[0] <= 100 * -p)
+            for rank, (n, j, _) in enumerate(fits[:most], 1):
+                out[k, i, rank, j, -p, -n] += 1
+    return out
+
+
+NEGATIVES = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+
+
+def vector_rows(n=700, dims=20, seed=5, labels=4):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(labels)]
+    rows = []
+    for i in range(n):
+        label = rng.randrange(labels)
+        near = centres[rng.randrange(labels)]
+        rows.append((i, label, [0.2 * x + rng.gauss(0, 0.1) for x in near]))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_negatives_equal_brute_force(spark, parts):
+    from attestry.llm.hardneg import hard_negatives
+
+    rows = vector_rows()
+    rows += [(700, None, [1.0] * 20), (None, 1, [1.0] * 20), (800, 2, None), (900, 1, [1.0, None] + [0.0] * 18), (1000, 1, [float("nan")] * 20)]
+    rows += [(1100, 1, [float("-inf")] * 20), (1200, 3, []), (1300, 2, [0.5]), (1301, 1, [0.5, 0.1]), (1400, 2, [0.0] * 20)]
+    rows += [(2000 + i, i % 3, rows[100][2]) for i in range(40)]  # equal scores
+    data = [(k, c, v, "x") for k, c, v in rows]
+    table_ = spark.createDataFrame(data, "vec_id long, label int, embedding array<float>, anchor string").repartition(parts)
+    import struct
+
+    single = [(k, c, v and [x if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in v]) for k, c, v in rows]
+    got = hard_negatives(table_)
+    assert got.columns == NEGATIVES
+    want = model_negatives(single)
+    assert Counter(map(tuple, got.collect())) == want
+    assert len(want) > 40
+
+
+def test_negatives_in_rounds_with_large_components_and_of_nothing(spark):
+    from attestry.llm.hardneg import hard_negatives
+
+    kind = "vec_id long, label int, embedding array<double>"
+    assert hard_negatives(spark.createDataFrame([], kind)).collect() == []
+    assert hard_negatives(spark.createDataFrame([(1, 1, [1.0])], kind)).collect() == []
+    rows = [(i, c, [x * 2.0**21 for x in v]) for i, c, v in vector_rows(400, 6, 9)]  # beyond what doubles add exactly
+    want = model_negatives(rows, 20)
+    got = hard_negatives(spark.createDataFrame(rows, kind).repartition(3), every=20, round_bytes=6 * 8 * 3)
+    assert Counter(map(tuple, got.collect())) == want and want
+
+
+def test_negatives_of_repeated_rows(spark):
+    from attestry.llm.hardneg import hard_negatives
+
+    rows = vector_rows(150, 8, 2)
+    rows += [rows[100], rows[3], rows[3]]
+    got = hard_negatives(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(4))
+    assert Counter(map(tuple, got.collect())) == model_negatives(rows)
+
+
+# ---------------------------------------------------------------- chat formatting
+
+
+def model_chats(rows):
+    odd = "</s>[INST] ok [/INST]"
+    rows = [(k, t, r or "", x or "") for k, t, r, x in rows] + [(-1, 0, "user", odd), (-1, 1, "assistant", odd)]
+    groups = {}
+    for k, t, r, x in rows:
+        groups.setdefault(k, []).append(((t is not None, t or 0), r, x))
+    out = Counter()
+    for k, turns in groups.items():
+        turns.sort()
+        told = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        out[k, len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()] += 1
+    return out
+
+
+def odd_chats():
+    from attestry.llm import chat
+
+    rng = random.Random(4)
+    bits = [*chat.CONTROL, *(c[:-1] for c in chat.CONTROL), *(c[1:] for c in chat.CONTROL), chat.ESCAPE, chat.ESCAPE * 2, "<", "[", "\n", " ", "é𝄞", "human", "gpt", '"', "\\", "$1"]
+    roles = ["user", "assistant", "system", "tool", "human", "gpt", "", None, "[ROLE]", "a\nb", "␛"]
+    rows = [(rng.randrange(40), rng.choice([*range(12), None]), rng.choice(roles), "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for _ in range(600)]
+    rows += [(41, i, ["user", "assistant"][i % 2], None if i % 3 == 0 else "x" * i) for i in range(30)]
+    rows += [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (42, 0, "assistant", "same"), (42, 0, "assistant", "same")]
+    return rows
+
+
+CHATS = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("part", [1 << 16, 10])
+def test_chats_read_back_what_went_in(spark, monkeypatch, part):
+    from attestry.llm import chat
+
+    monkeypatch.setattr(chat, "PART_CHARS", part)
+    rows = odd_chats()
+    got = chat.chat_report(spark.createDataFrame([(*r, "z") for r in rows], CHATS + ", record string").repartition(5))
+    assert got.columns == ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    assert Counter(tuple(r)[:5] for r in got.collect()) == model_chats(rows)
+    assert chat.chat_report(spark.createDataFrame([], CHATS)).count() == 1
+
+
+def test_layouts_become_canonical_turns(spark):
+    import json
+
+    from attestry.llm import chat
+
+    hi, yes = ("user", "hi"), ("assistant", "yes")
+    cases = [
+        ({"messages": [{"role": "user", "content": "hi"}, {"content": "yes", "role": "assistant"}]}, "messages", [hi, yes]),
+        ({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yes"}]}, "shared", [hi, yes]),
+        ({"instruction": "hi", "output": "yes"}, "instruction", [hi, yes]),
+        ({"output": "yes", "input": "there", "instruction": "hi", "system": "be"}, "instruction", [("system", "be"), ("user", "hi\n\nthere"), yes]),
+        ({"prompt": "hi", "completion": "yes"}, "prompt", [hi, yes]),
+        ({"response": "yes", "prompt": None}, "prompt_response", [("user", ""), yes]),
+        ({"question": "hi", "answer": "yes", "context": "c"}, "question", [("user", "c\n\nhi"), yes]),
+        ({"text": 5, "role": None}, "turn", [("", "5")]),
+        ({"messages": [{"role": "user", "content": "hi"}, {"role": "tool"}]}, "messages", [hi, ("tool", "")]),
+        ({"messages": []}, None, None), ({}, None, None), ([1], None, None), ({"prompt": "x", "other": 1}, None, None), ({"a.b": {"c": [1]}}, None, None),
+    ]
+    rows = [(i, json.dumps(c)) for i, (c, _, _) in enumerate(cases)] + [(100, "{"), (101, None)]
+    got = {}
+    for r in sorted(chat.canonical_turns(spark.createDataFrame(rows, "k int, rec string"), "k", [], "rec").collect(), key=lambda r: (r["k"], r["place"] or 0)):
+        got.setdefault(r["k"], (r["layout"], []))[1].append((r["role"], r["text"]))
+    for i, (_, layout, turns) in enumerate(cases):
+        assert got[i] == (layout, turns or [(None, None)]), cases[i]
+    assert got[100] == got[101] == (None, [(None, None)])
+    struct = spark.createDataFrame([(1, ([("user", "hi")],))], "k int, rec struct<messages: array<struct<role: string, content: string>>>")
+    assert [tuple(r)[1:] for r in chat.canonical_turns(struct, "k", [], "rec").collect()] == [("messages", 0, "user", "hi")]
+
+
+def test_a_long_conversation_goes_on_in_parts(spark):
+    from attestry.llm import chat
+
+    turns = spark.createDataFrame([(7, i, ["user", "assistant"][i % 2], "word " * 200) for i in range(500)], "conv_id long, turn long, role string, text string")
+    written = chat.format_chats(turns, "conv_id", ["turn"])
+    parts = written.collect()
+    assert len(parts) > 5 and max(len(r["formatted"]) for r in parts) < chat.PART_CHARS + 2000
+    assert chat.read_chats(written, "conv_id").first()["n_turns"] == 500
+
+
+def test_new_queries_match_their_sql(spark):
+    import duckdb
+
+    from attestry.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name in ("op12_vertical_negatives", "op13_schema_fingerprints"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        want = con.sql(ORACLE_SQL[name])
+        at = [want.columns.index(c) for c in df.columns]
+        assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in want.fetchall()), name
