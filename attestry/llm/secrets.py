@@ -54,6 +54,7 @@ SENSITIVE = re.compile(
     r"|authorization|client[_-]?id|signature|session[_-]?id|webhook|conn(?:ection)?[_-]?str)",
     re.ASCII,
 )
+#: Shorter strings have too few bytes for a compressor to tell words from keys.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 #: Every match of ASSIGN, and of SENSITIVE, holds one of these in lower case.
 ASSIGN_ROOTS = ("passw", "secret", "token", "api")
@@ -67,12 +68,6 @@ def holds(low: str, roots: tuple[str, ...]) -> bool:
     return any(root in low for root in roots)
 
 
-def looks_random(run: str) -> bool:
-    """Letters and digits, or capitals after small letters: what words of prose are not."""
-    letters = any(c.isalpha() for c in run)
-    return letters and (any(c.isdigit() for c in run) or re.search(r"[a-z][A-Z]", run) is not None)
-
-
 class Novelty:
     """Marginal compressed size of a string inside its context."""
 
@@ -109,7 +104,7 @@ class Novelty:
             if bisect_right(starts, stop + self.reach) <= bisect_left(stops, start - self.reach):
                 continue
             covered = bisect_right(opens, start)
-            if (covered and reached[covered - 1] >= stop) or not looks_random(hit.group()):
+            if covered and reached[covered - 1] >= stop:
                 continue
             added = self.added(text, start, stop)
             if added >= self.least * (stop - start):
