@@ -2,7 +2,8 @@
 
 A cut falls where the gear hash of the last 16 bytes is the smallest within RADIUS bytes on either
 side, so cuts depend on nearby bytes alone and insertions move them only nearby. A chunk reaches
-over two cuts and shares one with the next chunk; chunks of the same digest hold the same bytes.
+over two cuts and shares one with the next chunk. Chunks are taken as equal if their 64-bit digests,
+their numbers of code points and their numbers of words are.
 Later occurrences are merged into spans, and spans of enough words are reported.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch
 
 RADIUS, LONGEST, SEED = 20, 160, 10
-LEAST_WORDS = 30  # what is left, as a rule, of a passage of over 50 words that loses less than two chunks at either end
+LEAST_WORDS = 20  # a passage loses less than two chunks at either end
 
 
 def gear_table(seed: int) -> np.ndarray:
@@ -137,9 +138,6 @@ def repeated_spans(
     """
     scratch = Scratch(docs.sparkSession)
     units = scratch.save(chunk_table(docs.filter(F.col(key).isNotNull()), key, text, radius), "chunks")
-    first = units.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max("again").alias("more"))
-    first = first.filter("first < last OR more > 0").select("digest", "first")
-    found = units.join(first.hint("shuffle_hash"), "digest").filter("k > first OR again < 0")
 
     def high(c: str) -> Column:
         return F.shiftright(c, 32)
@@ -147,6 +145,12 @@ def repeated_spans(
     def low(c: str) -> Column:
         return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
 
+    # the numbers of code points and words, which the row has already, part digests that meet by chance
+    units = units.withColumn("size", F.shiftleft(low("place") - high("place"), 32).bitwiseOR(low("words") - high("words")))
+    first = units.groupBy("digest", "size").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max("again").alias("more"))
+    first = first.filter("first < last OR more > 0").select("digest", "size", "first")
+    found = units.join(first.hint("shuffle_hash"), ["digest", "size"]).filter("k > first OR again < 0")
+
     parts = found.select(
         "k", "first", high("place").alias("start"), low("place").alias("stop"), high("words").alias("w0"), low("words").alias("w1")
     )
