@@ -78,6 +78,24 @@ def term_coverage(terms: Column, content: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(got / total)
 
 
+def score_evidence(passages: DataFrame, requirements: DataFrame, rid: str = "requirement_id") -> DataFrame:
+    """passages (rid, evidence_id, content, ...) with ``measurements``, ``term_coverage`` and ``held``, the key terms found.
+
+    The stems of a passage meet the weighed key terms of its requirement by an equi-join, so that each
+    passage is stemmed once and coverage is a sum. term_coverage() is the same for one row.
+    """
+    weighed = requirements.select(rid, F.posexplode("key_terms").alias("i", "term")).withColumn("w", 1 / (1 + F.col("i") * 0.15))
+    total = weighed.groupBy(rid).agg(F.sum("w").alias("total"))
+    passages = passages.withColumn("_same", F.xxhash64("content"))
+    stems = passages.select(rid, "evidence_id", "_same", F.explode_outer(F.array_distinct(T.stems(F.col("content")))).alias("term"))
+    # a set, as equal passages may stand twice; it has at most the key terms of the requirement
+    hits = stems.join(weighed, [rid, "term"]).groupBy(rid, "evidence_id", "_same").agg(F.array_sort(F.collect_set(F.struct("i", "term", "w"))).alias("hits"))
+    got = F.aggregate("hits", F.lit(0.0), lambda s, x: s + x["w"])
+    scored = hits.join(total, rid).select(rid, "evidence_id", "_same", (got / F.col("total")).alias("_c"), F.col("hits.term").alias("held"))
+    out = passages.withColumn("measurements", N.measurements(F.col("content"))).join(scored, [rid, "evidence_id", "_same"], "left")
+    return out.withColumns({"term_coverage": F.coalesce("_c", F.lit(0.0)), "held": F.coalesce("held", F.array().cast("array<string>"))}).drop("_c", "_same")
+
+
 def comparisons(requirements: DataFrame, evidence: DataFrame, rid: str = "requirement_id") -> DataFrame:
     """(rid, unit, subject, required, observed, satisfied, disputed): figures on one subject, resolved by subject.
 
@@ -85,8 +103,10 @@ def comparisons(requirements: DataFrame, evidence: DataFrame, rid: str = "requir
     passage that covers enough of the requirement. A subject with passing and failing figures is
     disputed; else a passing figure decides, else the first.
     """
-    r = requirements.select(rid, "obligation_text", "key_terms", F.posexplode("measurements").alias("ri", "r"))
-    e = evidence.filter(F.col("term_coverage") >= ANCHOR).select(rid, "evidence_id", "term_coverage", F.posexplode("measurements").alias("ei", "e"))
+    # outer, as Spark would else find the figures once more to leave out passages without any
+    r = requirements.select(rid, "obligation_text", "key_terms", F.posexplode_outer("measurements").alias("ri", "r")).filter("r IS NOT NULL")
+    e = evidence.filter(F.col("term_coverage") >= ANCHOR).select(rid, "evidence_id", "term_coverage", F.posexplode_outer("measurements").alias("ei", "e"))
+    e = e.filter("e IS NOT NULL")
     r, e = r.withColumn("unit", F.col("r.unit")), e.withColumn("unit", F.col("e.unit"))
     shared = F.array_intersect("r.context", "e.context")
     on = F.array_intersect(shared, F.col("key_terms"))
@@ -133,12 +153,15 @@ def verdicts(requirements: DataFrame, evidence: DataFrame, rid: str = "requireme
         F.bool_or(F.col("satisfied") & ~F.col("disputed")).alias("meets"),
     )
     clash = passage_conflicts(evidence, rid).groupBy(rid).agg(F.count(F.lit(1)).alias("clashes"))
-    joined = evidence.select(rid, "term_coverage", "content").join(requirements.select(rid, "key_terms", "modality"), rid)
+    asked = requirements.select(rid, "key_terms", "modality")
+    joined = evidence.join(asked, rid)
+    held = F.col("held") if "held" in evidence.columns else F.array_intersect("key_terms", T.stems(F.col("content")))
     gathered = joined.groupBy(rid).agg(
-        F.max("term_coverage").alias("coverage"), F.bool_or(negates(F.col("key_terms"), F.col("modality"), F.col("content"))).alias("negated"),
-        F.array_distinct(F.flatten(F.collect_list(T.stems(F.col("content"))))).alias("held"),
-    )
-    rows = requirements.join(gathered, rid, "left").join(compared, rid, "left").join(clash, rid, "left")
+        F.max("term_coverage").alias("coverage"), F.bool_or(negates(F.col("key_terms"), F.col("modality"), F.col("content"))).alias("negated")
+    )
+    # at most the key terms of the requirement
+    covered = joined.select(rid, F.explode(held).alias("term")).groupBy(rid).agg(F.collect_set("term").alias("held"))
+    rows = requirements.join(gathered, rid, "left").join(covered, rid, "left").join(compared, rid, "left").join(clash, rid, "left")
     none = F.col("coverage").isNull()
     strict = F.when(F.col("modality") == "prohibited", "high").otherwise("medium")
     no_figure = (F.size("measurements") > 0) & (F.coalesce("compared", F.lit(0)) == 0)

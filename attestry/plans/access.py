@@ -45,7 +45,13 @@ def j2_visible_sources(spark, sf_dir):
 
 @register(f"{_WORLD} SELECT user_id, count(*) AS n FROM vis GROUP BY user_id")
 def j8_visible_counts(spark, sf_dir):
-    return _visible(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    users, groups, s, grants = _people(spark, sf_dir)
+    return A.visible_counts(s, grants, users, groups)
+
+
+def _among(spark, sf_dir, asked):
+    users, groups, s, grants = _people(spark, sf_dir)
+    return A.visible_among(asked, s, grants, users, groups)
 
 
 @register("""SELECT conv_id, turn FROM conversations c WHERE EXISTS (SELECT 1 FROM customer u WHERE u.c_custkey = c.conv_id * 3 AND u.c_acctbal > 0)""")
@@ -132,18 +138,20 @@ def _asked(spark, sf_dir):
 FROM ask a JOIN vis USING (user_id, source_id) JOIN cur ON cur.source_id = a.source_id AND is_current JOIN src ON src.source_id = a.source_id""")
 def j20_pinned_sources(spark, sf_dir):
     asked = _asked(spark, sf_dir).withColumn("role", F.lit("governing"))
-    return A.pinned(asked, _visible(spark, sf_dir), M.promote(W.versions(spark, sf_dir)), W.sources(spark, sf_dir))
+    return A.pinned(asked, _among(spark, sf_dir, asked), M.promote(W.versions(spark, sf_dir)), W.sources(spark, sf_dir))
 
 
 @register(f"{_WORLD}, {_ASKED} SELECT consultation_id FROM ask WHERE NOT EXISTS (SELECT 1 FROM vis WHERE vis.user_id = ask.user_id AND vis.source_id = ask.source_id)")
 def g2_leaks(spark, sf_dir):
-    return A.leaks(_asked(spark, sf_dir), _visible(spark, sf_dir)).select("consultation_id")
+    asked = _asked(spark, sf_dir)
+    return A.leaks(asked, _among(spark, sf_dir, asked)).select("consultation_id")
 
 
 @register(f"""{_WORLD}, {_ASKED} SELECT user_id, count(*) AS asked, count(*) FILTER (WHERE v.source_id IS NULL) AS missing, count(*) FILTER (WHERE v.source_id IS NULL) = 0 AS allowed
 FROM ask LEFT JOIN vis v USING (user_id, source_id) GROUP BY user_id""")
 def g4_batch_guard(spark, sf_dir):
-    return A.batch_guard(_asked(spark, sf_dir), _visible(spark, sf_dir))
+    asked = _asked(spark, sf_dir)
+    return A.batch_guard(asked, _among(spark, sf_dir, asked))
 
 
 @register("""WITH m AS (SELECT c_custkey AS user_id, c_custkey % 7 AS r FROM customer) SELECT user_id, CASE r WHEN 0 THEN 45 WHEN 1 THEN 43 ELSE 0 END > 0 AS senior FROM m""")

@@ -19,9 +19,7 @@ def _requirements(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    req = _requirements(spark, sf_dir).select("requirement_id", "key_terms")
-    rows = W.submissions(spark, sf_dir).join(req, "requirement_id")
-    return rows.withColumns({"measurements": N.measurements(F.col("content")), "term_coverage": C.term_coverage(F.col("key_terms"), F.col("content"))})
+    return C.score_evidence(W.submissions(spark, sf_dir), _requirements(spark, sf_dir).select("requirement_id", "key_terms"))
 
 
 _JUDGED = """j AS (SELECT l_partkey AS requirement_id, l_orderkey * 10 + l_linenumber AS evidence_id, l_quantity AS drawn, p_size AS stated,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from attestry.functions import text as T
 from attestry.operators import corpus as C
 from attestry.operators import verify as V
+from attestry.operators.ingest import derived, page_table
 from attestry.plans import world as W
+from attestry.plans.text import _TEXT
 from attestry.plans.world import table
 from attestry.registry import register
 
@@ -116,15 +118,14 @@ def r32_screen_cleaned(spark, sf_dir):
     return C.screening_verdicts(p, C.screen(p, "page_id"), "page_id").select("page_id", "quarantined")
 
 
-@register(None)
+_PAGE = f"regexp_replace({_TEXT}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register(f"SELECT page_id AS version_id, CASE WHEN {_PAGE} = '' THEN 'needs_review' ELSE 'ready' END AS outcome FROM pages")
 def r33_ingest(spark, sf_dir):
-    """Pages to text, screening, structure, chunks, citation map and outcome in one job."""
-    raw = table(spark, sf_dir, "pages").select(F.col("page_id").alias("version_id"), F.lit(1).alias("page_number"), T.html_text(F.col("html")).alias("text"))
-    chunks = C.section_chunks(C.sections(raw))
-    verdicts = C.screening_verdicts(raw, C.screen(raw, "version_id"), "version_id")
-    sample = C.stride_sample(chunks, "version_id", ["ordinal"], 20).select("version_id", "page_number", F.substring(F.col("content"), 1, 60).alias("excerpt"))
-    maps = V.map_valid(V.verify_citations(sample, raw))
-    return C.ingest_outcome(verdicts, maps, C.extraction_coverage(raw, chunks), "version_id")
+    """Pages to text, screening, structure, chunks, citation map and outcome in one job; d5_ingest_stream writes all its tables."""
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("version_id"), F.col("html").alias("text"))
+    return derived(page_table(files, F.lit("html")))["outcomes"]
 
 
 @register("""SELECT DISTINCT version_id, '6.' || p_size || '.' || id AS reference FROM (SELECT p_partkey // 200 + 1 AS version_id, p_size, p_partkey % 900 AS id FROM part)""")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry.operators import ingest as I
 from attestry.plans import world as W
 from attestry.plans.text import _TEXT
 from attestry.plans.world import table
 from attestry.registry import register
 from attestry.sources import connectors as S
+from attestry.sources.store import Store
 from attestry.streaming import jobs as D
-from attestry.streaming.sink import run_to_end
+from attestry.streaming.sink import run_to_end, scratch
 
 
 @register(f"WITH {W.SOURCES} SELECT source_id FROM src WHERE workspace_id = 2 AND deleted_at IS NULL")
@@ -71,6 +73,21 @@ def s7_document_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.document_type(mime, name).alias("document_type"))
 
 
+@register(f"""WITH {W.CHUNKS} SELECT version_id, ordinal, md5(content) AS digest FROM chk WHERE version_id % 50 > 0
+UNION ALL SELECT doc_id, 1, md5('second reading of ' || doc_id) FROM documents WHERE doc_id % 100 = 50""")
+def s8_replace_versions(spark, sf_dir):
+    """Every fiftieth version of all stored passages is replaced, twice; one in two of these has a new passage, the others none."""
+    passages = W.chunks(spark, sf_dir).select("version_id", F.col("ordinal").cast("int").alias("ordinal"), "content")
+    store = Store(spark, scratch(spark), {"passages": "version_id"})
+    store.commit(add={"passages": passages})
+    gone = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("version_id"))
+    text = F.concat(F.lit("second reading of "), F.col("version_id").cast("string"))
+    new = gone.filter("version_id % 100 = 50").select("version_id", F.lit(1).alias("ordinal"), text.alias("content"))
+    for _ in range(2):
+        S.replace_versions(store, "passages", new, gone)
+    return store.read("passages").select("version_id", "ordinal", F.md5("content").alias("digest"))
+
+
 @register("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 def s9_upsert(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("v", F.struct("ts", "event_id"))
@@ -157,3 +174,69 @@ def d6_metric_windows(spark, sf_dir):
 def s13_evidence_csv(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lit(None).cast("string").alias("source"), F.lit("x").alias("page"))
     return S.csv_lines(S.evidence_columns(rows, ["source", "page"], "source"))
+
+
+@register("SELECT user_id AS job_id, event_type AS stage, ts, CASE WHEN value > 50 THEN 'hot' ELSE 'cold' END AS after FROM events QUALIFY lag(CASE WHEN value > 50 THEN 'hot' ELSE 'cold' END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) IS DISTINCT FROM CASE WHEN value > 50 THEN 'hot' ELSE 'cold' END")
+def d3_stage_stream(spark, sf_dir):
+    """The live feed of stage changes, run to its end."""
+    kind = table(spark, sf_dir, "events").schema
+    e = D.read_events(spark, f"{sf_dir}/events.parquet*", kind).filter("ts IS NOT NULL")
+    e = e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), "ts", "event_id", F.when(F.col("value") > 50, "hot").otherwise("cold").alias("state"))
+    out = run_to_end(spark, D.stage_changes(e), "d3", stateful=True)
+    return out.select("job_id", "stage", F.col("ts").cast(kind["ts"].dataType).alias("ts"), "after")
+
+
+@register("""SELECT user_id AS job_id, ts AS last_seen FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next, max(ts) OVER () AS ends FROM (SELECT DISTINCT user_id, ts FROM events))
+WHERE coalesce(next, ends) - ts > INTERVAL 6 HOUR""")
+def d4_stale_stream(spark, sf_dir):
+    """Each silence of a job of more than six hours, by event-time timers of a live feed run to its end."""
+    kind = table(spark, sf_dir, "events").schema
+    e = D.read_events(spark, f"{sf_dir}/events.parquet*", kind).filter("ts IS NOT NULL").select(F.col("user_id").alias("job_id"), "ts")
+    out = run_to_end(spark, D.stale_jobs(e, 6 * 3600, "0 seconds"), "d4", stateful=True)
+    return out.select("job_id", F.col("last_seen").cast(kind["ts"].dataType).alias("last_seen"))
+
+
+class _FailsOnce(Store):
+    """A store whose second commit fails after everything but the manifest is written."""
+
+    calls = 0
+
+    def _publish(self, manifest):
+        self.calls += 1
+        if self.calls == 2:
+            raise OSError("stopped before the commit")
+        super()._publish(manifest)
+
+
+_CLEAN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TEXT}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_JOINED = f"regexp_replace({_CLEAN}, '(\\p{{L}})-(?:[ \\t]*\\r?\\n[ \\t]*|[ \\t]+)(\\p{{Ll}})', '\\1\\2', 'g')"
+
+
+@register(f"""WITH p AS (SELECT page_id, page_id % 20 AS source_id, page_id % 2 AS dropped, sha256(html) AS sha256, {_JOINED} AS text FROM pages),
+n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY dropped, page_id) = 1),
+v AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY dropped, page_id)::INT AS version_number FROM n)
+SELECT page_id AS version_id, source_id, version_number, sha256, md5(text) AS digest, CASE WHEN text = '' THEN 'needs_review' ELSE 'ready' END AS outcome,
+  row_number() OVER (PARTITION BY source_id ORDER BY version_number DESC) = 1 AS is_current FROM v""")
+def d5_ingest_stream(spark, sf_dir):
+    """Two drops of pages through the whole ingest, the job failing in the middle of the second and restarted."""
+    work = scratch(spark)
+    pages = table(spark, sf_dir, "pages")
+    files = pages.select(F.col("page_id").alias("file_id"), (F.col("page_id") % 20).alias("source_id"), F.col("html").alias("text"), F.lit("html").alias("kind"))
+    store = _FailsOnce(spark, f"{work}/store", I.TABLES)
+
+    def run():
+        stream = spark.readStream.schema(files.schema).parquet(f"{work}/in/drop=*")
+        D.ingest_new(stream, store, f"{work}/state", f"{work}/scratch", W.as_of()).awaitTermination()
+
+    files.filter("file_id % 2 = 0").write.parquet(f"{work}/in/drop=0")
+    run()
+    files.filter("file_id % 2 = 1").write.parquet(f"{work}/in/drop=1")
+    try:
+        run()
+    except Exception as error:
+        if "stopped before the commit" not in str(error):
+            raise
+    run()
+    text = store.read("pages").select("version_id", F.md5("text").alias("digest"))
+    told = I.current_versions(store).join(text, "version_id").join(store.read("outcomes"), "version_id")
+    return told.select("version_id", "source_id", "version_number", "sha256", "digest", "outcome", "is_current")

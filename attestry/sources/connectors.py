@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as T
 from attestry.functions import urls as U
+from attestry.sources.store import Store
 
 SUPPORTED = ["pdf", "docx", "xlsx", "pptx", "md", "txt", "html", "htm", "csv"]
 MOST_BYTES, MOST_FILES = 100 * 1024 * 1024, 200
@@ -113,9 +114,13 @@ def allowed_hosts(urls: DataFrame, domains: DataFrame) -> DataFrame:
     return urls.join(hit, "url_id", "left_semi")
 
 
-def replace_versions(rows: DataFrame, path: str, bucket: str = "version_bucket") -> None:
-    """Rewrites only the partitions that rows has; running it again changes nothing."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+def replace_versions(store: Store, table: str, rows: DataFrame, versions: DataFrame | None = None) -> None:
+    """Replaces all rows of some versions in a table of a store; other versions of their buckets stay.
+
+    ``versions`` names the versions whose rows go, those of ``rows`` if not given; a version without new
+    rows is emptied. Running it again changes nothing.
+    """
+    store.commit(replace={table: (rows, versions if versions is not None else rows)})
 
 
 def upsert(new: DataFrame, old: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -16,14 +16,28 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='attestry-')}/stream-{uuid.uuid4().hex}"
 
 
-def run_to_end(spark: SparkSession, query: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Processes what the source holds now; the last state of each update goes to Parquet in the shared folder."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_end(spark: SparkSession, query: DataFrame, name: str, mode: str = "append", stateful: bool = False) -> DataFrame:
+    """Processes what the source holds now; the last state of each update goes to Parquet in the shared folder.
+
+    ``stateful``: the query has processors of its own, whose state needs the RocksDB store.
+    """
     folder = scratch(spark)
     out = f"{folder}/{name}"
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    run = query.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    if stateful:
+        spark.conf.set(PROVIDER, ROCKS)
+    try:
+        run = query.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        if stateful:
+            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return spark.read.schema(query.schema).parquet(out)
