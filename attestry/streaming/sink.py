@@ -16,6 +16,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='attestry-')}/stream-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df written once and read again, so that later steps neither repeat it nor lose it with an executor."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
