@@ -98,12 +98,16 @@ def verify_citations(drafts: DataFrame, pages: DataFrame) -> DataFrame:
 RUN = 5  # words of a passage that a document must hold in a row to be a candidate
 
 
+SHORT_BLOCK = 2_000  # passages of one or two words that each document is searched for at once
+
+
 def passage_candidates(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, version_id): the documents that can hold a passage, every one of them.
 
     passages (query_id, text), documents (version_id, text). A document that holds a passage in normal
     form holds the words between its first and its last whole; the first RUN of these (the first one, if there
-    are fewer) are joined by their hash. A passage of fewer than three words is a candidate nowhere.
+    are fewer) are joined by their hash. Shorter passages, which may begin and end within words, are
+    looked for in every document, a block of them at a time. An empty passage is a candidate nowhere.
     """
 
     def words(x: str) -> Column:
@@ -114,7 +118,15 @@ def passage_candidates(passages: DataFrame, documents: DataFrame) -> DataFrame:
     keys = inner.select("query_id", F.size("w").alias("n"), F.xxhash64("w").alias("run"))
     places = documents.select("version_id", words("text").alias("w")).select("version_id", "w", F.posexplode("w").alias("i", "_"))
     runs = places.select("version_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", F.col("i") + 1, n)).alias("run")) for n in (1, RUN)])).alias("r"))
-    return runs.select("version_id", "r.n", "r.run").join(small(keys), ["n", "run"]).select("query_id", "version_id").distinct()
+    found = runs.select("version_id", "r.n", "r.run").join(small(keys), ["n", "run"]).select("query_id", "version_id").distinct()
+    short = passages.select("query_id", T.normal_match(F.col("text")).alias("p")).filter((F.size(F.split("p", " ")) < 3) & (F.col("p") != ""))
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for n in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).agg(F.collect_list(F.struct("query_id", "p")).alias("ps"))
+        held = documents.select("version_id", T.normal_match(F.col("text")).alias("_d")).join(F.broadcast(block), F.lit(True))
+        hits = held.select("version_id", F.explode(F.filter("ps", lambda x: F.contains(F.col("_d"), x["p"]))).alias("x"))
+        found = found.unionByName(hits.select("x.query_id", "version_id"))
+    return found
 
 
 def highlight_boxes(rows: DataFrame, boxes: str = "word_boxes", excerpt: str = "excerpt") -> DataFrame:

@@ -187,6 +187,34 @@ def a23_alerts(spark, sf_dir):
     return M.alerts(e, 360, 0.05)
 
 
+@register("""WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, * FROM events),
+q AS (SELECT event_type, ts, sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) AS delta FROM events GROUP BY 1, 2),
+d AS (SELECT *, sum(delta) OVER (PARTITION BY event_type ORDER BY ts) > 10 AS over FROM q),
+f AS (SELECT * FROM (SELECT *, coalesce(lag(over) OVER (PARTITION BY event_type ORDER BY ts), false) AS was, max(ts) OVER (PARTITION BY event_type) AS ends FROM d) WHERE over <> was),
+s AS (SELECT event_type, over, ts, coalesce(lead(ts) OVER (PARTITION BY event_type ORDER BY ts), ends) AS until FROM f)
+SELECT 'queue' AS kind, event_type AS subject, ts AS start, round(epoch(until) / 60 - epoch(ts) / 60, 3) AS value FROM s WHERE over AND until >= ts + INTERVAL 60 MINUTE
+UNION ALL SELECT 'failures', '', start, round(count(*) FILTER (WHERE value > 90) / count(*), 6) FROM w GROUP BY start HAVING count(*) FILTER (WHERE value > 90) > 0.12 * count(*)
+UNION ALL SELECT 'verification', '', start, round(avg(CASE WHEN value > 1 THEN 1.0 ELSE 0.0 END), 6) FROM w GROUP BY start HAVING NOT bool_and(value > 1)
+UNION ALL SELECT 'retrieval', '', start, round(quantile_disc(value, 0.95), 6) FROM w GROUP BY start HAVING quantile_disc(value, 0.95) > 95""")
+def a23_all_alerts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    queue = e.select(F.col("event_type").alias("queue"), "ts", F.when(F.col("value") > 50, 1).otherwise(-1).alias("delta"))
+    runs, cited = e.select("ts", (F.col("value") > 90).alias("failed")), e.select("ts", (F.col("value") > 1).alias("verified"))
+    told = M.all_alerts(runs, queue, cited, e.select("ts", F.col("value").alias("seconds")), 360, 0.12, 10, 60, 95)
+    return told.withColumn("value", F.when(F.col("kind") == "queue", F.round("value", 3)).otherwise(F.round("value", 6)))
+
+
+@register("SELECT event_type, count(*) AS count, round(sum(value), 3) AS sum, true AS near FROM events GROUP BY event_type")
+def a17_merged_sketches(spark, sf_dir):
+    """Sketches of six-hour windows merged for each label; the ranks of the told quantiles are off by at most 0.02."""
+    e = table(spark, sf_dir, "events")
+    points = M.merged_points(M.metric_sketches(e, ["event_type"], 360), ["event_type"])
+    met = e.select("event_type", "value").join(points.select("event_type", "p50", "p95", "p99"), "event_type").groupBy("event_type")
+    off = [F.abs(F.avg((F.col("value") <= F.col(f"p{int(q * 100)}")).cast("double")) - q) <= F.greatest(F.lit(0.02), 1 / F.count(F.lit(1))) for q in M.QUANTILES]
+    near = met.agg((off[0] & off[1] & off[2]).alias("near"))
+    return points.join(near, "event_type").select("event_type", "count", F.round("sum", 3).alias("sum"), "near")
+
+
 @register("""WITH p AS (SELECT DISTINCT l_suppkey, l_linenumber AS page FROM lineitem), g AS (SELECT *, page - row_number() OVER (PARTITION BY l_suppkey ORDER BY page) AS g FROM p),
 r AS (SELECT l_suppkey, min(page) AS a, max(page) AS b FROM g GROUP BY l_suppkey, g)
 SELECT l_suppkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY 1""")

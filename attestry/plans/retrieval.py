@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import text as T
+from attestry.operators import lsh as L
 from attestry.operators import postings as P
 from attestry.operators import retrieve as R
 from attestry.operators import verify as V
@@ -80,6 +81,15 @@ _VECTOR = """cosv AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_co
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cosv QUALIFY rank <= 10)"""
 
 
+@register("SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM embeddings)) AS expected, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def r10_lsh_recall(spark, sf_dir):
+    """Of the ten nearest vectors of every fiftieth one, nine in ten at least are found through the buckets."""
+    q, v = _vectors(spark, sf_dir)
+    told = L.recall(L.vector_lsh(q, v, 10), R.vector(q, v, 10))
+    n = q.agg(F.count(F.lit(1)).alias("queries"))
+    return told.join(n, F.lit(True)).select("queries", "expected", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @register(f"WITH {_VECTOR} SELECT query_id, chunk_id, round(score, 5) AS score FROM vec")
 def r10_vector(spark, sf_dir):
     q, v = _vectors(spark, sf_dir)
