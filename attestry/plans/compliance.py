@@ -51,6 +51,53 @@ def c11_verdicts(spark, sf_dir):
     return C.verdicts(_requirements(spark, sf_dir), _evidence(spark, sf_dir)).select("requirement_id", "result", "risk", "confidence")
 
 
+_WHOLE = "1 + 1 / 1.15 + 1 / 1.3 + 1 / 1.45"
+_CASES = f"""e AS (SELECT l_partkey AS id, l_partkey % 4 AS c, l_quantity::INT AS q FROM lineitem),
+g AS (SELECT id, any_value(c) AS c, count(DISTINCT q) > 1 AS values_differ, bool_or(q % 2 = 0) AS even, bool_or(q % 2 = 1) AS odd FROM e GROUP BY id),
+k AS (SELECT p_partkey AS requirement_id, CASE WHEN id IS NULL THEN 'none' WHEN c = 0 THEN 'meets' WHEN c = 1 THEN CASE WHEN values_differ THEN 'clash' ELSE 'meets' END
+  WHEN c = 2 THEN CASE WHEN even AND odd THEN 'clash' ELSE 'meets' END WHEN even THEN 'negated' ELSE 'short' END AS k FROM part LEFT JOIN g ON id = p_partkey)"""
+
+
+def _lighting(spark, sf_dir):
+    """Obligations without a figure, and passages that agree, differ in a value, oppose, deny, or say too little."""
+    text = F.concat(F.lit("Exit stair landing lighting shall be provided in part "), F.lit("of the house."))
+    req = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("requirement_id"), text.alias("obligation_text"), F.lit("mandatory").alias("modality"))
+    terms = F.array(*map(F.lit, ("exit", "landing", "lighting", "stair")))
+    req = req.withColumns({"key_terms": terms, "measurements": N.measurements(F.col("obligation_text"))})
+    q, c = F.col("l_quantity").cast("int"), F.col("l_partkey") % 4
+    about = F.lit("Exit stair landing lighting ")
+    said = (
+        F.when(c == 0, F.concat(about, F.lit("was seen on site."))).when(c == 1, F.concat(about, F.lit("reads "), q.cast("string"), F.lit(" lux on site.")))
+        .when(c == 2, F.concat(about, F.when(q % 2 == 0, "is prohibited here.").otherwise("is required here.")))
+        .otherwise(F.when(q % 2 == 0, F.concat(about, F.lit("is omitted."))).otherwise("Exit stair."))
+    )
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("requirement_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), said.alias("content")
+    )
+    return req, C.score_evidence(rows, req.select("requirement_id", "key_terms"))
+
+
+@register(f"""WITH {_CASES} SELECT requirement_id, CASE k WHEN 'meets' THEN 'compliant' WHEN 'negated' THEN 'non_compliant' ELSE 'needs_evidence' END AS result,
+  CASE k WHEN 'meets' THEN 'none' WHEN 'negated' THEN 'high' ELSE 'medium' END AS risk,
+  round(CASE k WHEN 'meets' THEN 0.95 WHEN 'negated' THEN 0.72 WHEN 'clash' THEN 0.45 WHEN 'none' THEN 0.4 ELSE 0.4 + (1 + 1 / 1.45) / ({_WHOLE}) * 0.25 END::DOUBLE, 6) AS confidence,
+  CASE k WHEN 'none' THEN 'exit|landing|lighting|stair' WHEN 'short' THEN 'landing|lighting' ELSE '' END AS missing FROM k""")
+def c12_verdict_cascade(spark, sf_dir):
+    """Verdicts where values clash, provisions oppose each other, an obligation is denied, or terms are missing."""
+    told = C.verdicts(*_lighting(spark, sf_dir))
+    return told.select("requirement_id", "result", "risk", F.round("confidence", 6).alias("confidence"), F.array_join("missing", "|").alias("missing"))
+
+
+@register("""WITH e AS (SELECT DISTINCT l_partkey AS id, l_quantity::INT AS q, l_quantity::INT % 2 AS p FROM lineitem WHERE l_partkey % 4 = 1),
+o AS (SELECT DISTINCT l_partkey AS id, l_quantity::INT % 2 AS p FROM lineitem WHERE l_partkey % 4 = 2)
+SELECT a.id AS requirement_id, 'value' AS why, count(*) AS n FROM e a JOIN e b ON a.id = b.id AND a.q < b.q GROUP BY 1
+UNION ALL SELECT id, 'polarity', 1 FROM o GROUP BY id HAVING count(*) = 2""")
+def j14_conflicts(spark, sf_dir):
+    _, evidence = _lighting(spark, sf_dir)
+    found = C.passage_conflicts(evidence).filter("requirement_id % 4 IN (1, 2)")
+    why = F.when(F.col("reason").startswith("Conflicting values"), "value").otherwise("polarity")
+    return found.groupBy("requirement_id", why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("""SELECT p_partkey AS requirement_id, 'building,clear,exit,landing,stair,width' AS terms FROM part""")
 def c2_key_terms(spark, sf_dir):
     return W.clauses(spark, sf_dir).select("requirement_id", F.array_join(C.key_terms(F.col("obligation_text")), ",").alias("terms"))
