@@ -54,12 +54,14 @@ def asked_parts(queries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return words, parts.withColumn("term", T.stem(F.col("raw"))).drop("raw")
 
 
-def stored_lexical(queries: DataFrame, store: Store, k: int = 40, key: str = "chunk_id", within: DataFrame | None = None, telemetry: dict | None = None) -> DataFrame:
+def stored_lexical(queries: DataFrame, store: Store, k: int = 40, key: str = "chunk_id", within: DataFrame | None = None, telemetry: dict | None = None,
+                   sources: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, key, matched_all, score, rank), as retrieve.lexical() over all passages of the index.
 
     Only buckets of asked terms are read. For each query the FIRST blocks of the highest bound are
     scored; the k-th best sum there is a sum that k passages reach, so another block is read only if its
-    bound reaches it or it has all parts of the query. ``within``: keys to which results are limited.
+    bound reaches it or it has all parts of the query. ``within``: keys to which results are limited;
+    ``scope``: (query_id, source_id) to which each query is limited, by ``sources`` (key, source_id).
     ``telemetry`` gets how many blocks the queries met and how many were read.
     """
     spark = queries.sparkSession
@@ -78,6 +80,11 @@ def stored_lexical(queries: DataFrame, store: Store, k: int = 40, key: str = "ch
     order = Window.partitionBy("query_id").orderBy(F.desc("whole"), F.desc("bound"), "block")
     bounds = bounds.withColumn("nth", F.row_number().over(order))
 
+    def in_scope(hits: DataFrame) -> DataFrame:
+        if scope is None:
+            return hits
+        return hits.join(sources.select(key, "source_id"), key).join(scope.select("query_id", "source_id"), ["query_id", "source_id"], "left_semi")
+
     def scored(chosen: DataFrame) -> DataFrame:
         """Sums of the passages of some (query_id, block)."""
         wanted = words.join(blocks.select("term", "block"), "term").join(chosen, ["query_id", "block"])
@@ -89,7 +96,7 @@ def stored_lexical(queries: DataFrame, store: Store, k: int = 40, key: str = "ch
             )
             runs = placed.groupBy("query_id", "n", key, "part", "len", (F.col("at") - F.col("off")).alias("start")).agg(F.countDistinct("off").alias("got"))
             hits = hits.unionByName(runs.filter("got = len").groupBy("query_id", "n", key, "part").agg(F.count(F.lit(1)).alias("tf")))
-        return hits.groupBy("query_id", key).agg(F.sum("tf").alias("s"), (F.countDistinct("part") == F.max("n")).alias("matched_all"))
+        return in_scope(hits).groupBy("query_id", key).agg(F.sum("tf").alias("s"), (F.countDistinct("part") == F.max("n")).alias("matched_all"))
 
     folder = scratch(spark)
     bounds = saved(bounds, f"{folder}/bounds")

@@ -73,26 +73,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def vector(queries: DataFrame, vectors: DataFrame, k: int = 40, key: str = "chunk_id") -> DataFrame:
+def vector(queries: DataFrame, vectors: DataFrame, k: int = 40, key: str = "chunk_id", scope: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank) by exact cosine; blocks of queries are laid over every vector.
 
     Both tables have an embedding; a join column ``model`` in both keeps models apart. A block has at
     most about BROADCAST_ROWS queries. Each task keeps its own k best of a query before the shuffle.
+    With ``scope`` (query_id, source_id) only vectors of a query's sources count (column source_id).
     """
     q = queries.select("query_id", F.col("embedding").alias("_q"), "model")
     blocks, out = -(-q.count() // BROADCAST_ROWS) or 1, None
     for n in range(blocks):
         block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        scored = vectors.join(F.broadcast(block), "model").select("query_id", key, N.cosine(F.col("_q"), F.col("embedding")).alias("score"))
+        met = vectors.join(F.broadcast(block), "model")
+        met = met if scope is None else met.join(scope.select("query_id", "source_id"), ["query_id", "source_id"], "left_semi")
+        scored = met.select("query_id", key, N.cosine(F.col("_q"), F.col("embedding")).alias("score"))
         own = top(scored, ["query_id"], [F.desc("score"), key], k)
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def locator(queries: DataFrame, chunks: DataFrame, k: int = 40, key: str = "chunk_id", most: int = 8) -> DataFrame:
+def locator(queries: DataFrame, chunks: DataFrame, k: int = 40, key: str = "chunk_id", most: int = 8, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank): clause 1.0, section 0.8, chapter 0.6, a sub-clause 0.4.
 
-    Prefixes are met by an equi-join on every prefix of the chunk's own clause number.
+    Prefixes are met by an equi-join on every prefix of the chunk's own clause number. ``scope``: as in vector().
     """
     wanted = queries.select("query_id", F.explode(F.slice(T.retrievable_locators(F.col("text")), 1, most)).alias("loc"))
     parts = F.split("clause", r"\.")
@@ -104,8 +107,11 @@ def locator(queries: DataFrame, chunks: DataFrame, k: int = 40, key: str = "chun
                 F.struct(F.col("chapter").alias("loc"), F.lit(0.6).alias("w"))),
         F.coalesce(F.transform(prefixes, lambda p: F.struct(p.alias("loc"), F.lit(0.4).alias("w"))), F.array().cast("array<struct<loc:string,w:double>>")),
     )
-    keys = chunks.select(key, "ordinal", F.explode(offered).alias("o")).select(key, "ordinal", "o.loc", "o.w").filter("loc IS NOT NULL")
-    hits = wanted.join(keys, "loc").groupBy("query_id", key, "ordinal").agg(F.max("w").alias("score"))
+    own = [] if scope is None else ["source_id"]
+    keys = chunks.select(key, "ordinal", *own, F.explode(offered).alias("o")).select(key, "ordinal", *own, "o.loc", "o.w").filter("loc IS NOT NULL")
+    met = wanted.join(keys, "loc")
+    met = met if scope is None else met.join(scope.select("query_id", "source_id"), ["query_id", "source_id"], "left_semi")
+    hits = met.groupBy("query_id", key, "ordinal").agg(F.max("w").alias("score"))
     return top(hits, ["query_id"], [F.desc("score"), "ordinal", key], k)
 
 

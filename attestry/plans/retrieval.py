@@ -9,6 +9,7 @@ from attestry.operators import lsh as L
 from attestry.operators import postings as P
 from attestry.operators import retrieve as R
 from attestry.operators import verify as V
+from attestry.operators.hybrid import hybrid
 from attestry.plans import world as W
 from attestry.plans.world import in_sql, stem_sql, table
 from attestry.registry import register
@@ -178,12 +179,9 @@ def _hybrid(spark, sf_dir):
     clause = F.when(F.length("content") >= 40, F.concat(section, F.lit("."), F.col("ordinal").cast("string")))
     located = c.withColumns({"chapter": F.lit("6"), "section": section, "clause": clause})
     named = q.withColumn("text", F.concat("text", F.lit(" See section 6."), (F.col("query_id") % 50 + 1).cast("string"), F.lit(".")))
-    fused = R.fuse({"lexical": P.stored_lexical(q, _stored(spark, sf_dir)), "locator": R.locator(named, located)})
-    told = located.select("chunk_id", "content", "version_id", "source_id", "page_number", "chapter", "section", "clause")
-    rows = fused.join(told, "chunk_id").join(named.withColumnRenamed("text", "query_text"), "query_id")
-    rows = rows.withColumns({"kind": F.lit("paragraph"), "effective_date": F.lit(None).cast("date")})
-    ranked = R.drop_near_duplicates(R.rerank(rows, W.as_of()))
-    return R.diversify(ranked, 12, 4)
+    asked = q.join(named.select("query_id", F.col("text").alias("expanded")), "query_id")
+    located = located.withColumns({"kind": F.lit("paragraph"), "effective_date": F.lit(None).cast("date")})
+    return hybrid(asked, located, _stored(spark, sf_dir), W.as_of())
 
 
 @register(None)
