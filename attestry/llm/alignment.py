@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch, salted, small_enough
 from attestry.llm.packing import WHITE, sliced
 
-CACHED = 300_000  # words that one of the two generations of remembered words holds
+CACHED = 400_000  # words that one of the two generations of remembered words holds
 CHUNK_BYTES = 2 << 20  # of text taken at once; a longer text is taken alone
 AT_ONCE = 300  # new words that reach the tokenizers in one text
 PAIR_BYTES = 48  # of one id pair with its count, in a broadcast table
