@@ -45,7 +45,7 @@ _STORES: dict[tuple[str, str], Store] = {}
 def _stored(spark, sf_dir):
     """The stored index of all passages, written when a session first asks for it and read from then on."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STORES:
+    if key not in _STORES or not _STORES[key].manifest()["tables"]:  # its folder may have been cleared
         work = scratch(spark)
         store = Store(spark, f"{work}/index", P.TABLES)
         P.index_batch(store, W.chunks(spark, sf_dir), 0, work, group="version_id")

@@ -101,9 +101,16 @@ def document_type(mime: Column, name: Column) -> Column:
 
 
 def robots_decision(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url_id, host, path) with allowed: the longest matching rule (host, prefix, allow) decides, allow wins ties."""
-    hits = urls.join(rules, "host").filter(F.col("path").startswith(F.col("prefix")))
-    best = hits.groupBy("url_id").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("a"))
+    """urls (url_id, host, path) with allowed: the longest matching rule (host, prefix, allow) decides, allow wins ties.
+
+    A url meets the different lengths of its host's rules, not the rules: of each length it can match
+    one prefix, which is joined by equality.
+    """
+    sized = rules.withColumn("_n", F.length("prefix"))
+    lengths = sized.select("host", "_n").distinct()
+    offered = urls.select("url_id", "host", "path").join(lengths, "host").select("url_id", "host", "_n", F.expr("left(path, _n)").alias("prefix"))
+    hits = offered.join(sized, ["host", "_n", "prefix"])
+    best = hits.groupBy("url_id").agg(F.max_by("allow", F.struct("_n", "allow")).alias("a"))
     return urls.join(best, "url_id", "left").select("url_id", F.coalesce("a", F.lit(True)).alias("allowed"))
 
 
