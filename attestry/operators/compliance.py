@@ -134,12 +134,12 @@ def negates(terms: Column, modality: Column, passage: Column) -> Column:
 
 
 def on_point(evidence: DataFrame, rid: str) -> DataFrame:
-    """(rid, evidence_id, content, t, q, forbids, requires): passages that cover enough of the requirement, equal ones once, by their smallest id."""
+    """(rid, p, content, t, q, forbids, requires): passages that cover enough of the requirement, equal ones once; p holds their smallest id."""
     on = evidence.filter(F.col("term_coverage") >= ANCHOR)
     once = on.groupBy(rid, "content").agg(F.min("evidence_id").alias("evidence_id"))
     forbids = F.col("content").rlike(FORBIDS)
     return once.select(
-        rid, "evidence_id", "content", long_terms(F.col("content")).alias("t"), N.quantities(N.measurements(F.col("content"))).alias("q"),
+        rid, F.struct("evidence_id", F.xxhash64("content").alias("h")).alias("p"), "content", long_terms(F.col("content")).alias("t"), N.quantities(N.measurements(F.col("content"))).alias("q"),
         forbids.alias("forbids"), (F.col("content").rlike(REQUIRES) & ~forbids).alias("requires"),
     )
 
@@ -152,23 +152,24 @@ def passage_conflicts(evidence: DataFrame, rid: str = "requirement_id") -> DataF
     passages paired, and only those of different values or of opposite polarity.
     """
     on = on_point(evidence, rid)
-    values = on.select(rid, "evidence_id", F.explode("q").alias("unit", "value"))
+    values = on.select(rid, "p", F.explode("q").alias("unit", "value"))
     spread = values.groupBy(rid, "unit").agg((F.max("value") - F.min("value")).alias("d")).filter("d > 1e-9").select(rid, "unit")
     apart = values.join(spread, [rid, "unit"], "left_semi")
-    low, high = (apart.select(rid, "unit", F.col("evidence_id").alias(x), F.col("value").alias(f"v{x}")) for x in "xy")
+    low, high = (apart.select(rid, "unit", F.col("p").alias(x), F.col("value").alias(f"v{x}")) for x in "xy")
     pairs = low.join(high, [rid, "unit"]).filter("vx < vy - 1e-9").select(rid, "x", "y")
     both = on.groupBy(rid).agg((F.bool_or("forbids") & F.bool_or("requires")).alias("both")).filter("both").select(rid)
-    no = on.filter("forbids").select(rid, F.col("evidence_id").alias("x")).join(both, rid, "left_semi")
-    yes = on.filter("requires").select(rid, F.col("evidence_id").alias("y")).join(both, rid, "left_semi")
+    no = on.filter("forbids").select(rid, F.col("p").alias("x")).join(both, rid, "left_semi")
+    yes = on.filter("requires").select(rid, F.col("p").alias("y")).join(both, rid, "left_semi")
     pairs = pairs.unionByName(no.join(yes, rid).select(rid, "x", "y"))
     pairs = pairs.select(rid, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def side(x: str) -> DataFrame:
-        return on.select(rid, F.col("evidence_id").alias(x), F.col("content").alias(f"c{x}"), F.col("t").alias(f"t{x}"), F.col("q").alias(f"q{x}"))
+        return on.select(rid, F.col("p").alias(x), F.col("content").alias(f"c{x}"), F.col("t").alias(f"t{x}"), F.col("q").alias(f"q{x}"))
 
     reason = conflict_between(*map(F.col, ("ca", "cb", "ta", "tb", "qa", "qb")))
     met = pairs.join(side("a"), [rid, "a"]).join(side("b"), [rid, "b"])
-    return met.select(rid, "a", "b", reason.alias("reason")).filter("reason IS NOT NULL")
+    told = met.select(rid, F.col("a.evidence_id").alias("a"), F.col("b.evidence_id").alias("b"), reason.alias("reason"))
+    return told.filter("reason IS NOT NULL")
 
 
 def verdicts(requirements: DataFrame, evidence: DataFrame, rid: str = "requirement_id") -> DataFrame:
