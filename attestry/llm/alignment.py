@@ -10,6 +10,7 @@ tokens decode to, counted from the last coarse cut.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -29,8 +30,10 @@ AT_ONCE = 300  # new words that reach the tokenizers in one text
 PAIR_BYTES = 48  # of one id pair with its count, in a broadcast table
 
 SPACE = "▁"  # how pieces write a space
-#: Texts that are not the concatenation of their words: spaces in a row or at an edge, or the letter of a space itself.
+#: Texts that are not the concatenation of their words: longer white space in a row, spaces at an edge, or the letter of a space itself.
 ODD = f"{WHITE} (?:{WHITE}|$)|^ | $|{SPACE}|^$"
+#: The space before a word; of two spaces the second one belongs to the word, since one piece may take both.
+GAP = re.compile("(?<! ) ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,8 +63,8 @@ def token_ends(ids: np.ndarray, spans: np.ndarray, widths: np.ndarray, places: n
 class Aligner:
     """Ids and groups of whole texts by both tokenizers, with remembered words.
 
-    A text without spaces in a row or at its edges is the concatenation of its words, each after a
-    space: the byte-level tokenizer breaks before such a space, and no piece has a space after another
+    A text without longer runs of spaces or spaces at its edges is the concatenation of its words, each
+    after a space: the byte-level tokenizer breaks before such a space, and no piece has a space after another
     letter, so both tokens end there (checked over the vocabulary). Other texts are encoded whole.
     """
 
@@ -154,7 +157,7 @@ class Aligner:
         """Groups as text, counts of ids and linked pairs of each text; None where it has no tokens."""
         odd = pc.match_substring_regex(texts, ODD).to_pylist()
         texts = texts.to_pylist()
-        split = [None if o or not self.by_words else t.split(" ") for t, o in zip(texts, odd, strict=True)]
+        split = [None if o or not self.by_words else GAP.split(t) if "  " in t else t.split(" ") for t, o in zip(texts, odd, strict=True)]
         words = set().union(*[w for w in split if w])
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}

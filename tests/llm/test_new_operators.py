@@ -120,6 +120,15 @@ def test_alignment_remembers_and_forgets(spark, monkeypatch):
             assert found is None or (found[:3], Counter(found[3])) == (whole[:3], Counter(whole[3]))
 
 
+def test_alignment_of_two_spaces(spark):
+    """One piece may take both spaces before a word that is not a piece after a space."""
+    from attestry.llm.alignment import alignment_report
+
+    rows = [(1, "of  漢 of"), (2, "foo bar  the  \U0010ff13 x"), (3, "a  b\n  c"), (4, "the  of  漢字  漢  12"), (5, "of 漢  of")]
+    got = alignment_report(table(spark, rows).coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert Counter(map(tuple, got.collect())) == model_alignment(rows)
+
+
 def test_alignment_without_broadcast_and_of_nothing(spark, monkeypatch):
     from attestry.llm import alignment
 
