@@ -9,6 +9,7 @@ from attestry.functions import numbers as N
 from attestry.functions import text as T
 from attestry.operators.retrieve import small
 from attestry.operators.verify import FORBIDS, REQUIRES, conflict_between, long_terms
+from attestry.streaming.sink import saved, scratch
 
 # Words of an obligation that name no subject.
 NOISE = """shall must should may required require requires prohibited permitted allowed accordance provided specified
@@ -30,11 +31,14 @@ PROVIDES = T.words(r"shall|must|is provided|are provided|is installed")
 def key_terms(text: Column, most: int = 12) -> Column:
     """Stems that name the subject, most frequent first, then by name."""
     kept = F.filter(T.content_tokens(text), lambda t: ~t.rlike(r"^[\d.]+$") & ~t.isin(NOISE))
-    stems = F.filter(F.transform(kept, T.stem), lambda s: ~s.isin(NOISE) & (F.length(s) >= 3))
-    counted = F.transform(
-        F.array_distinct(stems), lambda s: F.struct((-F.size(F.filter(stems, lambda x: x == s))).alias("n"), s.alias("s"))
-    )
-    return F.slice(F.transform(F.array_sort(counted), lambda c: c["s"]), 1, most)
+    found = F.filter(F.transform(kept, T.stem), lambda s: ~s.isin(NOISE) & (F.length(s) >= 3))
+
+    def counted(stems: Column) -> Column:
+        return F.transform(
+            F.array_distinct(stems), lambda s: F.struct((-F.size(F.filter(stems, lambda x: x == s))).alias("n"), s.alias("s"))
+        )
+
+    return F.slice(F.transform(F.array_sort(T.let(found, counted)), lambda c: c["s"]), 1, most)
 
 
 def reference(chapter: Column, section: Column, clause: Column, title: Column) -> Column:
@@ -71,29 +75,31 @@ def requirement_set(sections: DataFrame, key: str = "version_id") -> tuple[DataF
 
 def term_coverage(terms: Column, content: Column) -> Column:
     """Share of the key terms in the content, earlier terms weighing more."""
-    held = T.stems(content)
-    weights = F.transform(terms, lambda t, i: F.struct((1 / (1 + i * 0.15)).alias("w"), F.array_contains(held, t).alias("in")))
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x["w"])
-    got = F.aggregate(weights, F.lit(0.0), lambda s, x: s + F.when(x["in"], x["w"]).otherwise(0.0))
-    return F.when(total == 0, 0.0).otherwise(got / total)
+
+    def share(held: Column) -> Column:
+        weights = F.transform(terms, lambda t, i: F.struct((1 / (1 + i * 0.15)).alias("w"), F.array_contains(held, t).alias("in")))
+        total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x["w"])
+        got = F.aggregate(weights, F.lit(0.0), lambda s, x: s + F.when(x["in"], x["w"]).otherwise(0.0))
+        return F.when(total == 0, 0.0).otherwise(got / total)
+
+    return T.let(T.stems(content), share)
 
 
 def score_evidence(passages: DataFrame, requirements: DataFrame, rid: str = "requirement_id") -> DataFrame:
     """passages (rid, evidence_id, content, ...) with ``measurements``, ``term_coverage`` and ``held``, the key terms found.
 
-    The stems of a passage meet the weighed key terms of its requirement by an equi-join, so that each
-    passage is stemmed once and coverage is a sum. term_coverage() is the same for one row.
+    A passage meets the weighed key terms of its requirement, one row each, by an equi-join; it is stemmed
+    once and its stems never leave its row. term_coverage() is the same for one row.
     """
-    weighed = requirements.select(rid, F.posexplode("key_terms").alias("i", "term")).withColumn("w", 1 / (1 + F.col("i") * 0.15))
-    total = weighed.groupBy(rid).agg(F.sum("w").alias("total"))
-    passages = passages.withColumn("_same", F.xxhash64("content"))
-    stems = passages.select(rid, "evidence_id", "_same", F.explode_outer(F.array_distinct(T.stems(F.col("content")))).alias("term"))
-    # a set, as equal passages may stand twice; it has at most the key terms of the requirement
-    hits = stems.join(weighed, [rid, "term"]).groupBy(rid, "evidence_id", "_same").agg(F.array_sort(F.collect_set(F.struct("i", "term", "w"))).alias("hits"))
-    got = F.aggregate("hits", F.lit(0.0), lambda s, x: s + x["w"])
-    scored = hits.join(total, rid).select(rid, "evidence_id", "_same", (got / F.col("total")).alias("_c"), F.col("hits.term").alias("held"))
-    out = passages.withColumn("measurements", N.measurements(F.col("content"))).join(scored, [rid, "evidence_id", "_same"], "left")
-    return out.withColumns({"term_coverage": F.coalesce("_c", F.lit(0.0)), "held": F.coalesce("held", F.array().cast("array<string>"))}).drop("_c", "_same")
+    weighed = F.transform("key_terms", lambda t, i: F.struct(i.alias("i"), t.alias("term"), (1 / (1 + i * 0.15)).alias("w")))
+    terms = requirements.select(rid, weighed.alias("_t")).groupBy(rid).agg(F.array_sort(F.flatten(F.collect_list("_t"))).alias("_t"))
+    terms = terms.withColumn("_total", F.aggregate("_t", F.lit(0.0), lambda s, x: s + x["w"]))
+    own = F.array_distinct(T.let(T.stems(F.col("content")), lambda held: F.filter("_t", lambda x: F.array_contains(held, x["term"]))))
+    out = passages.join(terms, rid, "left").withColumn("_hits", F.coalesce(own, F.array().cast("array<struct<i:int,term:string,w:double>>")))
+    share = F.aggregate("_hits", F.lit(0.0), lambda s, x: s + x["w"]) / F.nullif("_total", F.lit(0.0))
+    return out.withColumn("measurements", N.measurements(F.col("content"))).withColumns(
+        {"term_coverage": F.coalesce(share, F.lit(0.0)), "held": F.col("_hits.term")}
+    ).drop("_t", "_total", "_hits")
 
 
 def comparisons(requirements: DataFrame, evidence: DataFrame, rid: str = "requirement_id") -> DataFrame:
@@ -139,7 +145,7 @@ def on_point(evidence: DataFrame, rid: str) -> DataFrame:
     once = on.groupBy(rid, "content").agg(F.min("evidence_id").alias("evidence_id"))
     forbids = F.col("content").rlike(FORBIDS)
     return once.select(
-        rid, F.struct("evidence_id", F.xxhash64("content").alias("h")).alias("p"), "content", long_terms(F.col("content")).alias("t"), N.quantities(N.measurements(F.col("content"))).alias("q"),
+        rid, F.struct("evidence_id", F.xxhash64("content").alias("h")).alias("p"), "content", long_terms(F.col("content")).alias("t"), N.quantities(N.figures(F.col("content"))).alias("q"),
         forbids.alias("forbids"), (F.col("content").rlike(REQUIRES) & ~forbids).alias("requires"),
     )
 
@@ -151,7 +157,7 @@ def passage_conflicts(evidence: DataFrame, rid: str = "requirement_id") -> DataF
     forbid and such that require, tell which groups can hold a conflict at all. Only in these are
     passages paired, and only those of different values or of opposite polarity.
     """
-    on = on_point(evidence, rid)
+    on = saved(on_point(evidence, rid), f"{scratch(evidence.sparkSession)}/on_point")  # read eight times below
     values = on.select(rid, "p", F.explode("q").alias("unit", "value"))
     spread = values.groupBy(rid, "unit").agg((F.max("value") - F.min("value")).alias("d")).filter("d > 1e-9").select(rid, "unit")
     apart = values.join(spread, [rid, "unit"], "left_semi")
@@ -174,6 +180,8 @@ def passage_conflicts(evidence: DataFrame, rid: str = "requirement_id") -> DataF
 
 def verdicts(requirements: DataFrame, evidence: DataFrame, rid: str = "requirement_id") -> DataFrame:
     """(rid, result, risk, confidence, coverage, missing): the ordered cascade over each requirement's evidence."""
+    needed = [rid, "evidence_id", "content", "measurements", "term_coverage", *(["held"] if "held" in evidence.columns else [])]
+    evidence = saved(evidence.select(*needed), f"{scratch(evidence.sparkSession)}/evidence")  # read four times below
     compared = comparisons(requirements, evidence, rid).groupBy(rid).agg(
         F.count(F.lit(1)).alias("compared"), F.bool_or("disputed").alias("disputed"), F.bool_or(~F.col("satisfied")).alias("breach"),
         F.bool_or(F.col("satisfied") & ~F.col("disputed")).alias("meets"),
@@ -356,8 +364,12 @@ def trade_of(stem: Column) -> Column:
 
 def trade_counts(text: Column) -> Column:
     """(n, trade) of the trades whose own words a text has, most first, ties by name."""
-    found = F.filter(F.transform(T.stems(text), trade_of), lambda t: t.isNotNull())
-    counted = F.transform(F.array_distinct(found), lambda t: F.struct(F.size(F.filter(found, lambda x: x == t)).alias("n"), t.alias("trade")))
+    named = F.filter(F.transform(T.stems(text), trade_of), lambda t: t.isNotNull())
+
+    def each(found: Column) -> Column:
+        return F.transform(F.array_distinct(found), lambda t: F.struct(F.size(F.filter(found, lambda x: x == t)).alias("n"), t.alias("trade")))
+
+    counted = T.let(named, each)
     return F.array_sort(counted, lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["trade"] < b["trade"], -1).otherwise(1))
 
 

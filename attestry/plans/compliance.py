@@ -34,7 +34,7 @@ def r24_measurements(spark, sf_dir):
 
 @register("SELECT l_orderkey * 10 + l_linenumber AS evidence_id, round(l_quantity, 6) AS metres FROM lineitem")
 def r24_evidence_figures(spark, sf_dir):
-    q = N.quantities(N.measurements(F.col("content")))
+    q = N.quantities(N.figures(F.col("content")))
     return W.submissions(spark, sf_dir).select("evidence_id", F.round(F.element_at(q, "length_m"), 6).alias("metres"))
 
 
@@ -235,7 +235,7 @@ def r23_conflicts(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_size")
     a = F.when(n % 2 == 0, F.concat(F.lit("Exit stair landing width shall be "), n.cast("string"), F.lit(" m clear"))).when(k % 3 == 0, "Exit stair landing width shall not be obstructed").otherwise("Exit stair landing width shall be kept")
     b = F.when(n % 2 == 0, "Exit stair landing width shall be 3 m clear").otherwise("Exit stair landing width shall be obstructed")
-    return table(spark, sf_dir, "part").select("p_partkey", V.conflict_reason(a, b).alias("reason"))
+    return W.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", V.conflict_reason(a, b).alias("reason"))
 
 
 @register(f"""WITH w AS (SELECT p_partkey AS idx, p_brand, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS t FROM part),
@@ -305,7 +305,7 @@ _PICKS = ("k", "7 * k + n", "k * k", "n", "n + 60", "n + 61")
 
 def _trade_texts(spark, sf_dir):
     """Six words of the lexicon or beside it for each part."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
+    p = W.spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n")), "k")
     words = F.array(*[F.lit(w) for w in _TERMS])
     return p.select("k", "n", F.concat_ws(" ", *[F.get(words, F.expr(f"cast(({x}) % {len(_TERMS)} as int)")) for x in _PICKS]).alias("text"))
 

@@ -277,3 +277,36 @@ def test_relevance_equals_model(spark):
         assert [k for k, _ in got] == sorted(good[:12])
         assert all(v == pytest.approx(scores[k], abs=2e-9) for k, v in got)
     assert C.relevance(requirements.limit(0), vocabulary).count() == 0
+
+
+def test_shared_parts_of_expressions_are_computed_once(spark):
+    """Texts of many figures and sentences take seconds, not the square of their number."""
+    import time
+
+    from attestry.functions import numbers as N
+    from attestry.operators import verify as V
+
+    text = " ".join(f"Landing {i} of the exit stair shall be {i} m wide." for i in range(1, 401))
+    rows = spark.createDataFrame([(i, text) for i in range(4)], "id long, text string").coalesce(1)
+    before = time.time()
+    told = rows.select(
+        F.size(N.measurements(F.col("text"))).alias("n"), N.quantities(N.figures(F.col("text"))).alias("q"),
+        V.select_excerpt(F.col("text"), F.lit("landing 177 stair")).alias("excerpt"),
+    ).collect()
+    assert {(r.n, r.q["length_m"]) for r in told} == {(400, 1.0)}
+    assert all("Landing 177 of the exit stair" in r.excerpt for r in told)
+    assert time.time() - before < 60
+
+
+def test_evidence_keeps_one_row_a_passage(spark):
+    """Requirements that stand twice, have no terms or no passage; equal passages; null ids."""
+    from attestry.operators import compliance as C
+
+    req = spark.createDataFrame([(1, ["exit", "stair"]), (1, ["exit", "stair"]), (2, []), (3, ["door", "exit", "door"]), (4, None)], "requirement_id long, key_terms array<string>")
+    said = [(1, 10, "Exit door"), (1, 10, "Exit door"), (2, 11, "Exit"), (3, 12, "Doors and exits"), (4, 13, "x"), (5, 14, "Exit"), (None, 15, "Exit"), (3, 16, None)]
+    got = C.score_evidence(spark.createDataFrame(said, "requirement_id long, evidence_id long, content string"), req)
+    cover = sorted((r.evidence_id, round(r.term_coverage, 6), r.held) for r in got.collect())
+    half = round(1 / (2 * (1 + 1 / 1.15)), 6)
+    assert cover == [
+        (10, half, ["exit"]), (10, half, ["exit"]), (11, 0.0, []), (12, 1.0, ["door", "exit", "door"]), (13, 0.0, []), (14, 0.0, []), (15, 0.0, []), (16, 0.0, []),
+    ]
