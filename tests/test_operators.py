@@ -310,3 +310,14 @@ def test_evidence_keeps_one_row_a_passage(spark):
     assert cover == [
         (10, half, ["exit"]), (10, half, ["exit"]), (11, 0.0, []), (12, 1.0, ["door", "exit", "door"]), (13, 0.0, []), (14, 0.0, []), (15, 0.0, []), (16, 0.0, []),
     ]
+
+
+def test_summary_deals_sentences_once(spark):
+    """One shuffle by the group; a sentence does not go with each of its terms."""
+    from attestry.operators import verify as V
+
+    rows = [(g, p, "Stairs shall be lit along the whole way out. Signs name the way out of each landing of the house.") for g in (1, 2) for p in range(3)]
+    told = V.summary(spark.createDataFrame([*rows, (3, 0, "Too short.")], "query_id long, picked int, content string"), 2)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert [(r.query_id, r.idx) for r in told.orderBy("query_id", "idx").collect()] == [(1, 0), (1, 2), (2, 0), (2, 2)]
