@@ -67,3 +67,16 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert P.stored_lexical(queries, store).collect() == []
     P.index_batch(store, spark.createDataFrame([], "chunk_id string, content string"), 0, str(tmp_path / "w"))
     assert P.stored_lexical(queries, store).collect() == []
+
+
+def test_words_are_counted_in_their_row(spark):
+    """No shuffle of words where keys stand once; rows of a key that stands twice are put together."""
+    from attestry.operators import retrieve as R
+
+    rows = [("a", "stairs exit stair the exit"), ("b", ""), ("c", None), ("d", "Exit 6.4")]
+    single = R.postings(spark.createDataFrame(rows, "chunk_id string, text string"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    want = {("stair", "a", 2, (0, 2)), ("exit", "a", 2, (1, 4)), ("exit", "d", 1, (0,)), ("6.4", "d", 1, (1,))}
+    assert {(r.term, r.chunk_id, r.tf, tuple(r.positions)) for r in single.collect()} == want
+    twice = R.postings(spark.createDataFrame([*rows, ("d", "exit door exit")], "chunk_id string, text string"))
+    assert ("exit", "d", 3, (0, 0, 2)) in {(r.term, r.chunk_id, r.tf, tuple(r.positions)) for r in twice.collect()}
