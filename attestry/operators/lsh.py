@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions import numbers as N
+from attestry.operators.cells import TILE, Pairs, best_of_cells
 from attestry.operators.retrieve import top, vector
 
 TABLES, BITS, PROBES, SEED = 32, 10, 24, 7
@@ -28,32 +26,30 @@ def probed(margins: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(masks, np.argsort(total, axis=1, kind="stable")[:, :probes], axis=1)
 
 
-def buckets_of(rows: DataFrame, key: str, vector_: str, tables: int, bits: int, probes: int = 1, seed: int = SEED) -> DataFrame:
-    """(model, key, t, bucket): the buckets of each vector in each table. A shorter vector counts as filled up with zeros."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 1024):
-                part = batch.slice(low, 1024)
-                values = [np.nan_to_num(np.array(v.as_py() or [], np.float64)) for v in part.column(2)]
-                width = max(map(len, values), default=0)
-                x = np.zeros((len(values), width))
-                for i, v in enumerate(values):
-                    x[i, : len(v)] = v
-                planes = np.random.default_rng(seed).standard_normal((width, tables * bits))  # the first rows do not depend on width
-                margins = (x @ planes).reshape(len(values) * tables, bits)
-                own = (margins > 0) @ (1 << np.arange(bits))
-                found = own[:, None] ^ (probed(margins, probes) if probes > 1 else 0)
-                each = found.shape[1]
-                row = pa.array(np.repeat(np.arange(len(values)), tables * each))
-                t = np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), len(values))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), pa.array(t), pa.array(found.ravel().astype(np.int64))], ["model", "k", "t", "bucket"]
-                )
-
-    slim = rows.select("model", F.col(key).alias("k"), F.col(vector_).alias("v"))
-    kinds = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in ("model", "k"))
-    return slim.mapInArrow(run, f"{kinds}, t int, bucket long").withColumnRenamed("k", key)
+def buckets_of(x: np.ndarray, tables: int, bits: int, probes: int = 1, seed: int = SEED) -> np.ndarray:
+    """The buckets of each vector in each table, ``probes`` of them. A shorter vector counts as filled up with zeros."""
+    planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))  # the first rows do not depend on width
+    out = np.empty((len(x), tables, probes), np.int32)
+    for low in range(0, len(x), 1024):
+        with np.errstate(all="ignore"):
+            margins = (np.nan_to_num(x[low : low + 1024]) @ planes).reshape(-1, bits)
+        own = (margins > 0) @ (1 << np.arange(bits))
+        found = own[:, None] ^ (probed(margins, probes) if probes > 1 else 0)
+        out[low : low + 1024] = found.reshape(-1, tables, probes)
+    return out
+
+
+def shared_buckets(asked: np.ndarray, offered: np.ndarray, buckets: int) -> Pairs:
+    """For each bucket of each table, the queries that ask it and the vectors in it."""
+    for t in range(asked.shape[1]):
+        wants, has = asked[:, t].ravel(), offered[:, t, 0]
+        by_query, by_vector, edges = np.argsort(wants, kind="stable"), np.argsort(has, kind="stable"), np.arange(buckets + 1)
+        q, v = np.searchsorted(wants[by_query], edges), np.searchsorted(has[by_vector], edges)
+        by_query //= asked.shape[2]
+        for b in np.flatnonzero((np.diff(q) > 0) & (np.diff(v) > 0)).tolist():
+            for low in range(q[b], q[b + 1], TILE[0]):
+                for left in range(v[b], v[b + 1], TILE[1]):
+                    yield by_query[low : min(low + TILE[0], q[b + 1])], by_vector[left : min(left + TILE[1], v[b + 1])]
 
 
 def vector_lsh(
@@ -61,21 +57,18 @@ def vector_lsh(
 ) -> DataFrame:
     """(query_id, key, score, rank): as retrieve.vector(), over the vectors that share one of the asked buckets.
 
-    Equal vectors of a model are one candidate, whose first k keys then stand for it, so copies do not
-    fill a bucket. Every vector is in the tables, and every candidate is scored by its exact cosine; what
-    is approximate is only which vectors become candidates. More tables or probes raise recall and work.
+    Each block of vectors has its own tables, of the same planes, so no pair of a query and a candidate
+    is written anywhere. Equal vectors of a block are one candidate, whose first k keys then stand for
+    it, so copies do not fill a bucket. Every vector is in the tables, and every candidate is scored by
+    its exact cosine; what is approximate is only which vectors become candidates. More tables or probes
+    raise recall and work.
     """
-    same = Window.partitionBy("model", F.xxhash64("embedding"), "embedding")
-    held = vectors.select("model", key, "embedding").withColumn("_n", F.row_number().over(same.orderBy(key))).filter(F.col("_n") <= k)
-    held = held.withColumn("_rep", F.min(key).over(same))
-    reps = held.filter("_n = 1").select("model", F.col("_rep"), "embedding")
-    asked = buckets_of(queries, "query_id", "embedding", tables, bits, probes, seed)
-    offered = buckets_of(reps, "_rep", "embedding", tables, bits, 1, seed)
-    pairs = asked.join(offered, ["model", "t", "bucket"]).select("query_id", "_rep").distinct()
-    scored = pairs.join(reps.select("_rep", "embedding"), "_rep").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
-    best = top(scored.select("query_id", "_rep", N.cosine(F.col("_q"), F.col("embedding")).alias("score")), ["query_id"], [F.desc("score"), "_rep"], k)
-    members = best.drop("rank").join(held.select("_rep", key), "_rep").select("query_id", key, "score")
-    return top(members, ["query_id"], [F.desc("score"), key], k)
+
+    def tiles(q: np.ndarray, v: np.ndarray):
+        asked, offered = buckets_of(q, tables, bits, probes, seed), buckets_of(v, tables, bits, 1, seed)
+        return lambda block: shared_buckets(asked, offered, 1 << bits)
+
+    return top(best_of_cells(queries, vectors, k, key, tiles), ["query_id"], [F.desc("score"), key], k)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 40, key: str = "chunk_id", exact_rows: int = EXACT_ROWS) -> DataFrame:

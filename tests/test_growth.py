@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import numbers as N
 from attestry.operators import cells
+from attestry.operators import lsh as L
 from attestry.operators import retrieve as R
 
 
@@ -33,3 +34,12 @@ def test_vectors_meet_in_cells_with_the_plain_cosines(spark, monkeypatch, block)
         got = {tuple(r) for r in found.select("query_id", "chunk_id", "rank", show).collect()}
         assert got == {tuple(r) for r in want.select("query_id", "chunk_id", "rank", show).collect()} and len(got) > 50
     assert R.vector(q.limit(0), v, 4).count() == 0 == R.vector(q, v.limit(0), 4).count()
+
+
+def test_candidates_of_buckets_are_scored_in_their_cell(spark):
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)], "m") for i in range(300)], "chunk_id long, embedding array<float>, model string")
+    q = v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", "model")
+    found = L.vector_lsh(q, v, 5)
+    assert "FlatMapCoGroupsInArrow" in plan(found) and "Generate explode(buckets" not in plan(found)
+    assert L.recall(found, R.vector(q, v, 5)).first()["recall"] >= 0.9
