@@ -43,3 +43,26 @@ def test_candidates_of_buckets_are_scored_in_their_cell(spark):
     found = L.vector_lsh(q, v, 5)
     assert "FlatMapCoGroupsInArrow" in plan(found) and "Generate explode(buckets" not in plan(found)
     assert L.recall(found, R.vector(q, v, 5)).first()["recall"] >= 0.9
+
+
+def test_a_locator_meets_no_more_chunks_than_are_kept(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(30), rng.choice("56"), f"6.{rng.randrange(3)}", rng.choice([None, "6.1.4", "6.1", "6.2.4.1", "6"]), i % 3) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, ordinal int, chapter string, section string, clause string, source_id int").repartition(3)
+    asked = {1: ["6.1.4"], 2: ["6.1", "6.2.4"], 3: ["6.2", "6.1.4", "6.0"], 4: ["7.1"]}
+    queries = spark.createDataFrame([(n, " and ".join(f"see section {x}" for x in own)) for n, own in asked.items()], "query_id int, text string")
+    scope = spark.createDataFrame([(n, i) for n in asked for i in (0, 2) if n != 3 or i], "query_id int, source_id int")
+
+    def weight(loc, chapter, section, clause):
+        parts = (clause or "").split(".")
+        return max([0, (clause == loc) * 1.0, (section == loc) * 0.8, (chapter == loc) * 0.6, *[0.4 for i in range(1, len(parts)) if ".".join(parts[:i]) == loc]])
+
+    for k in (1, 7, 1000):
+        for seen in (None, {n: {r["source_id"] for r in scope.filter(f"query_id = {n}").collect()} for n in asked}):
+            want = set()
+            for n, own in asked.items():
+                hits = [(-max(weight(x, *r[2:5]) for x in own), r[1], r[0]) for r in rows if seen is None or r[5] in seen[n]]
+                want |= {(n, c, -w, at) for at, (w, _, c) in enumerate(sorted(h for h in hits if h[0])[:k], 1)}
+            found = R.locator(queries, chunks, k, scope=None if seen is None else scope)
+            assert plan(found).count("WindowGroupLimit") > 2
+            assert {(r["query_id"], r["chunk_id"], float(r["score"]), r["rank"]) for r in found.collect()} == want and want
