@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import numbers as N
+from attestry.operators import access as A
 from attestry.operators import cells
 from attestry.operators import lsh as L
 from attestry.operators import retrieve as R
@@ -66,3 +67,30 @@ def test_a_locator_meets_no_more_chunks_than_are_kept(spark):
             found = R.locator(queries, chunks, k, scope=None if seen is None else scope)
             assert plan(found).count("WindowGroupLimit") > 2
             assert {(r["query_id"], r["chunk_id"], float(r["score"]), r["rank"]) for r in found.collect()} == want and want
+
+
+def test_visible_pairs_come_out_once_without_a_shuffle_of_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    s = [(i, rng.randrange(3), rng.choice([None, *range(40)]), rng.choice(["workspace", "restricted", "restricted", None]), "2026-01-01" if i % 11 == 0 else None) for i in range(90)]
+    u = [(i, i % 3, rng.choice(["admin", "member", "member", "member", None])) for i in range(40)] + [(4, 1, "member"), (5, 0, "owner")]
+    g = [(rng.randrange(45), rng.choice([None, 0, 1, 2, 3])) for _ in range(70)]
+    p = [(rng.randrange(95), rng.choice(["workspace", "users", "users", "group", "group", "group"]), rng.choice([0, 1, 2, 3]), rng.choice([None, *range(42)])) for _ in range(120)]
+    want = set()
+    for user, workspace, role in u:
+        mine = {b for a, b in g if a == user and b is not None}
+        for i, w, owner, access, gone in s:
+            told = any(i == x and (how == "workspace" or (how == "users" and who == user) or (how == "group" and group in mine)) for x, how, group, who in p)
+            if w == workspace and gone is None and (role in A.PRIVILEGED or owner == user or access == "workspace" or told):
+                want.add((user, i))
+    tables = [
+        spark.createDataFrame(s, "source_id int, workspace_id int, owner_user_id int, access_scope string, deleted_at string"),
+        spark.createDataFrame(p, "source_id int, scope string, group_id int, user_id int"),
+        spark.createDataFrame(u, "user_id int, workspace_id int, role string"), spark.createDataFrame(g, "user_id int, group_id int"),
+    ]
+    for listed, most in ((A.LISTED, A.ROUND), (3, 20)):
+        monkeypatch.setattr(A, "LISTED", listed)
+        monkeypatch.setattr(A, "ROUND", most)
+        found = A.visible_sources(*tables)
+        assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+        got = [tuple(r) for r in found.collect()]
+        assert sorted(got) == sorted(want) and len(want) > 100
