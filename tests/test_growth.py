@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestry.functions import numbers as N
 from attestry.operators import access as A
 from attestry.operators import cells
+from attestry.operators import corpus as C
 from attestry.operators import lsh as L
 from attestry.operators import retrieve as R
 
@@ -94,3 +95,34 @@ def test_visible_pairs_come_out_once_without_a_shuffle_of_pairs(spark, monkeypat
         assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
         got = [tuple(r) for r in found.collect()]
         assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_pieces_of_a_long_body_do_not_go_through_the_body_again(spark):
+    rng = random.Random(7)
+    sentences = [" ".join(rng.choice(["stair", "exit", "width", "landing"]) for _ in range(rng.choice([1, 3, 8, 30]))).capitalize() + "." for _ in range(200)]
+    pages = spark.createDataFrame([(1, 1, "6.4 Stairs\n" + " ".join(sentences)), (2, 1, ""), (3, 1, "6.5 Bare"), (4, 1, None)], "version_id int, page_number int, text string")
+    chunks = C.section_chunks(C.sections(pages), target=40, most=45, overlap=2)
+    assert "body#" not in plan(chunks).split("Generate posexplode")[0]
+    want, held, start, cost = [], [], 11, lambda x: -(-len(x) // 4)
+    start = C.sections(pages).filter("version_id = 1").first()["char_start"]
+
+    def flush():
+        nonlocal held, start
+        if held:
+            want.append((" ".join(held), start))
+            start += len(" ".join(held))
+            held = held[-2:]
+
+    for s in sentences:
+        if cost(s) > 45:
+            flush()
+            want.append((s, start))
+            start, held = start + len(s), []
+        else:
+            if held and sum(map(cost, held)) + cost(s) > 40:
+                flush()
+            held = [*held, s]
+    flush()
+    rows = chunks.orderBy("version_id", "ordinal").collect()
+    assert [(r["content"], r["char_start"], r["char_end"]) for r in rows if r["version_id"] == 1] == [("Stairs\n" + x, at, at + len(x)) for x, at in want]
+    assert [(r["version_id"], r["content"]) for r in rows if r["version_id"] > 1] == [(2, "Introduction"), (3, "Bare")] and len(want) > 20
