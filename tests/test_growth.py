@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import numbers as N
+from attestry.functions import text as T
 from attestry.operators import access as A
 from attestry.operators import cells
 from attestry.operators import corpus as C
@@ -126,3 +127,19 @@ def test_pieces_of_a_long_body_do_not_go_through_the_body_again(spark):
     rows = chunks.orderBy("version_id", "ordinal").collect()
     assert [(r["content"], r["char_start"], r["char_end"]) for r in rows if r["version_id"] == 1] == [("Stairs\n" + x, at, at + len(x)) for x, at in want]
     assert [(r["version_id"], r["content"]) for r in rows if r["version_id"] > 1] == [(2, "Introduction"), (3, "Bare")] and len(want) > 20
+
+
+def test_redaction_goes_through_a_text_once_for_each_pattern_that_may_match(spark):
+    texts = [
+        "key sk-abcdefghijklmnop and BEARER abcdefghijklmnopqrst=", "a.b-c@mail.example.org, 4111 1111 1111 1111", "eyJabcdefghijk.abcdefghijk.abcdefghijk",
+        "sk-short, bearer of news, a@b, eyJ, 12 34", "", None, "x" * 1995 + " me@mail.example.org", "bİearer x",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = F.col("t")
+    for pattern, mark, _ in T.REDACTIONS:
+        plain = F.regexp_replace(plain, pattern, mark)
+    plain = F.when(F.length(plain) > 2000, F.concat(F.substring(plain, 1, 2000), F.lit("...[truncated]"))).otherwise(plain)
+    rows = df.select("i", T.redact(F.col("t")).alias("a"), plain.alias("b"))
+    got = rows.orderBy("i").collect()
+    assert all(r["a"] == r["b"] for r in got) and got[1]["a"] == "[email], [card]" and got[0]["a"] == "key sk-[redacted] and Bearer [redacted]"
+    assert plan(df.select(T.redact(F.col("t")).alias("a"))).count("regexp_replace") == len(T.REDACTIONS)
