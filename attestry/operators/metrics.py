@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import numbers as N
+from attestry.functions import text as T
 
 
 def period_kpis(events: DataFrame, start: Column, middle: Column, stop: Column, measures: dict[str, Column]) -> DataFrame:
@@ -285,3 +286,25 @@ def listing(rows: DataFrame, name: str, key: str, most: int) -> DataFrame:
     order = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in LISTINGS[name]]
     first = rows.orderBy(*order, key).limit(most)  # at most so many rows reach the window
     return first.withColumn("place", F.row_number().over(Window.orderBy(*order, key))).withColumn("listing", F.lit(name))
+
+
+def term_counts(chunks: DataFrame, key: str, document: str, text: str = "content") -> DataFrame:
+    """(term, tf, df): how often a content term stands, and in how many different keys.
+
+    A row counts its terms and its different terms by itself, and only terms are shuffled. Where a
+    document, which a key names, stands more than once, its keys may too, and their terms meet first.
+    """
+    many = chunks.select(document, "ordinal").filter("ordinal = 1").groupBy(document).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(document)
+
+    def told(tokens):
+        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+        places = F.transform(tokens, lambda t: F.struct(t.alias("term"), one.alias("tf"), zero.alias("df")))
+        return F.concat(places, F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), zero.alias("tf"), one.alias("df"))))
+
+    once = chunks if many.isEmpty() else chunks.join(many, document, "left_anti")
+    counts = once.select(F.explode(T.let(T.content_tokens(F.col(text)), told)).alias("x")).select("x.*").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    if once is chunks:
+        return counts
+    again = chunks.join(many, document, "left_semi").select(key, F.explode(T.content_tokens(F.col(text))).alias("term"))
+    per = again.groupBy("term", key).agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return counts.unionByName(per).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))

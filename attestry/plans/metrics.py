@@ -145,11 +145,7 @@ def a17_metric_points(spark, sf_dir):
 @register(f"""WITH {W.CHUNKS}, t AS (SELECT chunk_id, unnest({W.content_sql('content')}) AS term FROM chk)
 SELECT term, count(*) AS tf, count(DISTINCT chunk_id) AS df FROM t GROUP BY term""")
 def a18_term_counts(spark, sf_dir):
-    from attestry.functions.text import content_tokens
-
-    t = W.chunks(spark, sf_dir).select("chunk_id", F.explode(content_tokens(F.col("content"))).alias("term"))
-    per = t.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return M.term_counts(W.chunks(spark, sf_dir), "chunk_id", "version_id")
 
 
 _JOBS = """j AS (SELECT event_id AS job_id, user_id AS source_id, ts AS started_at, event_id % 7 AS k FROM events),

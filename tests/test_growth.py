@@ -13,6 +13,7 @@ from attestry.operators import access as A
 from attestry.operators import cells
 from attestry.operators import corpus as C
 from attestry.operators import lsh as L
+from attestry.operators import metrics as M
 from attestry.operators import retrieve as R
 
 
@@ -143,3 +144,13 @@ def test_redaction_goes_through_a_text_once_for_each_pattern_that_may_match(spar
     got = rows.orderBy("i").collect()
     assert all(r["a"] == r["b"] for r in got) and got[1]["a"] == "[email], [card]" and got[0]["a"] == "key sk-[redacted] and Bearer [redacted]"
     assert plan(df.select(T.redact(F.col("t")).alias("a"))).count("regexp_replace") == len(T.REDACTIONS)
+
+
+def test_terms_are_counted_in_their_row_and_repeated_documents_apart(spark):
+    rows = [(1, 1, "1:0", "Exit exit stair"), (1, 2, "1:1", "stair"), (2, 1, "2:0", "exit"), (2, 1, "2:0", "exit lobby"), (3, 1, "3:0", None), (4, 1, "4:0", "")]
+    chunks = spark.createDataFrame(rows, "version_id int, ordinal int, chunk_id string, content string")
+    got = {tuple(r) for r in M.term_counts(chunks, "chunk_id", "version_id").collect()}
+    assert got == {("exit", 4, 2), ("stair", 2, 2), ("lobby", 1, 1)}
+    once = M.term_counts(chunks.filter("version_id <> 2"), "chunk_id", "version_id")
+    assert plan(once).count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in once.collect()} == {("exit", 2, 1), ("stair", 2, 2)}
