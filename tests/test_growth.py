@@ -15,6 +15,7 @@ from attestry.operators import corpus as C
 from attestry.operators import lsh as L
 from attestry.operators import metrics as M
 from attestry.operators import retrieve as R
+from attestry.operators import verify as V
 
 
 def plan(df) -> str:
@@ -154,3 +155,12 @@ def test_terms_are_counted_in_their_row_and_repeated_documents_apart(spark):
     once = M.term_counts(chunks.filter("version_id <> 2"), "chunk_id", "version_id")
     assert plan(once).count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in once.collect()} == {("exit", 2, 1), ("stair", 2, 2)}
+
+
+def test_offsets_of_normalised_quotations_take_one_text_at_a_time(spark):
+    pages = spark.createDataFrame([(1, 1, "The  exit\n stair ’s width"), (2, 1, None)], "version_id int, page_number int, text string")
+    drafts = spark.createDataFrame([(1, 1, "the exit stair"), (1, 1, "exit\n stair"), (1, 1, "lobby"), (2, 1, "exit")], "version_id int, page_number int, excerpt string")
+    told = V.verify_citations(drafts, pages)
+    assert {(r["excerpt"], r["method"], r["char_start"], r["matched_text"]) for r in told.collect()} == {
+        ("the exit stair", "normalized", 0, "The  exit\n stair"), ("exit\n stair", "exact", 5, "exit\n stair"), ("lobby", "failed", None, None), ("exit", "failed", None, None),
+    }
