@@ -1,8 +1,12 @@
 """Near copies by the Jaccard similarity of five-word shingles.
 
-Candidates come from MinHash: BANDS keys of ROWS minima each. At similarity 0.8 a pair shares no key
-in (1 - 0.8^5)^32, some 3 of a million cases, fewer above. Every candidate is verified on the whole
-shingle sets before it is linked, so no link is below SIMILAR.
+Candidates come from SimHash and from MinHash. Of the SimHash of a set, WORDS times 64 bits, each
+segment is indexed by its deletion variants (simhash.py), and sets that share a variant are compared
+on 64 further bits; what such links connect is one group of candidates. Bits of a pair at similarity 0.8 differ with probability 0.15, so about three of
+four such pairs share a variant; 0.9 gives 98 of 100. MinHash finds the rest: BANDS keys of ROWS
+minima each. At similarity 0.8 a pair shares no key in (1 - 0.8^5)^32, some 3 of a million cases,
+fewer above. Every candidate is verified on the whole shingle sets before it is linked, so no link is
+below SIMILAR.
 """
 
 from __future__ import annotations
@@ -16,9 +20,13 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import Scratch, salted, small_batches
 from attestry.llm.components import connected_components
+from attestry.llm.simhash import forest, majority, runs, variants
 
 SEED, SHINGLE, SIMILAR = 42, 5, (4, 5)  # similarity 4 / 5 or more, in whole numbers
 ROWS, BANDS = 5, 32
+WORDS = 3  # of 64 bits, of which variants are taken; one more is compared
+BITS = 16  # differing bits of that one, of sets that stay candidates: 99 % of pairs at SIMILAR, 4 of 100,000 others
+CROWD = 1024  # sets under one variant that are compared by bits; larger groups are candidates whole
 ROUNDS = 2  # of comparing a group with one member, before what is still apart is compared in cells
 HALF = 512  # members of a block; a cell holds two blocks
 
@@ -50,8 +58,19 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(rows, np.uint64).view(np.int64).tolist()
 
 
+def fingerprints(hashes: np.ndarray) -> list[int]:
+    """The SimHash of a shingle set: the 64 bits that are compared, then WORDS times 64 of remixed hashes."""
+    found = [majority(hashes)]
+    for add in XOR[:WORDS]:
+        x = hashes ^ add
+        for odd in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(odd)
+        found.append(majority(x ^ (x >> np.uint64(33))))
+    return np.array(found, np.uint64).view(np.int64).tolist()
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """(k, h, s, n, keys) of rows (k, h, t): s names the shingle set, n is its size."""
+    """(k, h, s, n, keys, fps) of rows (k, h, t): s names the shingle set, n is its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -60,13 +79,61 @@ def signatures(rows: DataFrame) -> DataFrame:
             sets = [shingles(v.as_py() or "") for v in batch.column(2)]
             names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))
+            fps = pa.array([fingerprints(x) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names), pa.array([len(x) for x in sets], pa.int64()), keys],
-                ["k", "h", "s", "n", "keys"],
+                [batch.column(0), batch.column(1), pa.array(names), pa.array([len(x) for x in sets], pa.int64()), keys, fps],
+                ["k", "h", "s", "n", "keys", "fps"],
             )
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, h long, s long, n long, keys array<long>")
+    return rows.mapInArrow(run, f"k {kind}, h long, s long, n long, keys array<long>, fps array<long>")
+
+
+def linked_under_variants(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (key, fp) sorted by key: edges that join the fps of a group as all links within ``bits`` would.
+
+    A group of over ``most`` is joined whole: an edge only names candidates.
+    """
+    for keys, fps, whole in runs(batches, most):
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(first, len(keys)))
+        pairs = first[(size == 2) & whole]
+        hit = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= bits]
+        left, right = [fps[hit]], [fps[hit + 1]]
+        for at, n in zip(first[(size > 2) | (not whole)], size[(size > 2) | (not whole)], strict=True):
+            if whole and n <= most:
+                a, b = forest(fps[at : at + n], bits)
+            else:
+                a, b = np.full(n, keys[at]).view(np.uint64), fps[at : at + n]  # all hang on the key, which is no fp
+            left.append(np.array(a, np.uint64))
+            right.append(np.array(b, np.uint64))
+        a, b = np.concatenate(left), np.concatenate(right)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
+def variant_classes(own: DataFrame, scratch: Scratch, bits: int = BITS, most: int = CROWD) -> DataFrame:
+    """(key, s, n): every set that is not empty, under the class of its links by deletion variants.
+
+    Sets that share a variant and differ in at most ``bits`` of the 64 compared ones are in one class,
+    and so are all that agree in these.
+    """
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1024):
+            words = np.asarray(batch.column(0).flatten()).view(np.uint64).reshape(-1, WORDS + 1)
+            for number in range(WORDS):
+                keys = variants(words[:, number + 1]) | np.uint64(number << 40)
+                fps = np.broadcast_to(words[:, 0], keys.shape).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(fps.view(np.int64))], ["key", "fp"])
+
+    some = own.filter("n > 0")
+    rows = some.select("fps").distinct().mapInArrow(expand, "key long, fp long")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    edges = scratch.save(dealt.mapInArrow(lambda batches: linked_under_variants(batches, bits, most), "a long, b long").distinct(), "variants")
+    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
+    sets = some.select(F.col("fps")[0].alias("fp"), "s", "n").distinct()
+    return sets.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("key"), "s", "n")
 
 
 def whole_sets(rows: DataFrame) -> DataFrame:
@@ -242,6 +309,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = scratch.save(signatures(rows), "signatures")
     lowest = own.groupBy("s").agg(F.min(F.struct("k", "h")).alias("low"))
     index = own.select("s", "n", "keys").dropDuplicates(["s"]).select(F.explode("keys").alias("key"), "s", "n")
+    index = index.unionByName(scratch.save(variant_classes(own, scratch), "classes"))
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     index = scratch.save(index.join(shared, "key"), "index")
     wanted = lowest.join(index.select("s").distinct(), "s", "left_semi").select("s", "low.k", "low.h")

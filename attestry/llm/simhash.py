@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import Scratch
 from attestry.llm.components import connected_components
-from attestry.llm.nearcopies import representatives
 
 SEED, SHINGLE, MOST_BITS = 42, 4, 4
 #: Three segments suffice for up to five differing bits.
@@ -26,6 +25,15 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 GROUP = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; zero for none."""
+    counts = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), 1 << 14):
+        part = hashes[low : low + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str, seed: int = SEED, shingle: int = SHINGLE) -> int:
     """SimHash of the word shingles' XXH64; zero for a text without words."""
     import xxhash
@@ -40,12 +48,7 @@ def fingerprint(text: str, seed: int = SEED, shingle: int = SHINGLE) -> int:
     stops = np.cumsum(sizes + 1) - 1
     starts, stops = (stops - sizes)[: n - k + 1].tolist(), stops[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for low in range(0, len(hashes), 1 << 14):
-        part = hashes[low : low + (1 << 14)].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(np.array([digest(whole[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,9 +244,12 @@ def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """The rows of docs without near copies: of each class, the row with the smallest key stays.
 
     Near copies are those of nearcopies.py (five-word shingles, Jaccard 0.8 or more), not those of
-    near_duplicate_classes. All columns stay as they were. Rows that share a key are told apart by
-    their text's hash; of identical ones, one stays. Rows with a null key stay.
+    near_duplicate_classes; candidates come from the deletion variants above and from MinHash keys.
+    All columns stay as they were. Rows that share a key are told apart by their text's hash; of
+    identical ones, one stays. Rows with a null key stay.
     """
+    from attestry.llm.nearcopies import representatives  # which needs the variants above
+
     kept = representatives(docs.filter(F.col(key).isNotNull()), key, text).select(F.col("k").alias("_k"), F.col("h").alias("_h"))
     # the row as one column, so that no name of the input can meet one of ours
     rows = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64(F.col(text).cast("string")).alias("_h"), F.col(key).alias("_k"))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.llm import chunks, components, decontam, licenses, lines, nearcopies, packing, quality, secrets, simhash, spotsigs, warc
+from attestry.llm.common import Scratch
 
 WORDS = [a + b for a in ("an", "th", "er", "on", "re", "in", "es", "ti") for b in ("ed", "ion", "ble", "ou", "st", "ha", "ly")]
 
@@ -355,6 +356,49 @@ def test_kept_documents_equal_brute_force_jaccard(spark, rounds, half, monkeypat
     assert sorted(r["doc_id"] for r in simhash.keep_one_each(clashing(spark, rows)).collect()) == sorted(set(root))
 
 
+def test_near_copies_meet_through_deletion_variants(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "band_keys", lambda hashes: [])  # without the keys of MinHash
+    rng = random.Random(13)
+    a, b = prose(rng, 300), prose(rng, 300)
+    rows = [(1, a), (2, a + " more"), (3, b), (4, "and " + b + " end"), (5, prose(rng, 300)), (6, " ".join(a.split()[:150])), (7, None), (8, " ")]
+    assert sorted(r["doc_id"] for r in simhash.keep_one_each(table(spark, rows)).collect()) == [1, 3, 5, 6, 7]
+
+
+@pytest.mark.parametrize("most", [1024, 1])
+def test_variant_classes_equal_brute_force(spark, most):
+    rng = random.Random(14)
+    texts = ["", "one", "two words"]
+    for _ in range(8):
+        words = prose(rng, 150).split()
+        for _ in range(6):
+            words = [rng.choice(WORDS) if rng.random() < 0.01 else w for w in words]
+            texts.append(" ".join(words))
+    own = nearcopies.signatures(table(spark, [(i, i, t) for i, t in enumerate(texts)], "k long, h long, t string"))
+    groups, n = {}, {}
+    for r in own.collect():
+        n[r["s"]] = r["n"]
+        fps = np.array(r["fps"], np.int64).view(np.uint64)
+        groups.setdefault(str(fps[0]), {})[r["s"]] = int(fps[0])
+        for word in range(nearcopies.WORDS if r["n"] else 0):
+            for key in simhash.variants(fps[word + 1 : word + 2])[:, 0].tolist():
+                groups.setdefault(key + (word << 40), {})[r["s"]] = int(fps[0])
+    root = {s: s for s in n}
+    for g in groups.values():
+        for s, x in g.items():
+            for o, y in g.items():
+                if root[s] != root[o] and (len(g) > most or (x ^ y).bit_count() <= nearcopies.BITS):
+                    old, new = sorted((root[s], root[o]))
+                    root = {k: old if v == new else v for k, v in root.items()}
+    want, mine = {}, {}
+    for s, r in root.items():
+        want.setdefault(r, set()).add((s, n[s]))
+    got = nearcopies.variant_classes(own, Scratch(spark), most=most).collect()
+    for r in got:
+        mine.setdefault(r["key"], set()).add((r["s"], r["n"]))
+    assert len(got) == sum(map(len, mine.values())) == sum(m > 0 for m in n.values())
+    assert sorted(map(sorted, mine.values())) == sorted(sorted(c) for c in want.values() if all(m for _, m in c))
+
+
 def test_unrelated_texts_of_one_key_stay(spark):
     rng = random.Random(12)
     a, b = prose(rng, 100), prose(rng, 100)
