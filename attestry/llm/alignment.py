@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 from attestry.llm.common import Scratch, salted, small_enough
 from attestry.llm.packing import WHITE, sliced
 
-CACHED = 400_000  # words that one of the two generations of remembered words holds
+CACHED = 800_000  # units remembered before the less used ones are forgotten
 CHUNK_BYTES = 2 << 20  # of text taken at once; a longer text is taken alone
-AT_ONCE = 300  # new words that reach the tokenizers in one text
+AT_ONCE = 300  # new units that reach the tokenizers in one text
 PAIR_BYTES = 48  # of one id pair with its count, in a broadcast table
 
 SPACE = "▁"  # how pieces write a space
@@ -34,6 +33,10 @@ SPACE = "▁"  # how pieces write a space
 ODD = f"{WHITE} (?:{WHITE}|$)|^ | $|{SPACE}|^$"
 #: The space before a word; of two spaces the second one belongs to the word, since one piece may take both.
 GAP = re.compile("(?<! ) ")
+#: Letters that one run of the byte-level tokenizer's pattern takes whole; there are others.
+LETTER = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0400-\u0481\u048A-\u052F"
+#: What may end a run of letters, if no piece holds it beside a letter.
+MARKS = "\n!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,12 +63,45 @@ def token_ends(ids: np.ndarray, spans: np.ndarray, widths: np.ndarray, places: n
     return reached + np.where(last >= 0, drift[last], 0)
 
 
+def unit_pattern(pieces: list[str]) -> re.Pattern:
+    """Cuts " " + text into units at whose ends both tokenizers end a token, whatever stands around them.
+
+    A unit starts at spaces, at a mark after a letter, or at a letter after one new line. The byte-level
+    tokenizer breaks there, and no piece goes across: spaces stand only first in a piece, and the marks
+    are those that no piece has beside a letter.
+    """
+    beside = {m for p in pieces for m in re.findall(rf"(?<=[{LETTER}])[^{LETTER}]|[^{LETTER}](?=[{LETTER}])", p)}
+    marks = "".join(m for m in MARKS if m not in beside)
+    inside = rf"(?<=[{LETTER}])[{re.escape(marks)}]" if marks else r"(?!)"
+    if "\n" in marks:
+        inside += rf"|(?<=[!-~{LETTER}]\n)[{LETTER}]"
+    return re.compile(rf" *(?:[{LETTER}]+(?=[ {re.escape(marks)}]|\Z)|[^ {LETTER}]+(?= |\Z)|[^ ](?:(?!{inside})[^ ])*)")
+
+
+def before(unit: str) -> str:
+    """What stands before a unit while it is learnt: by its first character, it follows a space, a letter or a new line."""
+    return "" if unit[0] == " " else " a" if unit[0] in MARKS else " a\n"
+
+
+def spread(at: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Places of runs that start at ``at`` and have ``many`` elements each, one run after the other."""
+    return np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of each run of values between two places."""
+    reached = np.append(0, np.cumsum(values))
+    return reached[ends] - reached[begins]
+
+
 class Aligner:
-    """Ids and groups of whole texts by both tokenizers, with remembered words.
+    """Ids and groups of whole texts by both tokenizers, with remembered units.
 
-    A text without longer runs of spaces or spaces at its edges is the concatenation of its words, each
-    after a space: the byte-level tokenizer breaks before such a space, and no piece has a space after another
-    letter, so both tokens end there (checked over the vocabulary). Other texts are encoded whole.
+    A text without longer runs of spaces or spaces at its edges is the concatenation of its units (see
+    unit_pattern): words after their space, and what follows a word's letters. Most words differ, but
+    their letters recur with other marks. A unit is encoded when it is first met; the different words of
+    a chunk are then put together from numbers of units, and its texts from numbers of words. Other texts
+    are encoded whole.
     """
 
     def __init__(self, a_file: str, b_file: str):
@@ -82,9 +118,14 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_width, self.b_width = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.numbers = [str(i) for i in range(max(len(entries), len(pieces)))]
-        self.by_words = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        ordinary = [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)]
+        self.by_units = not any(SPACE in p.lstrip(SPACE) for p in ordinary)
+        self.units = unit_pattern([p.lstrip(SPACE) for p in ordinary]).findall
+        self.known: dict[str, int] = {}  # number of each unit
+        self.groups: list[bytes] = []
+        #: of each unit: ids of either kind (none: a text with it has no tokens), pairs, place of its pairs, chunks with it
+        self.n_a, self.n_b, self.n_pairs, self.at, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(5))
+        self.pairs, self.n_kept = np.zeros(1 << 18, np.int64), 0
 
     def encoded(self, text: str):
         """Of " " + text, by each tokenizer: ids and byte ends; None where the decoded bytes differ from the text's."""
@@ -92,7 +133,8 @@ class Aligner:
         raw = spaced.encode()
         places = None
         if len(raw) != len(spaced):
-            places = np.append(0, np.cumsum([1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4 for c in spaced]))
+            letters = np.frombuffer(spaced.encode("utf-32-le"), np.uint32)
+            places = np.append(0, np.cumsum(1 + sum((letters >= least).astype(np.int64) for least in (0x80, 0x800, 0x10000))))
         a = self.a.encode(spaced, add_special_tokens=False)
         b = self.b.encode(text, return_type="offset_mapping")
         out = []
@@ -107,89 +149,159 @@ class Aligner:
             out += [ids, token_ends(ids, spans, widths, places)]
         return out
 
-    def entries(self, found, ends: list[int]) -> list[tuple] | None:
-        """For each word that ends at one of the byte places ``ends``: groups as text, counts of ids, linked pairs."""
+    def entries(self, found, begins: np.ndarray, ends: np.ndarray) -> tuple | None:
+        """Of the units between two byte places each: groups as text; counts of ids and of pairs; all their pairs in order."""
         a, a_end, b, b_end = found
         # an end of either kind stands once, so a place that both have stands twice in the sorted ends
         both = np.sort(np.concatenate([a_end, b_end]))
-        shared = both[1:][both[1:] == both[:-1]]
-        word = np.searchsorted(shared, ends)
-        if not np.array_equal(shared[np.minimum(word, len(shared) - 1)], ends):
+        shared = np.append(0, both[1:][both[1:] == both[:-1]])
+        low, high = np.searchsorted(shared, begins), np.searchsorted(shared, ends)
+        last = len(shared) - 1
+        if not (np.array_equal(shared[np.minimum(low, last)], begins) and np.array_equal(shared[np.minimum(high, last)], ends)):
             return None
-        at_a, at_b = np.searchsorted(a_end, shared), np.searchsorted(b_end, shared)
-        pairs = (a[at_a] << 32 | b[at_b]).tolist()
+        to_a, to_b = np.append(0, np.searchsorted(a_end, shared[1:]) + 1), np.append(0, np.searchsorted(b_end, shared[1:]) + 1)
         number = self.numbers
         a_text, b_text = [number[i] for i in a.tolist()], [number[i] for i in b.tolist()]
-        from_a, from_b = np.append(0, at_a[:-1] + 1).tolist(), np.append(0, at_b[:-1] + 1).tolist()
+        x, y = to_a.tolist(), to_b.tolist()
         groups = [
-            f"{a_text[p]}|{b_text[q]}" if p == i and q == j else f"{','.join(a_text[i : p + 1])}|{','.join(b_text[j : q + 1])}"
-            for i, p, j, q in zip(from_a, at_a.tolist(), from_b, at_b.tolist(), strict=True)
+            f"{a_text[i]}|{b_text[j]}" if p == i + 1 and q == j + 1 else f"{','.join(a_text[i:p])}|{','.join(b_text[j:q])}"
+            for i, p, j, q in zip(x[:-1], x[1:], y[:-1], y[1:], strict=True)
         ]
-        n_a = np.diff(at_a[word], prepend=-1).tolist()
-        n_b = np.diff(at_b[word], prepend=-1).tolist()
-        out, low = [], 0
-        for high, x, y in zip((word + 1).tolist(), n_a, n_b, strict=True):
-            if high == low + 1:
-                out.append((groups[low].encode(), x, y, (pairs[low],)))
-            else:
-                out.append((";".join(groups[low:high]).encode(), x, y, tuple(pairs[low:high])))
-            low = high
-        return out
-
-    def alone(self, text: str) -> tuple | None:
+        told = [";".join(groups[i:j]).encode() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+        pairs = a[to_a[1:] - 1] * len(self.b_bytes) + b[to_b[1:] - 1]
+        inside = np.zeros(len(pairs) + 1, np.int64)  # begins and ends of units alternate, so their sum is 1 inside a unit
+        np.add.at(inside, low, 1)
+        np.add.at(inside, high, -1)
+        return told, to_a[high] - to_a[low], to_b[high] - to_b[low], high - low, pairs[np.cumsum(inside[:-1]) > 0]
+
+    def whole(self, text: str, begin: int = 0) -> tuple | None:
+        """Entries of one unit: what follows the byte place ``begin`` of " " + text."""
         found = self.encoded(text)
-        return None if found is None else self.entries(found, [len(text.encode()) + 1])[0]
+        return None if found is None else self.entries(found, np.array([begin]), np.array([len(text.encode()) + 1]))
 
-    def learn(self, words: list[str]) -> None:
+    def alone(self, text: str) -> tuple | None:
+        made = self.whole(text)
+        return made and (made[0][0], int(made[1][0]), int(made[2][0]), self.outer(made[4]).tolist())
+
+    def outer(self, pairs: np.ndarray) -> np.ndarray:
+        """Pairs as a << 32 | b."""
+        a, b = np.divmod(pairs, len(self.b_bytes))
+        return a << 32 | b
+
+    def keep(self, units: list[str], made: tuple | None) -> None:
+        told, n_a, n_b, n_pairs, pairs = made or ([b""] * len(units), *np.zeros((3, len(units)), np.int64), np.zeros(0, np.int64))
+        low, high = len(self.groups), len(self.groups) + len(units)
+        while high > len(self.n_a):
+            self.n_a, self.n_b, self.n_pairs, self.at, self.uses = (np.append(x, np.zeros_like(x)) for x in (self.n_a, self.n_b, self.n_pairs, self.at, self.uses))
+        while self.n_kept + len(pairs) > len(self.pairs):
+            self.pairs = np.append(self.pairs, np.zeros_like(self.pairs))
+        self.pairs[self.n_kept : self.n_kept + len(pairs)] = pairs
+        self.n_a[low:high], self.n_b[low:high], self.n_pairs[low:high], self.uses[low:high] = n_a, n_b, n_pairs, 0
+        self.at[low:high] = self.n_kept + np.cumsum(n_pairs) - n_pairs
+        self.n_kept += len(pairs)
+        self.known.update(zip(units, range(low, high), strict=True))
+        self.groups += told
+
+    def forget(self) -> None:
+        """Forgets the units that the fewest chunks had, so that at most half of CACHED stay."""
+        n = len(self.groups)
+        uses = self.uses[:n]
+        least = np.sort(uses)[max(n - CACHED // 2 - 1, 0)]
+        stay = np.flatnonzero(uses > least)
+        names = list(self.known)  # in the order of their numbers
+        self.pairs = self.pairs[spread(self.at[stay], self.n_pairs[stay])]
+        self.n_kept = len(self.pairs)
+        self.pairs = np.append(self.pairs, np.zeros(1 << 18, np.int64))
+        self.groups = [self.groups[i] for i in stay.tolist()]
+        self.known = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.n_a, self.n_b, self.n_pairs, self.uses = (np.append(x[stay], np.zeros(1 << 16, np.int64)) for x in (self.n_a, self.n_b, self.n_pairs, self.uses >> 1))
+        self.at = np.cumsum(self.n_pairs) - self.n_pairs
+
+    def learn(self, units: list[str]) -> None:
         plain = []
-        for w in words:  # white space at an edge would run together with the next word's space
-            if w.strip() == w:
-                plain.append(w)
+        for u in units:  # white space at an edge would run together with the next unit's space
+            bare = u[1:] if u[0] == " " else u
+            if bare.strip() == bare:
+                plain.append(u)
             else:
-                self.young[w] = self.alone(w)
+                self.learn_alone(u)
         for low in range(0, len(plain), AT_ONCE):
             own = plain[low : low + AT_ONCE]
-            found = self.encoded(" ".join(own))
-            made = found and self.entries(found, np.cumsum([len(w.encode()) + 1 for w in own]).tolist())
-            self.young.update(zip(own, made or map(self.alone, own), strict=True))
+            led = list(map(before, own))
+            sizes = np.array([list(map(len, led)), [len(u.encode()) for u in own]])
+            ends = np.cumsum(sizes.T).reshape(-1, 2)
+            found = self.encoded("".join(chain.from_iterable(zip(led, own, strict=True)))[1:])
+            made = found and self.entries(found, ends[:, 0], ends[:, 1])
+            if made:
+                self.keep(own, made)
+            else:
+                for u in own:
+                    self.learn_alone(u)
+
+    def learn_alone(self, unit: str) -> None:
+        led = before(unit)
+        self.keep([unit], self.whole((led + unit)[1:], len(led)))
+
+    def words(self, words: list[str]) -> tuple:
+        """Of different words: groups as text; counts of ids (none: a text with it has no tokens) and of pairs; all their pairs in order."""
+        if len(self.groups) > CACHED:
+            self.forget()
+        known = self.known
+        units, ends = [], []
+        for w in words:
+            if w.isalpha():
+                units.append(" " + w)
+            else:
+                units += self.units(" " + w)
+            ends.append(len(units))
+        self.learn([u for u in set(units) if u not in known])
+        own = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        self.uses[np.unique(own)] += 1
+        numbers, told, begins = own.tolist(), self.groups, [0, *ends[:-1]][: len(ends)]
+        groups = [told[numbers[i]] if j == i + 1 else b";".join([told[k] for k in numbers[i:j]]) for i, j in zip(begins, ends, strict=True)]
+        begins, ends = np.array(begins, np.int64), np.array(ends, np.int64)
+        right = sums(self.n_a[own] == 0, begins, ends) == 0
+        n_a, n_b, n_pairs = (sums(x[own], begins, ends) for x in (self.n_a, self.n_b, self.n_pairs))
+        return groups, n_a * right, n_b * right, n_pairs, self.pairs[spread(self.at[own], self.n_pairs[own])]
+
+    def arrays(self, texts: pa.Array) -> tuple:
+        """Of texts: groups as text, counts of ids (None and 0 where it has no tokens); and text, pair, times of each text's pairs."""
+        odd = pc.match_substring_regex(texts, ODD).to_pylist()
+        texts = texts.to_pylist()
+        split = [[] if o or not self.by_units else GAP.split(t) if "  " in t else t.split(" ") for t, o in zip(texts, odd, strict=True)]
+        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        told, *of_words, pairs = self.words(coded.dictionary.to_pylist())
+        own = np.asarray(coded.indices)
+        x, y, many = (v[own] for v in of_words)
+        ends = np.cumsum(list(map(len, split)), dtype=np.int64)
+        begins = np.append(0, ends[:-1])[: len(ends)]
+        right = (ends > begins) & (sums(x == 0, begins, ends) == 0)
+        n_a, n_b = sums(x, begins, ends) * right, sums(y, begins, ends) * right
+        numbers, told = own.tolist(), told.__getitem__
+        groups = [b";".join(map(told, numbers[i:j])) if r else None for i, j, r in zip(begins.tolist(), ends.tolist(), right.tolist(), strict=True)]
+        text_of = np.repeat(np.arange(len(texts)), ends - begins)
+        stay = right[text_of]
+        at = np.cumsum(of_words[2]) - of_words[2]
+        linked = [pairs[spread(at[own[stay]], many[stay])]]
+        of = [np.repeat(text_of[stay], many[stay])]
+        for i in np.flatnonzero(ends == begins).tolist():
+            made = self.whole(texts[i]) if texts[i] else None
+            if made:
+                groups[i], n_a[i], n_b[i] = made[0][0], made[1][0], made[2][0]
+                linked.append(made[4])
+                of.append(np.full(len(made[4]), i))
+        size = len(self.a_bytes) * len(self.b_bytes)
+        both, times = np.unique(np.concatenate(of) * size + np.concatenate(linked), return_counts=True)
+        text, pair = np.divmod(both, size)
+        return groups, n_a, n_b, text, self.outer(pair), times
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[bytes, int, int, dict[int, int]] | None]:
         """Groups as text, counts of ids and linked pairs of each text; None where it has no tokens."""
-        odd = pc.match_substring_regex(texts, ODD).to_pylist()
-        texts = texts.to_pylist()
-        split = [None if o or not self.by_words else GAP.split(t) if "  " in t else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        words = set().union(*[w for w in split if w])
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        old = self.old
-        new = []
-        for w in words.difference(self.young):
-            if w in old:
-                self.young[w] = old[w]
-            else:
-                new.append(w)
-        self.learn(new)
-        known = self.young
-        for text, own in zip(texts, split, strict=True):
-            if own is None:
-                whole = self.alone(text) if text else None
-                yield whole and (*whole[:3], Counter(whole[3]))
-                continue
-            times = Counter(own)
-            n_a = n_b = 0
-            pairs: dict[int, int] = {}
-            groups = {}
-            have = pairs.get
-            for w, n in times.items():
-                entry = known[w]
-                if entry is None:
-                    break
-                groups[w], x, y, linked = entry
-                n_a += n * x
-                n_b += n * y
-                for p in linked:
-                    pairs[p] = have(p, 0) + n
-            yield (b";".join(map(groups.__getitem__, own)), n_a, n_b, pairs) if entry is not None else None
+        groups, n_a, n_b, text, pairs, times = self.arrays(texts)
+        ends = np.searchsorted(text, np.arange(len(groups) + 1))
+        for i, own in enumerate(groups):
+            at = slice(ends[i], ends[i + 1])
+            yield None if own is None else (own, int(n_a[i]), int(n_b[i]), dict(zip(pairs[at].tolist(), times[at].tolist(), strict=True)))
 
 
 ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -217,20 +329,15 @@ def align_tokens(docs: DataFrame, a_file: str, b_file: str, key: str = "doc_id",
         aligner = aligner_of(a_file, b_file)
         for batch in batches:
             for part, texts in sliced(batch, pc.fill_null(batch.column(1), ""), CHUNK_BYTES):
-                rows, pairs, times, ends = [], [], [], [0]
-                for found in aligner(texts):
-                    groups, n_a, n_b, own = found or (b"", 0, 0, {})
-                    pairs += own
-                    times += own.values()
-                    rows.append((n_a, n_b, sum(own.values()), hashlib.sha256(groups).hexdigest() if found else ""))
-                    ends.append(len(pairs))
-                flat, many = np.array(pairs, np.int64), np.array(times, np.int64)
-                different, which = np.unique(flat, return_inverse=True)
-                total = np.bincount(which, many, len(different)).astype(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (flat, many)]
-                n_a, n_b, linked, digests = zip(*rows, strict=True)
+                groups, n_a, n_b, text, pairs, times = aligner.arrays(texts)
+                different, which = np.unique(pairs, return_inverse=True)
+                total = np.bincount(which, times, len(different)).astype(np.int64)
+                ends = np.searchsorted(text, np.arange(len(groups) + 1))
+                linked = np.diff(np.append(0, np.cumsum(times))[ends])
+                digests = ["" if g is None else hashlib.sha256(g).hexdigest() for g in groups]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (pairs, times)]
                 counts = [pa.array(c, pa.int64()) for c in (n_a, n_b, linked, linked)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digests), pa.array([False] * len(rows)), *lists], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digests, pa.string()), pa.array([False] * len(groups)), *lists], names)
                 none = [pa.nulls(1, x.type) for x in (part.column(0), *counts)]
                 sums = [pa.array([v], pa.list_(pa.int64())) for v in (different, total)]
                 yield pa.RecordBatch.from_arrays([*none, pa.nulls(1, pa.string()), pa.array([True]), *sums], names)

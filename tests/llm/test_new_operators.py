@@ -129,6 +129,62 @@ def test_alignment_of_two_spaces(spark):
     assert Counter(map(tuple, got.collect())) == model_alignment(rows)
 
 
+def own_aligner():
+    from attestry.llm import alignment
+
+    return alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_alignment_learns_letters_once():
+    """The same letters with other marks do not reach the tokenizers again."""
+    import pyarrow as pa
+
+    aligner, taken = own_aligner(), []
+    encoded = aligner.encoded
+    aligner.encoded = lambda text: taken.append(len(text)) or encoded(text)
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("aeiouthrné") for _ in range(12)) for _ in range(100)]
+    marks = ["", ".", ",", "!!", "%%%", ".***", "'s", "9", ".\nThe", ",,", "\n"]
+    texts = [" ".join(w + m for w in stems) for m in marks]
+    found = list(aligner(pa.array(texts)))
+    assert sum(taken) < 3 * len(texts[0])  # of more than 11 times that
+    for text, x in zip(texts, found, strict=True):
+        whole = aligner.alone(text)
+        assert (x[:3], Counter(x[3])) == (whole[:3], Counter(whole[3]))
+
+
+def test_alignment_of_units_equals_whole_texts(monkeypatch):
+    """Marks, new lines, digits and contractions after and before letters, with and without forgetting."""
+    import pyarrow as pa
+
+    from attestry.llm import alignment
+
+    rng = random.Random(6)
+    parts = ["the", "Thtion", "é", "é", "Ñlles", "Жук", "漢", "ª", "²", "0", "12", "\n", "\n\n", "\r\n", "\t", "  ", " ", ".", ",,", "!!", "'s", "'t", "'re", "ll", '"', "(", "-", "<s>", "\x00", "\xa0", "▁", "\\", "]", "^"]
+    aligner = own_aligner()
+    for cached in (4, 300, 10**6):
+        monkeypatch.setattr(alignment, "CACHED", cached)
+        for _ in range(4):
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 20))) for _ in range(150)]
+            for text, x in zip(texts, aligner(pa.array(texts)), strict=True):
+                whole = aligner.alone(text)
+                assert (x is None) == (whole is None)
+                assert x is None or (x[:3], Counter(x[3])) == (whole[:3], Counter(whole[3]))
+
+
+def test_alignment_forgets_what_few_chunks_had(monkeypatch):
+    import pyarrow as pa
+
+    from attestry.llm import alignment
+
+    monkeypatch.setattr(alignment, "CACHED", 40)
+    aligner = own_aligner()
+    for n in range(10):
+        list(aligner(pa.array([f"the of and w{'abcdefghij'[n]}x " + " ".join(f"q{'abcdefghij'[n]}{c}" for c in "abcdefghijklmnop")])))
+        assert len(aligner.known) == len(aligner.groups) <= 40 + 20
+    assert {" the", " of", " and"} <= aligner.known.keys()
+
+
 def test_alignment_without_broadcast_and_of_nothing(spark, monkeypatch):
     from attestry.llm import alignment
 
