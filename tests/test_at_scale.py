@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from attestry.functions import numbers as N
 from attestry.operators import access as A
 from attestry.operators import compliance as C
 from attestry.operators import lsh as L
@@ -112,3 +113,23 @@ def test_conflicts_equal_all_pairs(spark):
     pairs = [(r, a, b, x, y) for r, own in on.items() for a, x in own.items() for b, y in own.items() if a < b]
     told = spark.createDataFrame(pairs, "r int, a int, b int, x string, y string").select("r", "a", "b", V.conflict_reason(F.col("x"), F.col("y")).alias("reason"))
     assert got == {tuple(r) for r in told.filter("reason IS NOT NULL").collect()} and len(got) >= 3
+
+
+def test_passages_are_paired_only_where_clashes_decide(spark, monkeypatch):
+    """Before, all conflicting passages of a requirement were paired and shuffled, also where figures had decided."""
+    kind = "requirement_id long, obligation_text string, modality string"
+    words = "exit stair landing width"
+    rows = [(1, f"The {words} shall be not less than 3 m.", "mandatory"), (2, f"The {words} shall be kept clear.", "mandatory")]
+    req = spark.createDataFrame(rows, kind).withColumns({"key_terms": C.key_terms(F.col("obligation_text")), "measurements": N.measurements(F.col("obligation_text"))})
+    said = [(r, 10 * r + i, f"Exit stair landing clear width {i} m as drawn.") for r in (1, 2) for i in (2, 4, 5)]
+    evidence = C.score_evidence(spark.createDataFrame(said, "requirement_id long, evidence_id long, content string"), req.select("requirement_id", "key_terms"))
+    met, plain = [], C.passage_conflicts
+
+    def conflicts(evidence, rid):
+        met.extend(r[0] for r in evidence.select(rid).distinct().collect())
+        return plain(evidence, rid)
+
+    monkeypatch.setattr(C, "passage_conflicts", conflicts)
+    told = {r.requirement_id: (r.result, r.confidence) for r in C.verdicts(req, evidence).collect()}
+    assert told == {1: ("needs_evidence", 0.45), 2: ("needs_evidence", 0.45)}
+    assert met == [2]
