@@ -80,3 +80,22 @@ def test_words_are_counted_in_their_row(spark):
     assert {(r.term, r.chunk_id, r.tf, tuple(r.positions)) for r in single.collect()} == want
     twice = R.postings(spark.createDataFrame([*rows, ("d", "exit door exit")], "chunk_id string, text string"))
     assert ("exit", "d", 3, (0, 0, 2)) in {(r.term, r.chunk_id, r.tf, tuple(r.positions)) for r in twice.collect()}
+
+
+def test_postings_of_a_block_lie_in_one_row_and_are_written_once(spark, tmp_path, monkeypatch):
+    """Before, postings were written beside the index first, then shuffled into it, and shuffled again with every query."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "BLOCK", 10)
+    rows = [(f"c{i:03d}", i // 7, f"Exits of the stair {i % 5} stairs") for i in range(70)]
+    store = Store(spark, str(tmp_path / "index"), P.TABLES)
+    P.index_batch(store, spark.createDataFrame(rows, "chunk_id string, doc long, content string").coalesce(1), 3, str(tmp_path / "w"), group="doc")
+    assert not (tmp_path / "w").exists()
+    held = {r.block: r.postings for r in store.read("postings").collect()}
+    assert len(held) == 5 and all([p.term for p in x] == sorted(p.term for p in x) for x in held.values())
+    first = {(p.term, p.chunk_id): (p.tf, p.positions) for p in held[min(held)]}
+    assert len(first) == 28 and first["stair", "c000"] == (2, [3, 5]) and first["exit", "c013"] == (1, [0])
+    assert P.block_starts(9, pa.array([1, 1, 1, 1, 1, 1, 1, 1, 2]), 2).tolist() == [0, 8]
+    assert P.block_starts(10, pa.array([1] * 9 + [2]), 2).tolist() == [0, 8]
+    assert P.block_starts(5, None, 2).tolist() == [0, 2, 4] and not len(P.block_starts(0, None, 2)) and isinstance(P.block_starts(0, None, 2), np.ndarray)
