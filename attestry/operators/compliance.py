@@ -201,7 +201,7 @@ def verdicts(requirements: DataFrame, evidence: DataFrame, rid: str = "requireme
     asked = requirements.select(rid, "obligation_text", "key_terms", "modality", F.col("measurements").alias("_r"))
     held = F.col("held") if "held" in evidence.columns else F.array_intersect("key_terms", T.stems(F.col("content")))
     found = F.when(F.col("term_coverage") >= ANCHOR, compared_figures(F.col("obligation_text"), F.col("key_terms"), F.col("_r"), F.col("measurements")))
-    # passages meet their requirements once; read five times below
+    # passages meet their requirements once; read four times below
     met = saved(evidence.join(asked, rid).select(
         rid, "evidence_id", "content", "term_coverage", held.alias("held"),
         negates(F.col("key_terms"), F.col("modality"), F.col("content")).alias("negated"), found.alias("found"),
